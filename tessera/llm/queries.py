@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import simhash, url_filter
+from tessera.llm import byte_bpe, fingerprints, language, quality, simhash, url_filter
 
 QUERIES = {
     "op1_url_redirects": url_filter.op1_url_redirects,
+    "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+    "op4_canonical_digest": fingerprints.op4_canonical_digest,
+    "op5_language_hierarchy": language.op5_language_hierarchy,
+    "op7_quality_ftrl": quality.op7_quality_ftrl,
     "op8_simhash_gray_index": simhash.op8_simhash_gray_index,
 }
 
