@@ -141,7 +141,7 @@ def _sql(rounds: int = 30, fills: int = 12) -> str:
     for i in range(rounds):
         for m in MARGINALS:
             name = f"w_{i}_{m}"
-            steps.append(f"{name} AS MATERIALIZED (SELECT w.* REPLACE (w.weight * t.target / sum(w.weight) OVER (PARTITION BY w.{m}) AS weight) FROM {last} w JOIN t_{m} t USING ({m}))")
+            steps.append(f"{name} AS MATERIALIZED (SELECT w.* REPLACE (w.weight * coalesce(t.target / nullif(sum(w.weight) OVER (PARTITION BY w.{m}), 0), 0) AS weight) FROM {last} w JOIN t_{m} t USING ({m}))")
             last = name
     steps.append("s0 AS (SELECT CAST(0 AS DOUBLE) AS scale)")
     for i in range(fills):
