@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, fingerprints, language, quality, simhash, url_filter
+from tessera.llm import byte_bpe, fingerprints, language, mixing, quality, simhash, suffix_dedup, topk, url_filter
 
 QUERIES = {
     "op1_url_redirects": url_filter.op1_url_redirects,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_canonical_digest": fingerprints.op4_canonical_digest,
     "op5_language_hierarchy": language.op5_language_hierarchy,
+    "op6_exact_topk": topk.op6_exact_topk,
     "op7_quality_ftrl": quality.op7_quality_ftrl,
     "op8_simhash_gray_index": simhash.op8_simhash_gray_index,
+    "op9_suffix_lpf": suffix_dedup.op9_suffix_lpf,
+    "op10_mix_raked": mixing.op10_mix_raked,
 }
 
-ORACLES = {"op1_url_redirects": url_filter.ORACLE_SQL}
+ORACLES = {
+    "op1_url_redirects": url_filter.ORACLE_SQL,
+    "op6_exact_topk": topk.ORACLE_SQL,
+    "op10_mix_raked": mixing.ORACLE_SQL,
+}

@@ -16,7 +16,7 @@ fixed. What a block pair gives on is at most k rows a query.
 Defined results: vectors that are null, or that hold a null, NaN or infinity, take no part, nor
 does a null id; a vector of another length than most (the smaller on a tie) takes no part either;
 a query has fewer than k rows if there are fewer candidates; rows that repeat an id count as
-candidates on their own, and a query never meets a row of its own id; ties go to the smaller id.
+candidates on their own, but make one query, by the least vector, which never meets its own id; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -31,16 +31,21 @@ from tessera.llm.common import stage, table, unstage
 CANDIDATES, QUERIES_A_BLOCK, LEAD = 4096, 512, 24
 
 
-def quantised(vectors: DataFrame, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``(id, v, norm)`` of the usable rows: v holds floor(scale * x) as integers."""
+def quantised(vectors: DataFrame, is_query: Column, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``(id, v, norm, asked)`` of the usable rows: v holds floor(scale * x) as integers."""
     x = F.col(vector)
     usable = F.col(key).isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.where(F.coalesce(usable, F.lit(False))).select(
-        F.col(key).alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v")
+        F.col(key).alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"),
+        F.coalesce(is_query, F.lit(False)).alias("asked"),
     )
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
     rows = rows.join(F.broadcast(common.select("d")), F.size("v") == F.col("d"), "left_semi")
-    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0).cast("double"), lambda a, c: a + c.cast("double") * c)))
+    return rows.withColumn("norm", _norm())
+
+
+def _norm() -> Column:
+    return F.sqrt(F.aggregate("v", F.lit(0).cast("double"), lambda a, c: a + c.cast("double") * c))
 
 
 def rotation(rows: DataFrame) -> np.ndarray | None:
@@ -65,7 +70,7 @@ def rotation(rows: DataFrame) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
     partial = rows.select("v").mapInArrow(moments, "m binary")
-    found = partial.coalesce(8).mapInArrow(merged, "m binary").collect()  # at most eight matrices
+    found = partial.repartition(8).mapInArrow(merged, "m binary").collect()  # at most eight matrices
     if not found:
         return None
     total = sum(np.frombuffer(bytes(r.m)) for r in found)
@@ -175,13 +180,11 @@ def _search(pairs: DataFrame, turn, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, key: str = "vec_id", vector: str = "embedding",
           candidates: int = CANDIDATES, queries: int = QUERIES_A_BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k highest integer inner products of each query."""
-    rows = stage(quantised(vectors, scale, key, vector), "topk-rows")
+    rows = stage(quantised(vectors, is_query, scale, key, vector), "topk-rows")
     turn = rotation(rows)
     if turn is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    asked = rows.where(is_query if key == "id" else F.expr("true")).join(
-        vectors.where(is_query).select(F.col(key).alias("id")).distinct(), "id", "left_semi"
-    ).dropDuplicates(["id"])
+    asked = rows.where("asked").groupBy("id").agg(F.min("v").alias("v")).withColumn("norm", _norm())
     c = stage(_blocks(rows, candidates, "cb").withColumnsRenamed({"ids": "c_ids", "vectors": "c_vectors", "longest": "c_longest"}), "topk-c")
     q = stage(_blocks(asked, queries, "qb").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors", "longest": "q_longest"}), "topk-q")
     blocks = sorted(c.select("cb", "c_longest").collect(), key=lambda r: (-r.c_longest, r.cb))  # two numbers a block
