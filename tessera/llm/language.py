@@ -163,7 +163,7 @@ def train(docs: DataFrame, where: Column | None = None, key: str = "doc_id", tex
         pdf = pdf.iloc[np.argsort([xxhash.xxh64_intdigest(f"{k} {t[:0]}") for k, t in zip(pdf.k, pdf.t, strict=True)], kind="stable")]
         return pd.DataFrame({"model": [pickle.dumps(fit(list(pdf.t), list(pdf.l))) if len(pdf) else b""]})
 
-    got = rows.groupBy(F.lit(1)).applyInPandas(run, "model binary").first()
+    got = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "model binary").first()
     if got is None or not got.model:
         return None
     import pickle

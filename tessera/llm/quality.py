@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import stage, table
 
 BITS = 18
 MAX_ROWS = 12_000
@@ -62,7 +62,7 @@ def features(text: str):
         pair[word[:-1] == word[1:]] = 1
         shapes = shape[:-1] * np.uint64(8) + shape[1:] + np.uint64(1000)
         yield ((np.concatenate([fresh, pair, shapes]) * _MIX) >> _SHIFT).view(np.int64)
-        before, whole = coded[-1:], []
+        before, whole = coded[-1:], None if whole is None else []
 
 
 def raw_score(weights: np.ndarray, bias: float, text: str | None) -> float:
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, label
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
     known = known.where(where) if where is not None else known
     known = known.groupBy(key).agg(F.round(F.avg(label)).cast("int").alias("__label"))
-    known = known.orderBy(F.xxhash64(key), key).limit(max_rows)
+    known = stage(known.orderBy(F.xxhash64(key), key).limit(max_rows), "quality-known")
     rows = docs.select(key, text).join(known, key).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col("__label").alias("y"))
     rows = rows.dropDuplicates(["k"])
 
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, label
         weights, bias = ftrl(list(pdf.t), list(pdf.y))
         return pd.DataFrame({"w": [weights.tobytes()], "b": [bias]})
 
-    got = rows.groupBy(F.lit(1)).applyInPandas(fit, "w binary, b double").first()
+    got = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "w binary, b double").first()
     if got is None:
         return np.zeros(1 << BITS, np.float32), 0.0
     return np.frombuffer(got.w, np.float32), got.b
