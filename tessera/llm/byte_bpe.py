@@ -1,13 +1,14 @@
 """Byte-level BPE: a lazily determinised transducer encodes, a UTF-8 state machine decodes.
 
 Encoding rests on a property of rank-merged BPE: a token sequence is the encoding of its bytes
-exactly when every token stands alone under the merges and every neighbouring pair does
-(``merge(u + v) == [u, v]``). So each prefix of a piece has one last token, and reading bytes left
-to right only needs the open walks through the token trie and, for each, the token before it. A
-state holds those walks and the tokens not yet certain; as soon as all walks share a first token
-it is emitted. A walk lives for one token's length at most, so the lookahead is bounded, and a
-piece costs time in proportion to its length. States are made when first reached and kept in a
-table of bounded size; pieces of text are looked up in a second such table.
+exactly when merging leaves every token and every neighbouring pair of tokens as they are. So each
+prefix of a piece has one last token, and reading bytes left to right only needs the open walks
+through the trie of tokens. A state is the set of open walks; it is made when first reached, from
+a table of bounded size. Each move also lists the tokens that may end with the byte, of which one
+fits the token that ended where it starts. Fitting is decided by undoing the merges of both. A
+walk is open for one token's length at most, so tokens before the walks' common past are certain
+and are emitted; a piece costs time in proportion to its length. Pieces of text that come again
+are looked up in a second bounded table.
 
 Defined results: null text counts as empty and gives no ids; repeated rows each get a row; an
 empty table gives an empty result; columns besides the key and the text are ignored.
@@ -20,16 +21,17 @@ import codecs
 import hashlib
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
 MAX_STATES = 300_000
 MAX_PIECES = 500_000
 LONG_PIECE = 48
+SETTLE = 4096  # bytes after which a long piece emits what is certain
 STREAM = 200_000  # pieces of a text that are held at once
 
 
@@ -54,98 +56,127 @@ class Transducer:
                     node = self.child[key] = n
                     n += 1
             self.at_node[node] = rank
+        self.inner = {key >> 8 for key in self.child}
+        self.longest = max(map(len, ranks), default=0)
         self.fits: dict[tuple, bool] = {}
+        self.last_merge: dict[int, tuple[int, int] | None] = {}
         self.forget()
 
     def forget(self) -> None:
         """Start the table of states again; they are made anew when reached."""
-        # A state: boundaries (parent, last token), and walks (boundary, trie node).
-        start = (((-1, -1),), ((0, 0),))
-        self.states, self.number = [start], {start: 0}
+        self.states, self.number = [(0,)], {(0,): 0}
         self.moves: dict[int, tuple[int, tuple]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Plain merging in order of rank; it only decides which short pairs fit."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge of a token joins; null for one byte or what merging never makes."""
+        got = self.last_merge.get(token, 0)
+        if got == 0:
+            piece = self.token_of[token]
+            parts = [piece[i : i + 1] for i in range(len(piece))]
+            while len(parts) > 2:
+                rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if rank == 1 << 60:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            got = self.last_merge[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return got
+
+    def stands_alone(self, token: int) -> bool:
+        return len(self.token_of[token]) == 1 or self.halves(token) is not None
 
     def may_follow(self, before: int, token: int) -> bool:
+        """Whether merging leaves the two as they are.
+
+        Undoes the merges on both sides of the border, the latest first; the border falls if the
+        two tokens then at it would have been joined before the merge that was undone.
+        """
         got = self.fits.get((before, token))
-        if got is None:
-            alone = self.token_of[token]
-            if before < 0:
-                got = self.merge(alone) == [token]
-            else:
-                got = self.may_follow(-1, token) and self.merge(self.token_of[before] + alone) == [before, token]
-            if len(self.fits) > 4 * MAX_STATES:
-                self.fits.clear()
-            self.fits[before, token] = got
+        if got is not None:
+            return got
+        if len(self.fits) > 4 * MAX_STATES:
+            self.fits.clear()
+        got = self.stands_alone(token)
+        if got and before >= 0:
+            left, right, until_left, until_right = before, token, 1 << 60, 1 << 60
+            while True:
+                joined = self.ranks.get(self.token_of[left] + self.token_of[right], 1 << 60)
+                # Of equal merges the one further left comes first.
+                if joined < until_left and joined <= until_right and joined < 1 << 60:
+                    got = False
+                    break
+                lefts, rights = self.halves(left), self.halves(right)
+                if lefts is None and rights is None:
+                    break
+                if rights is None or (lefts is not None and left > right):
+                    until_left, left = left, lefts[1]
+                else:
+                    until_right, right = right, rights[0]
+        self.fits[before, token] = got
         return got
 
     def move(self, state: int, byte: int) -> tuple[int, tuple]:
-        """The next state and the tokens that become certain."""
-        bounds, walks = self.states[state]
-        bounds, open_walks = list(bounds), []
-        ended = None
-        for bound, node in walks:
+        """The state of all walks that a byte leaves open, and (token, length) of what may end with it."""
+        walks, ends = [], []
+        for node in self.states[state]:
             to = self.child.get(node << 8 | byte)
             if to is None:
                 continue
-            open_walks.append((bound, to))
+            if to in self.inner:  # else the walk can only end here
+                walks.append(to)
             token = self.at_node.get(to)
-            if ended is None and token is not None and self.may_follow(bounds[bound][1], token):
-                ended = (bound, token)
-        bounds.append(ended)
-        open_walks.append((len(bounds) - 1, 0))
-        used = set()
-        for bound, _ in open_walks:
-            while bound >= 0 and bound not in used:
-                used.add(bound)
-                bound = bounds[bound][0]
-        order = sorted(used)
-        children: dict[int, list[int]] = {}
-        for bound in order:
-            children.setdefault(bounds[bound][0], []).append(bound)
-        walking, root, out = {b for b, _ in open_walks}, order[0], []
-        while root not in walking and len(children.get(root, ())) == 1:
-            root = children[root][0]
-            out.append(bounds[root][1])
-        kept = [b for b in order if b >= root]  # a boundary's number is above its parent's
-        place = {b: i for i, b in enumerate(kept)}
-        made = (
-            tuple((place.get(bounds[b][0], -1) if b != root else -1, bounds[b][1]) for b in kept),
-            tuple((place[b], node) for b, node in open_walks),
-        )
+            if token is not None and self.stands_alone(token):
+                ends.append((token, len(self.token_of[token])))
+        made = (*walks, 0)
         number = self.number.get(made)
         if number is None:
             number = self.number[made] = len(self.states)
             self.states.append(made)
-        self.moves[state << 8 | byte] = got = (number, tuple(out))
+        self.moves[state << 8 | byte] = got = (number, tuple(ends))
         return got
 
+    def settle(self, last: list, sizes: list, out: list, window: int) -> None:
+        """Emit the tokens that all open walks agree on, and drop them."""
+        ends = set(range(max(0, len(last) - 1 - window), len(last)))
+        while len(ends) > 1:
+            end = max(ends)
+            ends.remove(end)
+            ends.add(end - sizes[end])
+        at = root = ends.pop()
+        sure = []
+        while at > 0:
+            sure.append(last[at])
+            at -= sizes[at]
+        out += sure[::-1]
+        del last[:root], sizes[:root]
+        sizes[0] = 0
+
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         if len(self.states) > MAX_STATES:
             self.forget()
-        state, out, moves = 0, [], self.moves
+        state, moves, fits = 0, self.moves, self.fits
+        # For each place, the token that ends the prefix up to it, and its length.
+        last, sizes, out = [-1], [0], []
         for byte in piece:
             got = moves.get(state << 8 | byte)
-            state, sure = got if got is not None else self.move(state, byte)
-            if sure:
-                out += sure
-        bounds = self.states[state][0]
-        tail, at = [], len(bounds) - 1
-        while bounds[at][0] >= 0:
-            tail.append(bounds[at][1])
-            at = bounds[at][0]
-        return out + tail[::-1]
+            state, ends = got if got is not None else self.move(state, byte)
+            n = len(last)
+            for token, size in ends:
+                before = last[n - size]
+                fit = fits.get((before, token))
+                if fit or (fit is None and self.may_follow(before, token)):
+                    break
+            last.append(token)
+            sizes.append(size)
+            if n > SETTLE:
+                self.settle(last, sizes, out, self.longest)
+        tail, at = [], len(last) - 1
+        while at > 0:
+            tail.append(last[at])
+            at -= sizes[at]
+        return out + tail[::-1] if out else tail[::-1]
 
 
 class Codec:
@@ -232,37 +263,43 @@ def decode_documents(encoded: DataFrame, path: str | None = None, key: str = "do
     return encoded.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, n_tokens, ids_sha256, decoded_sha256)``, encoding and decoding in one streamed pass."""
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """``(key, n_tokens, ids_sha256, decoded_sha256)``, encoding and decoding in one streamed pass.
+
+    With ``with_ids``, the ids too.
+    """
     raw, pattern = _vocabulary(docs.sparkSession, path, pattern)
 
     def digests(own: Codec, body: str):
-        n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
+        n, ids, back, held = 0, hashlib.sha256(), hashlib.sha256(), []
 
         def counted():
             nonlocal n
             for part in own.encode(body):
                 ids.update((("," if n else "") + part).encode())
                 n += part.count(",") + 1
+                if with_ids:
+                    held.append(np.fromstring(part, np.int32, sep=","))
                 yield part
 
         for part in own.decode(counted()):
             back.update(part.encode("utf-8", "surrogatepass"))
-        return n, ids.hexdigest(), back.hexdigest()
+        return n, ids.hexdigest(), back.hexdigest(), *([np.concatenate(held) if held else np.zeros(0, np.int32)] if with_ids else [])
 
     def run(batches):
         own = codec(raw.value, pattern)
         for batch in batches:
             made = [digests(own, t or "") for t in batch.column(1).to_pylist()]
-            cols = list(zip(*made, strict=True)) or [(), (), ()]
-            kinds = (pa.int64(), pa.string(), pa.string())
+            cols = list(zip(*made, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[key, *names],
             )
 
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * with_ids
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,8 @@ def test_states_can_be_forgotten(own, library, monkeypatch):
 
 def test_long_texts_stream(own, library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "STREAM", 37)
+    monkeypatch.setattr(byte_bpe, "SETTLE", 300)
+    assert ids(own, "ab the" * 900 + "z" * 2000) == library.encode_ordinary("ab the" * 900 + "z" * 2000)
     text = "Some words, é and 日本 " * 300
     assert ids(own, text) == library.encode_ordinary(text)
     assert "".join(own.decode(own.encode(text))) == text
