@@ -341,7 +341,8 @@ def remove(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str
     found = stage(repeats(docs, length, keep, key=key, text=text, **more), "lpf-spans")
     found = found.withColumnRenamed("spans", "__spans")
     rows = docs.withColumn("__row", F.xxhash64(key, F.coalesce(F.col(text), F.lit("")))).join(found, "__row", "left").select(*docs.columns, "__spans")
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
 
     def run(batches):
         for batch in batches:
@@ -349,8 +350,8 @@ def remove(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str
                 t if not s else _kept(t.encode(), s, True)[2].decode()
                 for t, s in zip(batch.column(at).to_pylist(), batch.column("__spans").to_pylist(), strict=True)
             ]
-            cols = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            cols = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     out = rows.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
