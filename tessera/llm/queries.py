@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, fingerprints, language, mixing, quality, simhash, suffix_dedup, topk, url_filter
+from tessera.llm import byte_bpe, fingerprints, language, mixing, quality, simhash, suffix_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_url_redirects": url_filter.op1_url_redirects,
+    "op2_arc_to_warc": warc.op2_arc_to_warc,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_canonical_digest": fingerprints.op4_canonical_digest,
     "op5_language_hierarchy": language.op5_language_hierarchy,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_redirects": url_filter.ORACLE_SQL,
+    "op2_arc_to_warc": warc.ORACLE_SQL,
     "op6_exact_topk": topk.ORACLE_SQL,
     "op10_mix_raked": mixing.ORACLE_SQL,
 }
