@@ -53,6 +53,14 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def broadcast_if_small(staged: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A staged table of fixed-width columns, to be broadcast where it has at most ``rows`` rows.
+
+    Beyond that it is joined by a shuffle.
+    """
+    return F.broadcast(staged) if staged.count() <= rows else staged
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, stage, table
+from tessera.llm.common import broadcast_if_small, partitions, stage, table
 
 MAX_RANGES = 4096
 
@@ -52,12 +52,11 @@ def collisions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = _plain(docs, key, text).withColumn("row", F.xxhash64("id", "text"))
     hashed = rows.select("row", wide_hash(canonical(F.col("text"))).alias("h"))
     shared = hashed.groupBy("h").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stage(shared.select("h", "first"), "fp-shared")
-    canon = rows.select("row", canonical(F.col("text")).alias("canon"))
-    heads = canon.join(shared, canon["row"] == shared["first"]).select("h", F.col("canon").alias("head")).dropDuplicates(["h"])
-    heads = stage(heads, "fp-heads")
-    members = canon.select("canon", wide_hash(F.col("canon")).alias("h"))
-    return members.join(heads, "h").where("canon != head").select("h").distinct()
+    shared = broadcast_if_small(stage(shared.select("h", "first"), "fp-shared"))
+    canon = rows.select("row", canonical(F.col("text")).alias("canon")).withColumn("h", wide_hash(F.col("canon")))
+    members = stage(canon.join(shared, "h"), "fp-members")
+    heads = members.where(F.col("row") == F.col("first")).groupBy("h").agg(F.min("canon").alias("head"))
+    return members.join(stage(heads, "fp-heads"), "h").where("canon != head").select("h").distinct()
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
