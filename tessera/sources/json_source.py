@@ -35,6 +35,9 @@ def leaf_cells(df: DataFrame) -> DataFrame:
     """``(ord, name, v)``: the text of every leaf; name is its path, list items count each."""
     parts: list[Column] = []
 
+    def cell_of(name: str):
+        return lambda v: F.struct(F.lit(0).alias("ord"), F.lit(name).alias("name"), v.cast("string").alias("v"))
+
     def walk(struct: T.StructType, prefix: str, depth: int) -> None:
         for field in struct.fields:
             kind, path, lists = field.dataType, f"{prefix}`{field.name}`", depth
@@ -46,7 +49,7 @@ def leaf_cells(df: DataFrame) -> DataFrame:
             value, name = F.col(path), path.replace("`", "")
             for _ in range(lists - 1):
                 value = F.flatten(value)
-            cell = lambda v, n=name: F.struct(F.lit(0).alias("ord"), F.lit(n).alias("name"), v.cast("string").alias("v"))
+            cell = cell_of(name)
             parts.append(F.coalesce(F.transform(value, cell), F.array().cast("array<struct<ord:int,name:string,v:string>>")) if lists else F.array(cell(value)))
 
     walk(df.schema, "", 0)
