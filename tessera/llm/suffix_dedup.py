@@ -13,7 +13,8 @@ longest-previous-factor reaches ``length``; mirrored, the next occurrence. With
 starts with an earlier occurrence are repeats; with ``keep="none"`` those with any other.
 
 An anchor with more than ``chunk`` distinct contexts is cut by hash into chunks, and each pair of
-chunks is compared in a task of its own; no pair is lost.
+chunks is compared in a task of its own; no pair is lost. Beyond ``most_chunks`` of them, where pairs
+would be too many, the anchor's strings are counted by digest instead, in rows that grow with the contexts.
 
 Defined results: null text counts as empty; texts shorter than ``length`` stay as they are; rows
 that repeat doc_id and text repeat each other, but share one result, so with ``keep="first"`` each is
@@ -35,7 +36,7 @@ from tessera.llm.common import stage, table, unstage
 LENGTH, GRAM = 400, 145
 BUFFER = 1 << 22  # bytes hashed at once
 SORTED = 1 << 21  # bytes of contexts sorted at once, or one anchor's
-CHUNK = 2048
+CHUNK, MOST_CHUNKS = 2048, 8
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -265,7 +266,38 @@ def _compare(contexts: DataFrame, length: int, keep: str) -> DataFrame:
     return dealt.mapInArrow(run, "row long, `from` long, `to` long")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int = GRAM, chunk: int = CHUNK, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _count_starts(contexts: DataFrame, length: int, keep: str) -> DataFrame:
+    """The same as :func:`_compare` for anchors of very many contexts, by counting digests of their strings.
+
+    A string is a row, counted with partial sums before the shuffle; rows grow with the contexts.
+    """
+    def run(batches):
+        for batch in batches:
+            out = []
+            for h, row, doc, p, before, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = memoryview(body)
+                for at in range(len(body) - length + 1):
+                    w = xxhash.xxh3_64_intdigest(raw[at : at + length], before - at + length)
+                    out.append((h, w - (1 << 63), row, doc, p - before + at))
+                    if len(out) == 65536:
+                        yield batch_of(out)
+                        out = []
+            if out:
+                yield batch_of(out)
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["h", "w", "row", "doc", "from"])
+
+    starts = stage(contexts.select("h", "row", "doc", "p", "before", "bytes").mapInArrow(run, "h long, w long, row long, doc long, `from` long"), "lpf-starts")
+    order = F.struct(F.col("doc").isNull().alias("x"), "doc", "row", "from")
+    many = starts.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("one")).where("n > 1")
+    hit = starts.join(stage(many, "lpf-many"), ["h", "w"])
+    if keep == "first":
+        hit = hit.where((F.col("row") != F.col("one.row")) | (F.col("from") != F.col("one.from")))
+    return hit.select("row", "from", (F.col("from") + length).alias("to"))
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int = GRAM, chunk: int = CHUNK, most_chunks: int = MOST_CHUNKS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(__row, spans)``: for rows with repeats, the byte ranges (from, to) to remove, by start; they may overlap."""
     rows = _keyed(docs, key, text)
     anchors = stage(_anchors(rows, key, length, gram), "lpf-anchors")
@@ -284,7 +316,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int
     sizes = stage(distinct.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), "lpf-sizes")
     wanted = distinct.join(sizes, "h").select("h", "d", "row", "doc", "p", "before", "after", "chunks")
     contexts = _cut_contexts(rows, wanted)
-    partial = stage(_compare(contexts, length, keep), "lpf-partial")
+    if sizes.where(F.col("chunks") > most_chunks).first() is None:
+        partial = stage(_compare(contexts, length, keep), "lpf-partial")
+    else:
+        contexts = stage(contexts, "lpf-contexts")
+        some = _compare(contexts.where(F.col("chunks") <= most_chunks), length, keep)
+        partial = stage(some.unionByName(_count_starts(contexts.where(F.col("chunks") > most_chunks), length, keep)), "lpf-partial")
+        unstage(contexts)
     unstage(sizes)
     found = whole.unionByName(partial).groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("found"))
     return found.select(F.col("row").alias("__row"), F.array_sort("found").alias("spans"))

@@ -70,7 +70,13 @@ def test_matches_brute_force_at_full_length(spark, monkeypatch):
 
 def test_chunks_lose_nothing(spark):
     rows = corpus(40, seed=9)
-    assert run(spark, rows, length=40, gram=13, chunk=2) == brute(rows, 40)
+    assert run(spark, rows, length=40, gram=13, chunk=2, most_chunks=1000) == brute(rows, 40)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_counted_strings_lose_nothing(spark, keep):
+    rows = corpus(40, seed=9)
+    assert run(spark, rows, length=40, gram=13, chunk=2, most_chunks=2, keep=keep) == brute(rows, 40, keep)
 
 
 def test_repeated_rows_empty_table_and_removal(spark):
