@@ -75,7 +75,7 @@ def texts():
 def run(spark, rows, chunk=4096):
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA)
     out = simhash.near_duplicates(docs).collect()
-    return sorted((str(r[0]), format(r[1] % 2**64, "x"), str(r[2])) for r in out)
+    return sorted((str(r.doc_id), format(r.fp % 2**64, "x"), str(r.component_id)) for r in out)
 
 
 def test_components_match_brute_force(spark):
