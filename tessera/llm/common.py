@@ -65,6 +65,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def values(column):
+    """The Python values of an Arrow column, one at a time, so that a batch is not held twice."""
+    return (x.as_py() for x in column)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import broadcast_if_small, stage, table, values
 from tessera.llm.quality import fold
 
 # ISO 639-1 codes by branch.
@@ -151,6 +151,7 @@ def train(docs: DataFrame, where: Column | None = None, key: str = "doc_id", tex
     known = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     known = (known.where(where) if where is not None else known).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
     share = known.groupBy("l").agg((F.lit(float(max_rows)) / F.count(F.lit(1))).alias("share"))
+    share = broadcast_if_small(stage(share, "language-share"))  # one row a language; else every text would be shuffled
     unit = F.pmod(F.xxhash64(F.lit(5), F.col("k")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = known.join(share, "l").where(unit < F.col("share")).select(F.col("k").cast("string").alias("k"), "l", "t")
 
@@ -177,7 +178,7 @@ def identify(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str
 
     def run(batches):
         for batch in batches:
-            made = [predict(shared.value, t) for t in batch.column(1).to_pylist()]
+            made = [predict(shared.value, t) for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
                 names=[key, "lang_pred", "score"],
