@@ -26,10 +26,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import table
+from tessera.llm.common import table, values
 
-MAX_STATES = 300_000
-MAX_PIECES = 500_000
+MAX_STATES = 100_000
+MAX_FITS = 400_000
+MAX_PIECES = 250_000
 LONG_PIECE = 48
 SETTLE = 4096  # bytes after which a long piece emits what is certain
 STREAM = 200_000  # pieces of a text that are held at once
@@ -93,7 +94,7 @@ class Transducer:
         got = self.fits.get((before, token))
         if got is not None:
             return got
-        if len(self.fits) > 4 * MAX_STATES:
+        if len(self.fits) > MAX_FITS:
             self.fits.clear()
         got = self.stands_alone(token)
         if got and before >= 0:
@@ -289,7 +290,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     def run(batches):
         own = codec(raw.value, pattern)
         for batch in batches:
-            made = [digests(own, t or "") for t in batch.column(1).to_pylist()]
+            made = [digests(own, t or "") for t in values(batch.column(1))]
             cols = list(zip(*made, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[key, *names],

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, table
+from tessera.llm.common import stage, table, values
 
 BITS = 18
 MAX_ROWS = 12_000
@@ -37,7 +37,7 @@ class _Words(dict):
     """token -> hash << 3 | shape; bounded, since old entries are dropped all at once."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         shape = 4 if not (token[0].isalnum() or token[0] == "_") else 3 if token.isdigit() else 2 if len(token) > 1 and token.isupper() else 1 if token[0].isupper() else 0
         got = xxhash.xxh64_intdigest(token.lower().encode("utf-8", "surrogatepass")) >> 3 << 3 | shape
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(column):
-        return np.array([logistic(raw_score(*shared.value, t)) for t in column.to_pylist()])
+        return np.array([logistic(raw_score(*shared.value, t)) for t in values(column)])
 
     if passing:
         at = docs.columns.index(text)

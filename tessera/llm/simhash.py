@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, table, unstage
+from tessera.llm.common import stage, table, unstage, values
 from tessera.llm.components import connected_components
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -54,7 +54,7 @@ def with_fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text
     """``(key, fp)``: fp is the fingerprint's 64 bits as a signed long."""
     def run(batches):
         for batch in batches:
-            made = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            made = np.array([fingerprint(t, words) for t in values(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=[key, "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -220,10 +220,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     groups = stage(near_duplicates(docs, key=key, text=text), "simhash-groups")
     rows = groups.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"), F.max(F.col(key) == F.col("component_id")).alias("__first"))
-    named = stage(rows.where(F.col("__first")).drop("__first"), "simhash-kept")
-    found = docs.join(named, key).select(*docs.columns, "__rows")
-    alone = found.where("__rows = 1").drop("__rows")
-    odd = found.where("__rows > 1").drop("__rows").unionByName(docs.where(F.col(key).isNull()))
+    rows = rows.where(F.col("__first"))
+    # Keys of several rows are few; apart from the others they are joined without moving texts.
+    one, several = (stage(rows.where(w).select(key), "simhash-kept") for w in ("__rows = 1", "__rows > 1"))
+    alone = docs.join(one, key, "left_semi")
+    odd = docs.join(several, key, "left_semi").unionByName(docs.where(F.col(key).isNull()))
     odd = odd.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     marked = with_fingerprints(odd, key="row", text="text").distinct()
     of_class = groups.select("fp", "component", "component_id").distinct()

@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, table, unstage
+from tessera.llm.common import stage, table, unstage, values
 
 LENGTH, GRAM = 400, 145
-BUFFER = 1 << 22  # bytes hashed at once
-SORTED = 1 << 21  # bytes of contexts sorted at once, or one anchor's
+BUFFER = 1 << 20  # bytes hashed at once
+SORTED = 1 << 20  # bytes of contexts sorted at once, or one anchor's
 CHUNK, MOST_CHUNKS = 2048, 8
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -178,7 +178,7 @@ def _anchors(rows: DataFrame, key: str, length: int, gram: int) -> DataFrame:
     def run(batches):
         parts, offsets, rows_, docs_, held = [], [], [], [], 0
         for batch in batches:
-            for row, doc, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, doc, body in zip(*map(values, batch.columns), strict=True):
                 for at in range(0, max(1, len(body) - length + 1), BUFFER):
                     part = body[at : at + BUFFER + length - 1]
                     if len(part) < length:
@@ -241,7 +241,7 @@ def _compare(contexts: DataFrame, length: int, keep: str) -> DataFrame:
     def run(batches):
         groups, group, held, now = [], [], 0, None
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for r in zip(*map(values, batch.columns), strict=True):
                 if r[:2] != now:
                     if len(group) > 1:
                         groups.append(group)
@@ -360,7 +360,7 @@ def measure(docs: DataFrame, length: int = LENGTH, keep: str = "none", key: str
     def run(batches):
         for batch in batches:
             made = []
-            for body, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for body, spans in zip(values(batch.column(1)), values(batch.column(2)), strict=True):
                 removed, n, left = _kept(body, spans, False)
                 made.append((len(body), removed, n, hashlib.sha256(left).hexdigest()))
             cols = list(zip(*made, strict=True)) or [()] * 4
@@ -386,7 +386,7 @@ def remove(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str
         for batch in batches:
             texts = [
                 t if not s else _kept(t.encode(), s, True)[2].decode()
-                for t, s in zip(batch.column(at).to_pylist(), batch.column("__spans").to_pylist(), strict=True)
+                for t, s in zip(values(batch.column(at)), values(batch.column("__spans")), strict=True)
             ]
             cols = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
