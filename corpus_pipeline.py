@@ -1,4 +1,4 @@
-"""From raw documents to token ids: five stages, each one of the corpus operators.
+"""From raw documents to token ids: five stages, built from the corpus operators.
 
 Each stage works on all that the one before it kept. ``run`` writes a stage's rows to the shared
 folder as Parquet and reads them back as the next one's documents.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, mixing, quality, simhash, suffix_dedup
+from tessera.llm import byte_bpe, jaccard, mixing, quality, suffix_dedup
 from tessera.llm.common import stage, table
 
 
@@ -20,8 +20,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near duplicates: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return jaccard.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

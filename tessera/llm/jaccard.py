@@ -1,0 +1,189 @@
+"""Near duplicates by the exact Jaccard similarity of word shingles: the pipeline's stage.
+
+Two texts are linked where their sets of ``words``-word shingles have a Jaccard similarity of ``least``
+or more; a group is what links connect. 64 bits of SimHash cannot tell that: at 0.8 about ten bits
+differ, give or take three, and no block layout finds that far a neighbour without comparing most pairs.
+
+Equal sets are merged first. MinHash bands (48 of six rows: a pair at 0.8 shares none with a chance of
+5e-7, at 0.9 of 2e-16) only say which sets may be linked. What the bands connect is brought together, each
+set once, and linked by counting shared shingles. A candidate group of more than ``chunk`` shingles is
+cut by hash into chunks, and each pair of chunks is linked in a task of its own, so no pair is lost.
+
+Defined results: null text counts as empty, and texts without words are equal; fewer words than a
+shingle are one shingle; words are cut at ASCII white space and ASCII letters folded, as in ``simhash``;
+null keys come last; an empty table gives an empty result. Equality is up to 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import broadcast_if_small, stage, unstage, values
+from tessera.llm.components import connected_components
+
+WORDS, LEAST = 5, 0.8
+BANDS, ROWS = 48, 6
+CHUNK = 1 << 19
+_FACTORS = np.random.default_rng(8).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(tokens) <= words:
+        made = [b" ".join(tokens)] if tokens else []
+    else:
+        made = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, made, repeat(42)), np.uint64))
+
+
+def digest(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One key a band; equal sets have equal keys, and no set without shingles has any."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (_FACTORS * hashes[at : at + 2048]).min(axis=1), out=least)
+    least, keys = least.reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        keys = (keys ^ least[:, i]) * _MIX
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def links(sets: list[np.ndarray], least: float = LEAST) -> tuple[list[int], list[int]]:
+    """(member, root) index pairs that connect all sets, none of them empty, that links connect."""
+    sizes = np.array([len(s) for s in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    members, roots = [], []
+    left, inside = np.arange(len(sets)), flat
+    marked = np.zeros(len(names), bool)
+    while len(left):
+        root = left[0]
+        inside, left = inside[sizes[root] :], left[1:]
+        open_ = [root]
+        while open_ and len(left):
+            p = open_.pop()
+            mine = flat[bounds[p] : bounds[p + 1]]
+            marked[mine] = True
+            n = sizes[left]
+            shared = np.add.reduceat(marked[inside], np.cumsum(n) - n, dtype=np.int64)
+            marked[mine] = False
+            near = shared >= least * (n + sizes[p] - shared) - 1e-6
+            if near.any():
+                found = left[near].tolist()
+                open_ += found
+                members += found
+                roots += [int(root)] * len(found)
+                inside, left = inside[np.repeat(~near, n)], left[~near]
+    return members, roots
+
+
+def _with_row(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.withColumn("__row", F.xxhash64(key, F.coalesce(F.col(text), F.lit(""))))
+
+
+def _sets(docs: DataFrame, kind: str, words: int, key: str, text: str) -> DataFrame:
+    """``(key, row, c, n, keys)``: the digest and size of a text's set, and its bands."""
+    def run(batches):
+        for batch in batches:
+            made = [shingles(t, words) for t in values(batch.column(2))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array(map(digest, made), pa.int64()),
+                    pa.array(map(len, made), pa.int64()), pa.array(map(bands, made), pa.list_(pa.int64())),
+                ],
+                names=[key, "row", "c", "n", "keys"],
+            )
+
+    rows = _with_row(docs, key, text).select(key, "__row", text)
+    return rows.mapInArrow(run, f"`{key}` {kind}, row bigint, c bigint, n bigint, keys array<bigint>")
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """``(c, component)`` of the sets that share a band with another, directly or over others."""
+    rows = classes.select("c", F.explode("keys").alias("k"))
+    several = rows.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b")
+    several = stage(several.select("k", "a"), "jaccard-bands")
+    edges = stage(rows.join(several, "k").where("c != a").select("a", F.col("c").alias("b")).distinct(), "jaccard-may")
+    found = stage(connected_components(edges).select(F.col("node").alias("c"), "component"), "jaccard-candidates")
+    unstage(several, edges)
+    return found
+
+
+def _linked(docs: DataFrame, classes: DataFrame, words: int, least: float, chunk: int, key: str, text: str) -> DataFrame:
+    """``(a, b)``: edges over set digests that connect what links connect."""
+    found = stage(_candidates(classes).join(classes.select("c", "n", "row"), "c"), "jaccard-found")
+    sizes = stage(found.groupBy("component").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks")), "jaccard-sizes")
+    wanted = stage(found.join(sizes, "component").select("c", "row", "component", "chunks"), "jaccard-wanted")
+    unstage(found, sizes)
+    texts = _with_row(docs, key, text).select(F.col("__row").alias("row"), F.col(text).alias("text"))
+    texts = texts.join(broadcast_if_small(wanted), "row")
+
+    def cut(batches):
+        for batch in batches:
+            made = [shingles(t, words).tobytes() for t in values(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], names=["c", "component", "chunks", "hashes"])
+
+    chunks = F.col("chunks")
+    mine = F.pmod(F.xxhash64("c"), chunks).cast("int")
+    pairs = F.when(chunks <= 1, F.array(F.lit(0))).otherwise(
+        F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.least(o, mine) * chunks + F.greatest(o, mine))
+    )
+    sets = texts.select("c", "component", "chunks", "text").mapInArrow(cut, "c bigint, component bigint, chunks int, hashes binary")
+    dealt = sets.select("component", F.explode(pairs).alias("pair"), "c", "hashes")
+    dealt = dealt.repartition("component", "pair").sortWithinPartitions("component", "pair")
+
+    def run(batches):
+        group, now = {}, None
+        for batch in batches:
+            for component, pair, c, hashes in zip(*map(values, batch.columns), strict=True):
+                if (component, pair) != now:
+                    yield from joined(group)
+                    group, now = {}, (component, pair)
+                group[c] = hashes  # rows that repeat key and text come more than once
+        yield from joined(group)
+
+    def joined(group):
+        if len(group) > 1:
+            ids = list(group)
+            a, b = links([np.frombuffer(group[c], np.uint64) for c in ids], least)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in x], pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, least: float = LEAST, chunk: int = CHUNK, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest key, of several such rows any one."""
+    marked = stage(_sets(docs, docs.schema[key].dataType.simpleString(), words, key, text), "jaccard-sets")
+    order = F.struct(F.col(key).isNull().alias("x"), F.col(key).alias("key"), "row")
+    classes = stage(marked.groupBy("c").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("row").alias("row")), "jaccard-classes")
+    edges = stage(_linked(docs, classes, words, least, chunk, key, text), "jaccard-edges")
+    unstage(classes)
+    groups = stage(connected_components(edges).withColumnRenamed("node", "c"), "jaccard-groups")
+    unstage(edges)
+    rows = marked.select(key, "row", "c").join(groups, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    rows = stage(rows.select(key, "row", "component"), "jaccard-rows")
+    first = rows.groupBy("component").agg(F.min(order).alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = stage(first.select("component", F.col("one.row").alias("one")), "jaccard-first")
+    listed = rows.join(first, "component").groupBy("row").agg(F.max(F.col("row") == F.col("one")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    # Only rows that go, or stay once of several that repeat key and text, are joined.
+    listed = stage(listed.where("not stays or n > 1").select(F.col("row").alias("__row"), "stays"), "jaccard-listed")
+    unstage(marked, groups, rows, first)
+    numbered = _with_row(docs, key, text)
+    alone = numbered.join(broadcast_if_small(listed.select("__row")), "__row", "left_anti")
+    again = numbered.join(broadcast_if_small(listed.where("stays").select("__row")), "__row", "left_semi").dropDuplicates(["__row"])
+    return alone.unionByName(again).select(*docs.columns)
