@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tessera.llm import byte_bpe, jaccard, mixing, quality, suffix_dedup
 from tessera.llm.common import stage, table
 
+PASSAGE_WORDS = 51
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from two thirds of the labels, does not reject."""
@@ -25,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of long passages."""
-    return suffix_dedup.remove(docs)
+    """Texts without the later copies of passages of over 50 words."""
+    return suffix_dedup.remove(docs, words=PASSAGE_WORDS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,9 @@ An anchor with more than ``chunk`` distinct contexts is cut by hash into chunks,
 chunks is compared in a task of its own; no pair is lost. Beyond ``most_chunks`` of them, where pairs
 would be too many, the anchor's strings are counted by digest instead, in rows that grow with the contexts.
 
+With ``words``, a string is that many words instead, however they are spaced: each text is compared as
+the 48-bit hashes of its words end to end, and only ranges of that many whole words count.
+
 Defined results: null text counts as empty; texts shorter than ``length`` stay as they are; rows
 that repeat doc_id and text repeat each other, but share one result, so with ``keep="first"`` each is
 treated as the first; null doc_ids come last; an empty table gives an empty result.
@@ -24,6 +27,7 @@ treated as the first; null doc_ids come last; an empty table gives an empty resu
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stage, table, unstage, values
 
 LENGTH, GRAM = 400, 145
+WORD = 6  # bytes that stand for a word
 BUFFER = 1 << 20  # bytes hashed at once
 SORTED = 1 << 20  # bytes of contexts sorted at once, or one anchor's
 CHUNK, MOST_CHUNKS = 2048, 8
@@ -145,12 +150,24 @@ def repeated_starts(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, le
     return out
 
 
+def word_bytes(body: bytes) -> bytes:
+    """The hashes of a text's words, ``WORD`` bytes each."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, body.split()), np.uint64)
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :WORD].tobytes()
+
+
+def _word_spans(body: bytes, spans) -> list[dict]:
+    """Ranges of words as ranges of bytes, each with the white space that follows it unless it ends the text."""
+    places = [m.span() for m in re.finditer(rb"\S+", body)]
+    return [{"from": places[s["from"]][0], "to": places[s["to"]][0] if s["to"] < len(places) else places[-1][1]} for s in spans]
+
+
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumn("__row", F.xxhash64(key, body)).withColumn("__body", body.cast("binary"))
 
 
-def _anchors(rows: DataFrame, key: str, length: int, gram: int) -> DataFrame:
+def _anchors(rows: DataFrame, key: str, length: int, gram: int, by_word: bool = False) -> DataFrame:
     """``(h, d, row, doc, p, lo, hi)``: p is the anchor, lo to hi the context around it."""
 
     def made(parts, offsets, rows_, docs_):
@@ -179,6 +196,7 @@ def _anchors(rows: DataFrame, key: str, length: int, gram: int) -> DataFrame:
         parts, offsets, rows_, docs_, held = [], [], [], [], 0
         for batch in batches:
             for row, doc, body in zip(*map(values, batch.columns), strict=True):
+                body = word_bytes(body) if by_word else body
                 for at in range(0, max(1, len(body) - length + 1), BUFFER):
                     part = body[at : at + BUFFER + length - 1]
                     if len(part) < length:
@@ -199,7 +217,7 @@ def _anchors(rows: DataFrame, key: str, length: int, gram: int) -> DataFrame:
     )
 
 
-def _cut_contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _cut_contexts(rows: DataFrame, wanted: DataFrame, by_word: bool = False) -> DataFrame:
     """The bytes of the contexts that ``wanted`` lists by row."""
     listed = wanted.groupBy("row").agg(F.collect_set(F.struct("h", "d", "doc", "p", "before", "after", "chunks")).alias("list"))
     one = rows.select(F.col("__row").alias("row"), "__body")
@@ -207,7 +225,17 @@ def _cut_contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         *(c[x].alias(x) for x in ("h", "d", "doc", "p", "before", "chunks")),
         F.substring(F.col("__body"), (c["p"] - c["before"] + 1).cast("int"), c["before"] + c["after"]).alias("bytes"),
     ))
-    return one.join(listed, "row").select("row", F.explode(cut).alias("c")).select("row", "c.*")
+
+    def encode(batches):
+        for batch in batches:
+            made = pa.array(map(word_bytes, values(batch.column("__body"))), pa.binary())
+            cols = [made if n == "__body" else batch.column(n) for n in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    found = one.join(listed, "row")
+    if by_word:
+        found = found.mapInArrow(encode, found.schema)
+    return found.select("row", F.explode(cut).alias("c")).select("row", "c.*")
 
 
 def _compare(contexts: DataFrame, length: int, keep: str) -> DataFrame:
@@ -297,10 +325,15 @@ def _count_starts(contexts: DataFrame, length: int, keep: str) -> DataFrame:
     return hit.select("row", "from", (F.col("from") + length).alias("to"))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int = GRAM, chunk: int = CHUNK, most_chunks: int = MOST_CHUNKS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(__row, spans)``: for rows with repeats, the byte ranges (from, to) to remove, by start; they may overlap."""
+def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int = GRAM, chunk: int = CHUNK, most_chunks: int = MOST_CHUNKS, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+    """``(__row, spans)``: for rows with repeats, the byte ranges (from, to) to remove, by start; they may overlap.
+
+    With ``words``, strings of that many words are looked for, and the ranges count words.
+    """
     rows = _keyed(docs, key, text)
-    anchors = stage(_anchors(rows, key, length, gram), "lpf-anchors")
+    if words:
+        length, gram = words * WORD, words * WORD * GRAM // LENGTH
+    anchors = stage(_anchors(rows, key, length, gram, bool(words)), "lpf-anchors")
     many = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("a"), F.max("d").alias("b")).where("n > 1")
     many = stage(many.select("h", (F.col("a") != F.col("b")).alias("differ")), "lpf-many")
     shared = stage(anchors.join(many, "h"), "lpf-shared")
@@ -315,7 +348,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int
     distinct = same.where("differ").select("h", "d", "one.*")
     sizes = stage(distinct.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), "lpf-sizes")
     wanted = distinct.join(sizes, "h").select("h", "d", "row", "doc", "p", "before", "after", "chunks")
-    contexts = _cut_contexts(rows, wanted)
+    contexts = _cut_contexts(rows, wanted, bool(words))
     if sizes.where(F.col("chunks") > most_chunks).first() is None:
         partial = stage(_compare(contexts, length, keep), "lpf-partial")
     else:
@@ -324,7 +357,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int
         partial = stage(some.unionByName(_count_starts(contexts.where(F.col("chunks") > most_chunks), length, keep)), "lpf-partial")
         unstage(contexts)
     unstage(sizes)
-    found = whole.unionByName(partial).groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("found"))
+    found = whole.unionByName(partial)
+    if words:
+        found = found.select("row", F.ceil(F.col("from") / WORD).alias("from"), F.floor(F.col("to") / WORD).alias("to")).where(F.col("to") - F.col("from") >= words)
+    found = found.groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("found"))
     return found.select(F.col("row").alias("__row"), F.array_sort("found").alias("spans"))
 
 
@@ -374,9 +410,12 @@ def measure(docs: DataFrame, length: int = LENGTH, keep: str = "none", key: str
     return rows.select(key, "__body", "spans").mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def remove(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """``docs`` with repeats cut out of the text; a character cut in two stays whole, ``n_chars`` follows."""
-    found = stage(repeats(docs, length, keep, key=key, text=text, **more), "lpf-spans")
+def remove(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str = "doc_id", text: str = "text", words: int | None = None, **more) -> DataFrame:
+    """``docs`` with repeats of ``length`` bytes, or of ``words`` words, cut out of the text.
+
+    A character cut in two stays whole; ``n_chars`` follows.
+    """
+    found = stage(repeats(docs, length, keep, key=key, text=text, words=words, **more), "lpf-spans")
     found = found.withColumnRenamed("spans", "__spans")
     rows = docs.withColumn("__row", F.xxhash64(key, F.coalesce(F.col(text), F.lit("")))).join(found, "__row", "left").select(*docs.columns, "__spans")
     names = docs.columns
@@ -385,7 +424,7 @@ def remove(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str
     def run(batches):
         for batch in batches:
             texts = [
-                t if not s else _kept(t.encode(), s, True)[2].decode()
+                t if not s else _kept(t.encode(), _word_spans(t.encode(), s) if words else s, True)[2].decode()
                 for t, s in zip(values(batch.column(at)), values(batch.column("__spans")), strict=True)
             ]
             cols = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
