@@ -83,7 +83,7 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 
     links = F.array_compact(
         F.array(
-            F.when(text.contains("canonical") | text.contains("CANONICAL"), target(_CANONICAL, _HREF)),
+            F.when(F.lower(text).contains("canonical"), target(_CANONICAL, _HREF)),
             F.when(F.lower(text).contains("http-equiv"), target(_REFRESH, _REFRESH_URL)),
         )
     )

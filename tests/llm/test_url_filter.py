@@ -51,3 +51,14 @@ def test_components_of_long_paths_and_hubs(spark):
     hub = spark.range(500).select((F.col("id") + 1000).alias("a"), F.lit(5000).cast("long").alias("b"))
     got = dict(map(tuple, connected_components(path.union(hub).union(path)).collect()))
     assert got == {i: 0 for i in range(61)} | {i: 1000 for i in [*range(1000, 1500), 5000]}
+
+
+def test_mixed_case_canonical_links_match_sql(spark):
+    pages = [(1, "http://x.com/", '<link rel="Canonical" href="http://bad.net/1">'), (2, "http://y.com/", "<LINK href='http://ok.org/fr/' REL=cAnOnIcAl>")]
+    got = url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", pages)
+    want = con.execute(f"select {', '.join(got.columns)} from ({url_filter.ORACLE_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "allow"}
