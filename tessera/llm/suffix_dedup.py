@@ -267,18 +267,21 @@ def _compare(contexts: DataFrame, length: int, keep: str) -> DataFrame:
         )
 
     def run(batches):
-        groups, group, held, now = [], [], 0, None
+        groups, group, held, now, seen = [], [], 0, None, set()
         for batch in batches:
             for r in zip(*map(values, batch.columns), strict=True):
                 if r[:2] != now:
                     if len(group) > 1:
                         groups.append(group)
                         held += sum(len(x[4]) for x in group)
-                    group, now = [], r[:2]
+                    group, now, seen = [], r[:2], set()
                     if held >= SORTED:
                         yield from found(groups)
                         groups, held = [], 0
-                group.append(r[2:])
+                place = r[2], r[4], r[5]
+                if place not in seen:  # rows that repeat doc_id and text bring a context more than once
+                    seen.add(place)
+                    group.append(r[2:])
         if len(group) > 1:
             groups.append(group)
         if groups:

@@ -89,6 +89,16 @@ def test_repeated_rows_empty_table_and_removal(spark):
     assert sorted((r.doc_id, r.text, r.n_chars) for r in kept.collect()) == [(1, same + "one", 33), (2, "twoÀĀ", 5)]
 
 
+@pytest.mark.parametrize("most_chunks", [8, 0])
+def test_repeated_rows_stay_first_beside_a_shared_passage(spark, most_chunks):
+    rng = random.Random(1)
+    say = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage = say(60)
+    first, last = say(30) + passage + say(30), [say(30), say(30)]
+    kept = sd.remove(frame(spark, [(1, first), (1, first), (2, last[0] + passage + last[1])]), length=40, gram=13, most_chunks=most_chunks)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, first), (1, first), (2, "".join(last))]
+
+
 def test_suffix_ranks_sort_by_prefix():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 3, 300).astype(np.uint8)
