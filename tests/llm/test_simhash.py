@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessera.llm import simhash
@@ -44,19 +45,37 @@ def test_fingerprint_as_stated():
     assert simhash.fingerprint(None) == 0
 
 
-def test_forest_matches_brute_force():
+def codes(n, rng, flips=2):
+    """Fingerprints near six centres, and others apart."""
+    made = rng.integers(0, 2**64, (6, 2), np.uint64)[rng.integers(0, 6, n)]
+    for _ in range(flips):
+        made[np.arange(n), rng.integers(0, 2, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    return np.concatenate([made, rng.integers(0, 2**64, (n // 3, 2), np.uint64)])
+
+
+@pytest.mark.parametrize("frontier", [1 << 18, 100])
+@pytest.mark.parametrize("limit", [3, 40])
+def test_forest_matches_brute_force(limit, frontier, monkeypatch):
+    monkeypatch.setattr(simhash, "FRONTIER", frontier)
     rng = np.random.default_rng(1)
-    centres = rng.integers(0, 2**64, 6, np.uint64)
-    fps = np.unique(np.concatenate([centres[rng.integers(0, 6, 900)] ^ (np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64))
-                                    ^ (np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64)), rng.integers(0, 2**64, 300, np.uint64)]))
-    child, root = simhash.forest(fps)
-    place = {int(f): i for i, f in enumerate(fps)}
-    got, want = np.arange(len(fps)), np.arange(len(fps))
-    got = simhash._merge(got, np.array([place[int(x)] for x in child]), np.array([place[int(x)] for x in root]))
-    a, b = np.triu_indices(len(fps), 1)
-    near = np.bitwise_count(fps[a] ^ fps[b]) <= 3
-    want = simhash._merge(want, a[near], b[near])
+    fps = codes(900, rng)
+    buckets = rng.choice([1, 1, 1, 1, 5, 6, 7, 8, 9], len(fps)) + 10 * (rng.random(len(fps)) < 0.01)
+    child, root = simhash.forest(buckets, fps, limit)
+    got, want = (simhash._merge(np.arange(len(fps)), x, y) for x, y in ((child, root), (root, child)))
     assert (got == want).all()
+    a, b = np.triu_indices(len(fps), 1)
+    near = (buckets[a] == buckets[b]) & (np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= limit)
+    assert (got == simhash._merge(np.arange(len(fps)), a[near], b[near])).all() and near.sum() > 500
+
+
+def test_index_prunes_groups_and_visits_each_small_bucket():
+    rng = np.random.default_rng(2)
+    index = simhash.GrayIndex(np.repeat(np.arange(40), 2), np.repeat(rng.integers(0, 2**64, (40, 1), np.uint64), 2, axis=0))
+    assert len(index.starts) == 2 and len(index.patterns[1]) == 40  # even buckets of two have a node of their own
+    seen = []
+    index = simhash.GrayIndex(np.zeros(4096, np.int64), codes(3072, rng))
+    index.linked(np.arange(4096), 3, lambda level, q, n: seen.append(len(q)) or np.zeros(len(q), bool))
+    assert len(seen) == len(index.starts) and seen[-1] < 4096 * 4095 / 4
 
 
 def texts():
@@ -72,7 +91,7 @@ def texts():
     return rows + [(7, base[3]), (300, None), (301, ""), (None, base[1]), (302, "one two"), (None, "only here " * 9)]
 
 
-def run(spark, rows, chunk=4096):
+def run(spark, rows):
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA)
     out = simhash.near_duplicates(docs).collect()
     return sorted((str(r.doc_id), format(r.fp % 2**64, "x"), str(r.component_id)) for r in out)
@@ -83,11 +102,12 @@ def test_components_match_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_hot_buckets_in_chunks_lose_no_link(spark):
+@pytest.mark.parametrize("bucket", [3, 20])
+def test_hot_buckets_in_chunks_lose_no_link(spark, bucket):
     fps = sorted({simhash.fingerprint(t) for _, t in texts()})
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
     whole = simhash.connected_components(simhash.link_fingerprints(df)).collect()
-    cut = simhash.connected_components(simhash.link_fingerprints(df, chunk=3)).collect()
+    cut = simhash.connected_components(simhash.link_fingerprints(df, bucket=bucket)).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, cut)) and whole
 
 
@@ -95,11 +115,8 @@ def test_empty_table(spark):
     assert run(spark, []) == []
 
 
-def test_keep_one(spark):
+def test_links_of_the_query_come_from_the_index(spark, monkeypatch):
+    """Without the index there is no link but between equal fingerprints."""
+    monkeypatch.setattr(simhash, "gray_links", lambda *_: lambda dealt: dealt.selectExpr("fp a", "fp b").where("a != b"))
     rows = texts()
-    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA)
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = [r[0] for r in kept.collect()]
-    want = {c for _, _, c in brute(rows)}
-    assert {str(i) for i in ids} == want and len(ids) == len(want)
+    assert len({c for _, _, c in run(spark, rows)}) == len({f for _, f, _ in brute(rows)}) > len({c for _, _, c in brute(rows)})
