@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where a session names none (tests in local mode), a temporary folder is made and set.
+    Where a session names none, one is made and set in local mode; a cluster has to name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="tessera-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -53,12 +56,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def broadcast_if_small(staged: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A staged table of fixed-width columns, to be broadcast where it has at most ``rows`` rows.
+def broadcast_if_small(staged: DataFrame, items: Column | None = None, most: int = 500_000) -> DataFrame:
+    """A staged table of fixed-width columns, to be broadcast where it has at most ``most`` rows.
 
-    Beyond that it is joined by a shuffle.
+    ``items`` counts the entries of a row's list, which then count as well. Beyond that it is joined by a shuffle.
     """
-    return F.broadcast(staged) if staged.count() <= rows else staged
+    held = F.count(F.lit(1)) if items is None else F.count(F.lit(1)) + F.coalesce(F.sum(items), F.lit(0))
+    return F.broadcast(staged) if staged.agg(held).first()[0] <= most else staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

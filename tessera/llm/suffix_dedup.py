@@ -3,45 +3,48 @@
 A string of ``length`` bytes that occurs twice holds the same anchor in both places: the leftmost
 of its 145-byte substrings with the least rolling hash. So each start of such a string belongs to
 one anchor, starts of one anchor form a run, and only runs of the same anchor need be compared.
-Runs whose whole context is the same, byte by byte under a 64-bit digest besides the anchor's
-hash, are counted before anything is moved; only contexts that differ are sent on, once each.
+Copies of a run's whole context (64 bits of digest besides the anchor's hash) are merged before
+anything is moved: the second one and later ones repeat it whole. Contexts that differ are sent on, once each.
 
-Those are brought together by anchor and laid end to end. Their suffix array, by prefix doubling
-up to ``length`` bytes, puts equal strings next to each other, in order of position. In it the
-previous smaller position of any but the first of equal strings is its left neighbour, and the
-longest-previous-factor reaches ``length``; mirrored, the next occurrence. With ``keep="first"`` the
-starts with an earlier occurrence are repeats; with ``keep="none"`` those with any other.
+Those are brought together by anchor and laid end to end. Their suffix array, by prefix doubling up to
+``length`` bytes, has the common prefixes of neighbours; previous and next smaller positions in suffix
+order give each start its longest previous factor, and the same over positions turned round its longest
+following one. With ``keep="first"`` the starts whose previous factor reaches ``length`` are repeats;
+with ``keep="none"`` those with either.
 
-An anchor with more than ``chunk`` distinct contexts is cut by hash into chunks, and each pair of
-chunks is compared in a task of its own; no pair is lost. Beyond ``most_chunks`` of them, where pairs
-would be too many, the anchor's strings are counted by digest instead, in rows that grow with the contexts.
+An anchor with more than ``most`` distinct contexts (a very common line) is divided by a second, longer
+anchor within its contexts, then by whole strings of ``length``, each a bounded task of its own. The rows of
+that grow with the contexts, and strings that are equal share every anchor, so no match is lost.
 
 With ``words``, a string is that many words instead, however they are spaced: each text is compared as
 the 48-bit hashes of its words end to end, and only ranges of that many whole words count.
 
-Defined results: null text counts as empty; texts shorter than ``length`` stay as they are; rows
-that repeat doc_id and text repeat each other, but share one result, so with ``keep="first"`` each is
-treated as the first; null doc_ids come last; an empty table gives an empty result.
+Defined results: null text counts as empty; texts shorter than ``length`` stay as they are; very long texts
+are hashed in slices, and the contexts and ranges listed for one text are fewer than its bytes; of equal strings the
+first is that of the smallest doc_id, then place; rows that repeat doc_id and text repeat each other, but share
+one result, so with ``keep="first"`` each is treated as the first; null doc_ids come last; an empty table gives
+an empty result; other columns are kept or ignored as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, table, unstage, values
+from tessera.llm.common import broadcast_if_small, stage, table, unstage, values
 
 LENGTH, GRAM = 400, 145
 WORD = 6  # bytes that stand for a word
 BUFFER = 1 << 20  # bytes hashed at once
 SORTED = 1 << 20  # bytes of contexts sorted at once, or one anchor's
-CHUNK, MOST_CHUNKS = 2048, 8
+MOST = 512  # distinct contexts of an anchor compared at once
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -134,19 +137,39 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return rank
 
 
+def previous_factors(places: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each suffix in suffix order, its longest common prefix with one at a smaller place.
+
+    ``places`` are those of the suffixes, ``common`` the prefix each shares with the one before it in
+    suffix order; what is too short to matter may count as 0. The longest previous factor is found at the previous
+    or the next smaller place in that order.
+    """
+    def before(place, shared):
+        at, least = np.arange(len(place)) - 1, shared.copy()
+        least[:1] = 0
+        open_ = np.flatnonzero((least > 0) & (place[at] > place))
+        while len(open_):  # all between at[i] and i have larger places, so the search goes on where at[i]'s ended
+            over = at[open_]
+            least[open_], at[open_] = np.minimum(least[open_], least[over]), at[over]
+            open_ = open_[(least[open_] > 0) & (place[at[open_]] > place[open_])]
+        return least
+
+    return np.maximum(before(places, common), before(places[::-1], np.concatenate([common[:1], common[:0:-1]]))[::-1])
+
+
 def repeated_starts(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, length: int, keep: str = "none") -> np.ndarray:
     """Which of ``starts`` begin a string of ``length`` bytes that begins at another of their group too.
 
     ``starts`` are in order of position; with ``keep="first"``, only one before counts.
     """
     rank = suffix_ranks(data, length)[starts] * (int(groups[-1]) + 1) + groups
-    order = np.argsort(rank, kind="stable")  # the suffix array: equal strings by position
-    same = np.concatenate([[False], rank[order[1:]] == rank[order[:-1]]])
-    # Previous smaller position in suffix order: the left neighbour, within equal strings.
-    previous = same
-    following = np.concatenate([same[1:], [False]])
+    order = np.argsort(rank, kind="stable")  # the suffix array of the starts, of equal strings by position
+    common = np.concatenate([[0], np.where(rank[order[1:]] == rank[order[:-1]], length, 0)])
+    factor = previous_factors(order, common)
+    if keep != "first":
+        factor = np.maximum(factor, previous_factors(len(order) - 1 - order, common))
     out = np.zeros(len(starts), bool)
-    out[order] = previous if keep == "first" else previous | following
+    out[order] = factor >= length
     return out
 
 
@@ -162,15 +185,22 @@ def _word_spans(body: bytes, spans) -> list[dict]:
     return [{"from": places[s["from"]][0], "to": places[s["to"]][0] if s["to"] < len(places) else places[-1][1]} for s in spans]
 
 
+def _row_id(key: str, body: Column) -> Column:
+    """128 bits; rows that repeat key and text share them."""
+    return F.unhex(F.md5(F.concat_ws("\x01", F.col(key).isNull().cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")), body)))
+
+
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("__row", F.xxhash64(key, body)).withColumn("__body", body.cast("binary"))
+    return docs.withColumn("__row", _row_id(key, body)).withColumn("__body", body.cast("binary"))
 
 
-def _anchors(rows: DataFrame, key: str, length: int, gram: int, by_word: bool = False) -> DataFrame:
-    """``(h, d, row, doc, p, lo, hi)``: p is the anchor, lo to hi the context around it."""
+def _anchors(rows: DataFrame, length: int, gram: int, by_word: bool = False) -> DataFrame:
+    """``(h, d, row, doc, p, before, after)``: p is the anchor, before and after the bytes of its context on both sides.
 
-    def made(parts, offsets, rows_, docs_):
+    ``rows`` are ``(of, row, doc, at, bytes)``: bytes that begin at place ``at`` of a row; ``of`` sets apart the anchors of one group.
+    """
+    def made(parts, places, names, rows_, docs_):
         data = np.concatenate(parts)
         bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         h, lo, hi, anchor = runs(data, bounds, length, gram)
@@ -183,46 +213,47 @@ def _anchors(rows: DataFrame, key: str, length: int, gram: int, by_word: bool =
             (xxhash.xxh3_64_intdigest(raw[a:b], s) for a, b, s in zip(lo.tolist(), (hi + length).tolist(), (before * 4096 + hi - lo).tolist(), strict=True)),
             np.uint64, len(lo),
         )
-        p = anchor - bounds[which] + np.asarray(offsets)[which]
+        h = (h ^ np.asarray(names, np.int64).view(np.uint64)[which]) * np.uint64(0x9E3779B97F4A7C15)
+        p = anchor - bounds[which] + np.asarray(places)[which]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(np.asarray(rows_)[which]),
+                pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), pa.array([rows_[i] for i in which], pa.binary()),
                 pa.array([docs_[i] for i in which], pa.int64()), pa.array(p), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)),
             ],
             names=["h", "d", "row", "doc", "p", "before", "after"],
         )
 
     def run(batches):
-        parts, offsets, rows_, docs_, held = [], [], [], [], 0
+        parts, places, names, rows_, docs_, held = [], [], [], [], [], 0
         for batch in batches:
-            for row, doc, body in zip(*map(values, batch.columns), strict=True):
+            for of, row, doc, place, body in zip(*map(values, batch.columns), strict=True):
                 body = word_bytes(body) if by_word else body
                 for at in range(0, max(1, len(body) - length + 1), BUFFER):
                     part = body[at : at + BUFFER + length - 1]
                     if len(part) < length:
                         continue
                     parts.append(np.frombuffer(part, np.uint8))
-                    offsets.append(at)
+                    places.append(place + at)
+                    names.append(of)
                     rows_.append(row)
                     docs_.append(doc)
                     held += len(part)
                     if held >= BUFFER:
-                        yield from made(parts, offsets, rows_, docs_)
-                        parts, offsets, rows_, docs_, held = [], [], [], [], 0
+                        yield from made(parts, places, names, rows_, docs_)
+                        parts, places, names, rows_, docs_, held = [], [], [], [], [], 0
         if held:
-            yield from made(parts, offsets, rows_, docs_)
+            yield from made(parts, places, names, rows_, docs_)
 
-    return rows.select("__row", F.col(key).cast("long").alias("doc"), "__body").mapInArrow(
-        run, "h long, d long, row long, doc long, p long, before int, after int"
-    )
+    return rows.select("of", "row", "doc", "at", "bytes").mapInArrow(run, "h long, d long, row binary, doc long, p long, before int, after int")
 
 
 def _cut_contexts(rows: DataFrame, wanted: DataFrame, by_word: bool = False) -> DataFrame:
     """The bytes of the contexts that ``wanted`` lists by row."""
-    listed = wanted.groupBy("row").agg(F.collect_set(F.struct("h", "d", "doc", "p", "before", "after", "chunks")).alias("list"))
+    listed = wanted.groupBy("row").agg(F.collect_set(F.struct("h", "doc", "p", "before", "after")).alias("list"))
+    listed = stage(listed, "lpf-listed")
     one = rows.select(F.col("__row").alias("row"), "__body")
     cut = F.transform("list", lambda c: F.struct(
-        *(c[x].alias(x) for x in ("h", "d", "doc", "p", "before", "chunks")),
+        *(c[x].alias(x) for x in ("h", "doc", "p", "before")),
         F.substring(F.col("__body"), (c["p"] - c["before"] + 1).cast("int"), c["before"] + c["after"]).alias("bytes"),
     ))
 
@@ -232,7 +263,7 @@ def _cut_contexts(rows: DataFrame, wanted: DataFrame, by_word: bool = False) ->
             cols = [made if n == "__body" else batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    found = one.join(listed, "row")
+    found = one.join(broadcast_if_small(listed, F.size("list")), "row")
     if by_word:
         found = found.mapInArrow(encode, found.schema)
     return found.select("row", F.explode(cut).alias("c")).select("row", "c.*")
@@ -260,7 +291,7 @@ def _compare(contexts: DataFrame, length: int, keep: str) -> DataFrame:
         origin = np.array([r[2] - r[3] for r in flat])
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([flat[i][0] for i in which[first]], pa.int64()),
+                pa.array([flat[i][0] for i in which[first]], pa.binary()),
                 pa.array(origin[which[first]] + starts[first]), pa.array(origin[which[first]] + starts[last] + length),
             ],
             names=["row", "from", "to"],
@@ -270,65 +301,28 @@ def _compare(contexts: DataFrame, length: int, keep: str) -> DataFrame:
         groups, group, held, now, seen = [], [], 0, None, set()
         for batch in batches:
             for r in zip(*map(values, batch.columns), strict=True):
-                if r[:2] != now:
+                if r[0] != now:
                     if len(group) > 1:
                         groups.append(group)
                         held += sum(len(x[4]) for x in group)
-                    group, now, seen = [], r[:2], set()
+                    group, now, seen = [], r[0], set()
                     if held >= SORTED:
                         yield from found(groups)
                         groups, held = [], 0
-                place = r[2], r[4], r[5]
+                place = r[1], r[3], r[4]
                 if place not in seen:  # rows that repeat doc_id and text bring a context more than once
                     seen.add(place)
-                    group.append(r[2:])
+                    group.append(r[1:])
         if len(group) > 1:
             groups.append(group)
         if groups:
             yield from found(groups)
 
-    chunks = F.col("chunks")
-    mine = F.pmod(F.xxhash64("d"), chunks).cast("int")
-    pairs = F.when(chunks <= 1, F.array(F.lit(0))).otherwise(
-        F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.least(o, mine) * chunks + F.greatest(o, mine))
-    )
-    dealt = contexts.select("h", F.explode(pairs).alias("pair"), "row", "doc", "p", "before", "bytes")
-    dealt = dealt.repartition("h", "pair").sortWithinPartitions("h", "pair")
-    return dealt.mapInArrow(run, "row long, `from` long, `to` long")
-
+    dealt = contexts.select("h", "row", "doc", "p", "before", "bytes").repartition("h").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, "row binary, `from` long, `to` long")
 
-def _count_starts(contexts: DataFrame, length: int, keep: str) -> DataFrame:
-    """The same as :func:`_compare` for anchors of very many contexts, by counting digests of their strings.
 
-    A string is a row, counted with partial sums before the shuffle; rows grow with the contexts.
-    """
-    def run(batches):
-        for batch in batches:
-            out = []
-            for h, row, doc, p, before, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = memoryview(body)
-                for at in range(len(body) - length + 1):
-                    w = xxhash.xxh3_64_intdigest(raw[at : at + length], before - at + length)
-                    out.append((h, w - (1 << 63), row, doc, p - before + at))
-                    if len(out) == 65536:
-                        yield batch_of(out)
-                        out = []
-            if out:
-                yield batch_of(out)
-
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["h", "w", "row", "doc", "from"])
-
-    starts = stage(contexts.select("h", "row", "doc", "p", "before", "bytes").mapInArrow(run, "h long, w long, row long, doc long, `from` long"), "lpf-starts")
-    order = F.struct(F.col("doc").isNull().alias("x"), "doc", "row", "from")
-    many = starts.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("one")).where("n > 1")
-    hit = starts.join(stage(many, "lpf-many"), ["h", "w"])
-    if keep == "first":
-        hit = hit.where((F.col("row") != F.col("one.row")) | (F.col("from") != F.col("one.from")))
-    return hit.select("row", "from", (F.col("from") + length).alias("to"))
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int = GRAM, chunk: int = CHUNK, most_chunks: int = MOST_CHUNKS, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int = GRAM, most: int = MOST, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
     """``(__row, spans)``: for rows with repeats, the byte ranges (from, to) to remove, by start; they may overlap.
 
     With ``words``, strings of that many words are looked for, and the ranges count words.
@@ -336,35 +330,38 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int
     rows = _keyed(docs, key, text)
     if words:
         length, gram = words * WORD, words * WORD * GRAM // LENGTH
-    anchors = stage(_anchors(rows, key, length, gram, bool(words)), "lpf-anchors")
-    many = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("a"), F.max("d").alias("b")).where("n > 1")
-    many = stage(many.select("h", (F.col("a") != F.col("b")).alias("differ")), "lpf-many")
-    shared = stage(anchors.join(many, "h"), "lpf-shared")
-    unstage(anchors, many)
+    zero = F.lit(0).cast("long")
+    texts = rows.select(zero.alias("of"), F.col("__row").alias("row"), F.col(key).cast("long").alias("doc"), zero.alias("at"), F.col("__body").alias("bytes"))
+    anchors = stage(_anchors(texts, length, gram, bool(words)), "lpf-anchors")
     order = F.struct(F.col("doc").isNull().alias("x"), F.col("doc"), F.col("row"), F.col("p"), F.col("before"), F.col("after"))
-    same = stage(shared.groupBy("h", "d", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("one")), "lpf-same")
-    whole = shared.join(same.where("n > 1").select("h", "d", "one"), ["h", "d"])
-    if keep == "first":
-        # Rows that repeat doc_id and text share a row number, and stay or go together, as one.
-        whole = whole.where((F.col("row") != F.col("one.row")) | (F.col("p") != F.col("one.p")))
-    whole = whole.select("row", (F.col("p") - F.col("before")).alias("from"), (F.col("p") + F.col("after")).alias("to"))
-    distinct = same.where("differ").select("h", "d", "one.*")
-    sizes = stage(distinct.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), "lpf-sizes")
-    wanted = distinct.join(sizes, "h").select("h", "d", "row", "doc", "p", "before", "after", "chunks")
-    contexts = _cut_contexts(rows, wanted, bool(words))
-    if sizes.where(F.col("chunks") > most_chunks).first() is None:
-        partial = stage(_compare(contexts, length, keep), "lpf-partial")
-    else:
-        contexts = stage(contexts, "lpf-contexts")
-        some = _compare(contexts.where(F.col("chunks") <= most_chunks), length, keep)
-        partial = stage(some.unionByName(_count_starts(contexts.where(F.col("chunks") > most_chunks), length, keep)), "lpf-partial")
-        unstage(contexts)
-    unstage(sizes)
-    found = whole.unionByName(partial)
+    found = []
+    for longer in ((gram + length) // 2, length, None):
+        many = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("a"), F.max("d").alias("b")).where("n > 1")
+        many = stage(many.select("h", (F.col("a") != F.col("b")).alias("differ")), "lpf-many")
+        shared = stage(anchors.join(many, "h"), "lpf-shared")
+        unstage(anchors, many)
+        same = stage(shared.groupBy("h", "d", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("one")), "lpf-same")
+        whole = shared.join(same.where("n > 1").select("h", "d", "one"), ["h", "d"])
+        if keep == "first":
+            # Rows that repeat doc_id and text share a row number, and stay or go together, as one.
+            whole = whole.where((F.col("row") != F.col("one.row")) | (F.col("p") != F.col("one.p")))
+        whole = whole.select("row", (F.col("p") - F.col("before")).alias("from"), (F.col("p") + F.col("after")).alias("to"))
+        found.append(stage(whole, "lpf-whole"))
+        distinct = same.where("differ").select("h", "one.*")
+        hot = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (most if longer else 1 << 62)).select("h")
+        hot = broadcast_if_small(stage(hot, "lpf-hot"))
+        found.append(stage(_compare(_cut_contexts(rows, distinct.join(hot, "h", "left_anti"), bool(words)), length, keep), "lpf-partial"))
+        if hot.isEmpty():
+            break
+        parts = _cut_contexts(rows, distinct.join(hot, "h", "left_semi"), bool(words))
+        parts = parts.select(F.col("h").alias("of"), "row", "doc", (F.col("p") - F.col("before")).alias("at"), "bytes")
+        anchors = stage(_anchors(parts, length, longer), "lpf-anchors")
+        unstage(shared, same)
+    spans = reduce(DataFrame.unionByName, found)
     if words:
-        found = found.select("row", F.ceil(F.col("from") / WORD).alias("from"), F.floor(F.col("to") / WORD).alias("to")).where(F.col("to") - F.col("from") >= words)
-    found = found.groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("found"))
-    return found.select(F.col("row").alias("__row"), F.array_sort("found").alias("spans"))
+        spans = spans.select("row", F.ceil(F.col("from") / WORD).alias("from"), F.floor(F.col("to") / WORD).alias("to")).where(F.col("to") - F.col("from") >= words)
+    spans = spans.groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("found"))
+    return spans.select(F.col("row").alias("__row"), F.array_sort("found").alias("spans"))
 
 
 def _kept(body: bytes, spans, whole_characters: bool):
@@ -394,7 +391,7 @@ def _kept(body: bytes, spans, whole_characters: bool):
 def measure(docs: DataFrame, length: int = LENGTH, keep: str = "none", key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """``(key, n_bytes, n_removed, n_spans, kept_sha256)`` of each document."""
     found = stage(repeats(docs, length, keep, key=key, text=text, **more), "lpf-spans")
-    rows = _keyed(docs, key, text).select(key, "__row", "__body").join(found, "__row", "left")
+    rows = _keyed(docs, key, text).select(key, "__row", "__body").join(broadcast_if_small(found, F.size("spans")), "__row", "left")
 
     def run(batches):
         for batch in batches:
@@ -419,8 +416,8 @@ def remove(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str
     A character cut in two stays whole; ``n_chars`` follows.
     """
     found = stage(repeats(docs, length, keep, key=key, text=text, words=words, **more), "lpf-spans")
-    found = found.withColumnRenamed("spans", "__spans")
-    rows = docs.withColumn("__row", F.xxhash64(key, F.coalesce(F.col(text), F.lit("")))).join(found, "__row", "left").select(*docs.columns, "__spans")
+    small = broadcast_if_small(found, F.size("spans")).withColumnRenamed("spans", "__spans")
+    rows = docs.withColumn("__row", _row_id(key, F.coalesce(F.col(text), F.lit("")))).join(small, "__row", "left").select(*docs.columns, "__spans")
     names = docs.columns
     at = names.index(text)
 

@@ -68,15 +68,15 @@ def test_matches_brute_force_at_full_length(spark, monkeypatch):
     assert run(spark, rows) == brute(rows, sd.LENGTH)
 
 
-def test_chunks_lose_nothing(spark):
+def test_common_anchors_lose_nothing(spark):
     rows = corpus(40, seed=9)
-    assert run(spark, rows, length=40, gram=13, chunk=2, most_chunks=1000) == brute(rows, 40)
+    assert run(spark, rows, length=40, gram=13, most=2) == brute(rows, 40)
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-def test_counted_strings_lose_nothing(spark, keep):
+def test_whole_strings_lose_nothing(spark, keep):
     rows = corpus(40, seed=9)
-    assert run(spark, rows, length=40, gram=13, chunk=2, most_chunks=2, keep=keep) == brute(rows, 40, keep)
+    assert run(spark, rows, length=40, gram=13, most=0, keep=keep) == brute(rows, 40, keep)
 
 
 def test_repeated_rows_empty_table_and_removal(spark):
@@ -89,13 +89,13 @@ def test_repeated_rows_empty_table_and_removal(spark):
     assert sorted((r.doc_id, r.text, r.n_chars) for r in kept.collect()) == [(1, same + "one", 33), (2, "twoÀĀ", 5)]
 
 
-@pytest.mark.parametrize("most_chunks", [8, 0])
-def test_repeated_rows_stay_first_beside_a_shared_passage(spark, most_chunks):
+@pytest.mark.parametrize("most", [512, 0])
+def test_repeated_rows_stay_first_beside_a_shared_passage(spark, most):
     rng = random.Random(1)
     say = lambda n: "".join(rng.choices("abcdefgh", k=n))
     passage = say(60)
     first, last = say(30) + passage + say(30), [say(30), say(30)]
-    kept = sd.remove(frame(spark, [(1, first), (1, first), (2, last[0] + passage + last[1])]), length=40, gram=13, most_chunks=most_chunks)
+    kept = sd.remove(frame(spark, [(1, first), (1, first), (2, last[0] + passage + last[1])]), length=40, gram=13, most=most)
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, first), (1, first), (2, "".join(last))]
 
 
@@ -106,3 +106,14 @@ def test_suffix_ranks_sort_by_prefix():
     raw = data.tobytes()
     want = {s: i for i, s in enumerate(sorted({raw[i : i + 20] for i in range(300)}))}
     assert list(rank) == [want[raw[i : i + 20]] for i in range(300)]
+
+
+def test_previous_factors_match_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 60, 200):
+        raw = rng.integers(0, 2, n).astype(np.uint8).tobytes()
+        shared = lambda i, j: next((k for k in range(n) if max(i, j) + k >= n or raw[i + k] != raw[j + k]), 0)  # noqa: E731,B023
+        order = np.array(sorted(range(n), key=lambda i: raw[i:]), np.int64)  # noqa: B023
+        common = np.array([0] + [shared(i, j) for i, j in zip(order[:-1], order[1:], strict=True)], np.int64)[:n]
+        got = dict(zip(order.tolist(), sd.previous_factors(order, common).tolist(), strict=True))
+        assert got == {i: max((shared(i, j) for j in range(i)), default=0) for i in range(n)}
