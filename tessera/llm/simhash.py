@@ -44,7 +44,7 @@ from tessera.llm.grouped import link_groups
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 BLOCK_PAIRS = tuple((i, j) for i in range(5) for j in range(i))
 FANOUT = 8
-FRONTIER = 1 << 18  # pairs of a query and a node looked at together, about
+FRONTIER = 1 << 17  # pairs of a query and a node looked at together, about
 BUCKET = 4096  # fingerprints searched in one task at most, twice that across chunks
 WORDS, LEAST, MISS, IN_A_BUCKET = 5, 0.8, 0.005, 128
 SHINGLES = 1 << 19  # shingles of one candidate group compared in one task

@@ -42,8 +42,8 @@ from tessera.llm.common import broadcast_if_small, stage, table, unstage, values
 
 LENGTH, GRAM = 400, 145
 WORD = 6  # bytes that stand for a word
-BUFFER = 1 << 20  # bytes hashed at once
-SORTED = 1 << 20  # bytes of contexts sorted at once, or one anchor's
+BUFFER = 1 << 19  # bytes hashed at once
+SORTED = 1 << 19  # bytes of contexts sorted at once, or one anchor's
 MOST = 512  # distinct contexts of an anchor compared at once
 
 _BASE = 0x9E3779B97F4A7C15 | 1
