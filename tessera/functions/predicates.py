@@ -8,16 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TRUE_FALSE = ("true", "false", "0", "1", "yes", "no", "y", "n", "t", "f")
-NULL_TEXTS = ("", "NULL", "null", "Null")
+from tessera.standards import NULL_TEXTS, RANGE, SHAPE, TRUE_FALSE
 
 INT = r"(?U)^[+-]?\d+(_\d+)*\z"
 DECIMAL = r"(?U)^[+-]?\d+(\.\d+)?\z"
 FLOAT = r"(?U)(?i)^[+-]?((\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)\z"
 NAIVE = r"^\d{4}-\d{1,2}-\d{1,2}(T|\s+)\d{1,2}:\d{1,2}:\d{1,2}\z"
 ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})\z"
-SHAPE = r"^(POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|GEOMETRYCOLLECTION)\("
-RANGE = r"(?U)^[\[(]\s*\d{4}-\d{2}-\d{2}\s*,\s*\d{4}-\d{2}-\d{2}\s*[)\]]\z"
 
 
 def strip(v: Column) -> Column:

@@ -31,6 +31,7 @@ def cost_risk(days: Column, partitions: Column, granularity: Column) -> Column:
 
 def cost_note(days: Column, partitions: Column, granularity: Column) -> Column:
     return (
+        # The notes' wording.
         F.when(days.isNull(), "No retention policy set for this zone. Define retention to control long-term cost.")
         .when((granularity == "HOUR") & (partitions > 24 * S.HOURLY_MAX_DAYS), "Hourly partitions are high for this retention window. Consider DAY partitioning or lower retention.")
         .when((granularity == "DAY") & (partitions > 730), "High DAY partition count expected. Review retention policy for cost control.")
@@ -105,3 +106,20 @@ def cluster_advice(fields: DataFrame, partitioning: DataFrame | None = None, hin
     ranked = cluster_scores(fields, partitioning, hints).where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= S.MAX_CLUSTER_COLUMNS)
     best = F.max("score").over(Window.partitionBy("entity"))
     return ranked.select("entity", "rank", F.col("name").alias("column"), "score", "reason", F.when(best >= 7, "HIGH").when(best >= 4, "MEDIUM").otherwise("LOW").alias("confidence"))
+
+
+def cluster_outcomes(fields: DataFrame, partitioning: DataFrame | None = None, hints: DataFrame | None = None, declared: bool = False) -> DataFrame:
+    """One row an entity: ``(entity, suggested, columns, confidence, reason, notes)``, also where nothing is suggested.
+
+    ``declared`` says that fields come from Avro or Parquet schemas, without statistics.
+    """
+    scored = cluster_scores(fields, partitioning, hints).groupBy("entity").agg(F.count_if(F.col("score") > 0).alias("good"))
+    chosen = cluster_advice(fields, partitioning, hints).groupBy("entity").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "column"))), lambda x: x["column"]), ",").alias("columns"), F.first("confidence").alias("confidence"),
+    )
+    rows = fields.select("entity").distinct().join(scored, "entity", "left").join(chosen, "entity", "left")
+    return rows.select(
+        "entity", F.col("columns").isNotNull().alias("suggested"), "columns", "confidence",
+        F.when(F.col("good").isNull(), S.NO_CLUSTERING["none eligible"]).when(F.col("good") == 0, S.NO_CLUSTERING["low benefit"]).alias("reason"),
+        F.lit(S.DECLARED_CLUSTER_NOTE if declared else None).cast("string").alias("notes"),
+    )

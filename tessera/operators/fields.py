@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.profile import profile, with_precision
+from tessera.operators.profile import counts, profile, with_precision
 from tessera.standards import METADATA_COLUMNS, METADATA_NAMES
 
 FIELD_SCHEMA = (
@@ -50,12 +50,12 @@ def declared_fields(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFr
     return spark.createDataFrame([r for name, df in tables.items() for r in declared_rows(name, df.schema)], FIELD_SCHEMA)
 
 
-def with_stats(fields: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """``fields`` with the counts and ratios of each top-level column of its table."""
+def with_stats(fields: DataFrame, tables: dict[str, DataFrame], error: float | None = None) -> DataFrame:
+    """``fields`` with the counts and ratios of each top-level column of its table, exact or to an ``error``."""
     stats = None
     for name, df in tables.items():
         flat = df.select(*(F.to_json(F.struct(F.col(f"`{c}`"))).alias(c) if isinstance(df.schema[c].dataType, T.VariantType) else F.col(f"`{c}`") for c in df.columns))
-        one = profile(flat).select(F.lit(name).alias("entity"), F.col("name").alias("path"), F.col("n").alias("row_count"), "distinct_ratio", "null_ratio")
+        one = counts(flat, error=error).select(F.lit(name).alias("entity"), F.col("name").alias("path"), F.col("n").alias("row_count"), "distinct_ratio", "null_ratio")
         stats = one if stats is None else stats.unionByName(one)
     return fields.join(stats, ["entity", "path"], "left")
 

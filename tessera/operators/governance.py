@@ -72,6 +72,8 @@ def violations(fields: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     deep = fields.where((F.col("data_type") == "RECORD") & (F.col("depth") > S.MAX_DEPTH))
     found = found.unionByName(deep.select("entity", F.lit("V3_DEPTH").alias("rule"), F.col("path").alias("column"), F.col("depth").cast("string").alias("detail")))
     if tables is not None:
+        empty = tables.select("entity").join(top.select("entity").distinct(), "entity", "left_anti")
+        found = found.unionByName(empty.select("entity", F.lit("V4_COLUMN_COUNT").alias("rule"), F.lit(None).cast("string").alias("column"), F.lit("0").alias("detail")))
         said = F.trim(F.lower("description"))
         what = F.when(F.coalesce("description", F.lit("")) == "", "missing").when(said.isin(*S.EMPTY_TABLE_TEXTS), "not meaningful").when(F.length(said) < S.MIN_TABLE_TEXT, "too short")
         found = found.unionByName(tables.select("entity", F.lit("V2_TABLE_DESCRIPTION").alias("rule"), F.lit(None).cast("string").alias("column"), what.alias("detail")).where("detail is not null"))
@@ -140,6 +142,31 @@ def schema_hash(columns: list[dict]) -> str:
 REGISTRY_SCHEMA = "entity string, version int, table_name string, schema_hash string, at timestamp, breaking boolean, summary string, schema string"
 
 
+def digests(fields: DataFrame) -> DataFrame:
+    """``(entity, schema_hash, columns)`` of ``(entity, name, type, mode, description[, nested])``, for every entity at once.
+
+    The hash is the SHA-256 of the columns, each its cells joined by U+001F and all sorted by name and joined by U+001E,
+    so their order does not matter; names that drift checks ignore are left out.
+    """
+    cells = [F.coalesce(c, F.lit("")) for c in ("name", "type", "mode", "description", *(["nested"] if "nested" in fields.columns else []))]
+    kept = fields.where(~F.lower("name").isin(*S.DRIFT_IGNORED)).select("entity", F.concat_ws("\x1f", *cells).alias("cell"))
+    return kept.groupBy("entity").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("cell")), "\x1e"), 256).alias("schema_hash"), F.count(F.lit(1)).alias("columns"))
+
+
+def next_versions(known: DataFrame, new: DataFrame, changes: DataFrame, policy: str = "AUTO") -> DataFrame:
+    """Registry rows to append for every entity at once: ``(entity, version, schema_hash, breaking, summary)``.
+
+    ``known`` has the latest ``(entity, version, schema_hash)``. An entity with the same hash gets no row, nor does one whose
+    breaking change the policy does not let through; a change that breaks nothing is recorded in place, under its version.
+    """
+    said = changes.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set("change")), ",").alias("summary"))
+    verdict = decisions(known, new, changes, policy).where("status = 'SUCCESS'")
+    rows = digests(new).join(known.select("entity", F.col("schema_hash").alias("was")), "entity", "left").where(~F.col("schema_hash").eqNullSafe(F.col("was")))
+    return rows.join(verdict, "entity").join(said, "entity", "left").select(
+        "entity", "version", "schema_hash", (F.col("decision") == "BREAKING").alias("breaking"), F.coalesce("summary", F.lit("")).alias("summary"),
+    )
+
+
 def latest(registry: DataFrame, entity: str = "entity") -> DataFrame:
     """The newest row of each entity and version's last state: the largest version, then time."""
     order = Window.partitionBy(entity).orderBy(F.desc("version"), F.desc("at"))
@@ -153,12 +180,10 @@ class Registry:
         self.spark, self.path = spark, path
 
     def rows(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(REGISTRY_SCHEMA).parquet(self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], REGISTRY_SCHEMA)
+        return self.spark.read.schema(REGISTRY_SCHEMA).parquet(self.path)
 
     def current(self, entity: str):
         return latest(self.rows().where(F.col("entity") == entity)).first()

@@ -20,6 +20,34 @@ def as_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(F.inline(cells))
 
 
+def counts(df: DataFrame, columns: list[str] | None = None, error: float | None = None) -> DataFrame:
+    """The counts, ratios and lengths of a profile, without its types: no predicate runs and no text is shuffled.
+
+    Cells are counted by column and a 64-bit hash of their text, so what moves is a few fixed-width numbers for each
+    distinct value. With ``error``, distinct values are estimated to that relative deviation, and only sketches move.
+    """
+    names = columns or df.columns
+    v = F.col("v")
+    s = P.strip(v)
+    cell = as_text(df, names).select(
+        "ord", F.xxhash64(s).alias("h"), (s.isNull() | (s == "")).alias("blank"), v.isNull().alias("missing"),
+        (v.isNull() | v.isin(*P.NULL_TEXTS)).alias("dropped"), F.length("v").alias("long"),
+    )
+    sums = [F.sum("n").alias("n"), F.sum("n_missing").alias("n_missing"), F.sum("n_dropped").alias("n_dropped"), F.max(F.when(~F.col("blank"), F.col("long"))).alias("max_length")]
+    one = [F.count(F.lit(1)).alias("n"), F.count_if("missing").alias("n_missing"), F.count_if("dropped").alias("n_dropped"), F.max("long").alias("long")]
+    if error is None:
+        values = cell.groupBy("ord", "blank", "h").agg(*one)
+        found = values.groupBy("ord").agg(*sums, F.sum(F.when(F.col("blank"), F.col("n")).otherwise(0)).alias("n_blank"), F.count_if(~F.col("blank")).alias("n_distinct"))
+    else:
+        values = cell.groupBy("ord", "blank").agg(*one, F.approx_count_distinct("h", error).alias("values"))
+        found = values.groupBy("ord").agg(*sums, F.sum(F.when(F.col("blank"), F.col("n")).otherwise(0)).alias("n_blank"), F.coalesce(F.max(F.when(~F.col("blank"), F.col("values"))), F.lit(0)).alias("n_distinct"))
+    ratio = lambda c: F.rint(F.col(c) / F.col("n") * 10000) / 10000
+    return found.select(
+        "ord", F.element_at(F.array(*map(F.lit, names)), F.col("ord") + 1).alias("name"), "n", "n_blank", "n_missing", (F.col("n") - F.col("n_dropped")).alias("n_kept"), "n_distinct",
+        ratio("n_distinct").alias("distinct_ratio"), ratio("n_blank").alias("null_ratio"), (F.col("n_blank") > 0).alias("nullable"), "max_length",
+    )
+
+
 def profile_cells(cells: DataFrame, keys: tuple[str, ...] = ("ord", "name")) -> DataFrame:
     """A row for each column of ``cells``, see :func:`profile`."""
     v = F.col("v")

@@ -17,9 +17,10 @@ from tessera.operators import advice, fields, governance
 from tessera.plans import render
 from tessera.sources import csv_source, declared, json_source
 from tessera.sources.detect import detect_format
-from tessera.standards import METADATA_NAMES
+from tessera.standards import AVRO_PARTITION_NOTE, DECLARED_CLUSTER_NOTE, METADATA_NAMES, NO_CLUSTERING
 
 LOG = logging.getLogger("tessera")
+ARTIFACTS = ("schema.json", "schema.yaml", "migration.sql", "create_table.sql", "create_table_spark.sql", "documentation.md", "run_summary.json")
 OUTPUTS = ("JSON", "YAML", "DDL", "DOCUMENTATION", "ALL_FORMATS")
 AUDIT_SCHEMA = "request_id string, at timestamp, user_id string, entity string, path string, format string, policy string, decision string, status string, version int, seconds double, error string"
 
@@ -127,6 +128,13 @@ def _govern(spark: SparkSession, request: Request, kind: str, rows: DataFrame, d
             rows = rows.withColumn(ratio, F.lit(None).cast("double"))
     # One row a column: kept, so that later steps do not read the data again.
     rows = fields.with_targets(fields.with_metadata_columns(renamed(rows, request))).cache()
+    try:
+        return _decided(spark, request, kind, rows, description)
+    finally:
+        rows.unpersist()
+
+
+def _decided(spark: SparkSession, request: Request, kind: str, rows: DataFrame, description: str | None) -> dict:
     dataset, table = spark.range(1).select(
         N.dataset_name(*map(F.lit, (request.domain, request.environment, request.zone))), N.table_name(*map(F.lit, (request.domain, request.entity, request.layer)))
     ).first()
@@ -139,24 +147,31 @@ def _govern(spark: SparkSession, request: Request, kind: str, rows: DataFrame, d
     else:
         partitioning = found.drop("entity").first().asDict()
         if kind == "avro":
-            partitioning["notes"] = "Avro row counts are read up to a bound."
+            partitioning["notes"] = AVRO_PARTITION_NOTE
+    why = None
     if request.cluster_override is not None:
+        why = None if request.cluster_override else NO_CLUSTERING["skipped"]
         clustering = [{"column": c, "reason": "User override", "confidence": "USER_DEFINED"} for c in request.cluster_override[:4]]
     else:
         hints = [(request.entity, c, use) for use, cols in (request.query_patterns or {}).items() for c in cols]
         hinted = spark.createDataFrame(hints, "entity string, name string, use string") if hints else None
         clustering = [r.asDict() for r in advice.cluster_advice(rows, found, hinted).orderBy("rank").collect()]
+        if not clustering:
+            why = advice.cluster_outcomes(rows, found, hinted).first().reason
+    note = DECLARED_CLUSTER_NOTE if kind in ("avro", "parquet") else None
+    told = {"clustering_reason": why, "clustering_notes": note}
     if request.preview:
-        return {"status": "PREVIEW", "format": kind, "partitioning": partitioning, "clustering": clustering}
+        return {"status": "PREVIEW", "format": kind, "partitioning": partitioning, "clustering": clustering, **told}
     classes = [r.asDict() for r in governance.classify(rows.where("depth = 1")).orderBy("ord").select("name", "classification", "category", "confidence", "control").collect()]
     governance.check(rows, spark.createDataFrame([(request.entity, description)], "entity string, description string"))
     columns = render.columns_of(rows, request.entity)
     verdict = _version(spark, request, columns)
     out = {
-        "format": kind, "dataset": dataset, "table": table, "columns": columns, "partitioning": partitioning, "clustering": clustering, "classification": classes,
+        "format": kind, "dataset": dataset, "table": table, "columns": columns, "partitioning": partitioning, "clustering": clustering, **told, "classification": classes,
         "security": {k: any(c["category"] == v for c in classes) for k, v in (("has_pii", "PII"), ("has_sensitive", "SENSITIVE"), ("has_unknown", "UNKNOWN"))}, **verdict, "artifacts": {},
     }
     if verdict["status"] == "WARNING":
+        LOG.warning("WARNING %s breaking change: %s", request.entity, ", ".join(c["change"] for c in verdict["changes"] if c["breaking"]))
         return out
     statements = render.migration(dataset, table, verdict["changes"])
     names = [c["column"] for c in clustering]
@@ -212,6 +227,9 @@ def _version(spark: SparkSession, request: Request, columns: list[dict]) -> dict
 def write_artifacts(out: dict, folder: str) -> list[str]:
     """Artifacts and ``run_summary.json`` in a local folder; returns the file names."""
     os.makedirs(folder, exist_ok=True)
+    for name in ARTIFACTS:  # none of an earlier run stays
+        if os.path.exists(os.path.join(folder, name)):
+            os.remove(os.path.join(folder, name))
     files = out.get("artifacts", {}) | {"run_summary.json": json.dumps({k: v for k, v in out.items() if k != "artifacts"}, indent=2, default=str)}
     for name, text in files.items():
         with open(os.path.join(folder, name), "w") as f:

@@ -7,6 +7,8 @@ are derived from the rows of ``part`` and ``orders``, so that their work grows w
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ STATS = ("name", "n", "n_blank", "n_missing", "n_kept", "n_distinct", "distinct_
 
 def profile_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return profile.profile(table(spark, sf_dir, name)).select(*STATS)
+        return profile.counts(table(spark, sf_dir, name)).select(*STATS)
 
     return run
 
@@ -154,17 +156,17 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER ((length(
 
 
 def row_width_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urls of pages as rows cut at slashes, of which most have six cells: the others, with what they lack or have over."""
+    """Urls of pages as rows cut at slashes, of which most have five cells: the others, with what they lack or have over."""
     url = F.col("url")
     parts = F.split(url, "/", -1)
     wide = F.size(parts)
     return table(spark, sf_dir, "pages").where(url.isNotNull() & (wide != 5)).select(
-        "page_id", F.lit(5).alias("expected"), wide.alias("actual"), F.greatest(F.lit(0), 5 - wide).alias("missing"), F.array_join(F.slice(parts, 6, 100), "/").alias("extra_values"),
+        "page_id", F.lit(5).alias("expected"), wide.alias("actual"), F.greatest(F.lit(0), 5 - wide).alias("missing"), F.array_join(F.slice(parts, F.lit(6), wide), "/").alias("extra_values"),
     )
 
 
 WIDTH_SQL = """WITH p AS (SELECT page_id, string_split(url, '/') AS parts FROM pages WHERE url IS NOT NULL)
-SELECT page_id, 5 AS expected, CAST(len(parts) AS INTEGER) AS actual, CAST(greatest(0, 5 - len(parts)) AS INTEGER) AS missing, array_to_string(parts[6:105], '/') AS extra_values FROM p WHERE len(parts) != 5"""
+SELECT page_id, 5 AS expected, CAST(len(parts) AS INTEGER) AS actual, CAST(greatest(0, 5 - len(parts)) AS INTEGER) AS missing, array_to_string(parts[6:], '/') AS extra_values FROM p WHERE len(parts) != 5"""
 
 # --- names ----------------------------------------------------------------------------------------
 
@@ -219,6 +221,18 @@ def _fields(spark: SparkSession, sf_dir: str, names=ADVISED) -> DataFrame:
     return fields.with_targets(fields.with_metadata_columns(fields.with_stats(fields.declared_fields(spark, tables), tables)))
 
 
+def _declared(spark: SparkSession, sf_dir: str, names=ADVISED, counted: bool = False) -> DataFrame:
+    """The same without statistics: from schemas alone, and row counts, where asked for, from file footers."""
+    tables = {n: table(spark, sf_dir, n) for n in names}
+    rows = fields.declared_fields(spark, tables)
+    if counted:
+        counts = reduce(DataFrame.unionByName, (df.groupBy().agg(F.lit(n).alias("entity"), F.count(F.lit(1)).alias("row_count")) for n, df in tables.items()))
+        rows = rows.join(F.broadcast(counts), "entity")  # one row a table
+    else:
+        rows = rows.withColumn("row_count", F.lit(None).cast("long"))
+    return fields.with_targets(fields.with_metadata_columns(rows))
+
+
 FIELD_COLUMNS = ("entity", "ord", "name", "data_type", "bq_type", "mode", "description", "row_count", "distinct_ratio", "null_ratio")
 
 
@@ -253,7 +267,7 @@ PARTITION_COLUMNS = ("entity", "strategy", "column", "column_type", "granularity
 
 def partition_query(zone: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return advice.partition_advice(_fields(spark, sf_dir), zone).select(*PARTITION_COLUMNS)
+        return advice.partition_advice(_declared(spark, sf_dir, counted=True), zone).select(*PARTITION_COLUMNS)
 
     return run
 
@@ -277,8 +291,7 @@ def cluster_query(hinted: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _fields(spark, sf_dir)
         # Which column partitions a table does not depend on its statistics, so they are read once.
-        bare = fields.declared_fields(spark, {n: table(spark, sf_dir, n) for n in ADVISED}).withColumn("row_count", F.lit(None).cast("long"))
-        bare = fields.with_metadata_columns(bare)
+        bare = _declared(spark, sf_dir)
         hints = spark.createDataFrame(HINTS, "entity string, name string, use string") if hinted else None
         return advice.cluster_advice(rows, advice.partition_advice(bare), hints).select("entity", "rank", "column", "score", "reason", "confidence")
 
@@ -304,11 +317,11 @@ CLASS_COLUMNS = ("entity", "name", "classification", "category", "confidence", "
 
 
 def classify_columns_all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.classify(_fields(spark, sf_dir)).select(*CLASS_COLUMNS)
+    return governance.classify(_declared(spark, sf_dir)).select(*CLASS_COLUMNS)
 
 
 def security_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.security_summary(governance.classify(_fields(spark, sf_dir)))
+    return governance.security_summary(governance.classify(_declared(spark, sf_dir)))
 
 
 def classify_part_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import csv
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import predicates as P
@@ -75,7 +75,31 @@ def unbalanced_quotes(line: Column) -> Column:
 
 def width(line: Column, delimiter: str) -> Column:
     """The number of cells: delimiters outside quotes, and one."""
-    return F.size(F.split(line, re.escape(delimiter) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    return (1 + (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / len(delimiter)).cast("int")
+
+
+def cells_of(line: Column, delimiter: str) -> Column:
+    """The cells of a line as an array of text, without the quotes around them; in one pass over the line."""
+    sep = re.escape(delimiter)
+    plain = rf'[^"{sep}]++' if len(delimiter) == 1 else rf'(?!{sep})[^"]'
+    found = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(rf'{sep}((?:{plain}|"[^"]*+")*+)'), 1)
+    return F.transform(found, lambda c: F.when(c.rlike(r'(?s)^\s*".*"\s*$'), F.replace(F.regexp_replace(c, r'(?s)^\s*"|"\s*$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
+def with_place(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``place``, which grows along a file: the partition's number, then the line's within it."""
+    return lines.withColumn("place", F.monotonically_increasing_id())
+
+
+def numbered(placed: DataFrame) -> DataFrame:
+    """``placed`` with ``row_number`` from 1 over all lines; a small table holds how many lines each partition has."""
+    part = F.shiftright("place", 33)
+    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
+    # One row a partition.
+    joined = placed.withColumn("part", part).join(F.broadcast(before), "part")
+    return joined.withColumn("row_number", F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("part", "before")
 
 
 def mixed_delimiters(header: str, delimiter: str) -> list[str]:
@@ -109,16 +133,17 @@ def read_csv(spark: SparkSession, path: str, entity: str, mode: str = "AUTO", de
     names = repaired(next(csv.reader([head[0]], delimiter=sep)) if sep else head[:1], entity)
     unique = [f"{n}#{i}" if names.index(n) != i else n for i, n in enumerate(names)]
     warning = "POTENTIAL_MALFORMED_HEADER" if len(names) == 1 and re.search(r"[,;\t| ]", names[0]) else None
-    body = lines.where(F.col("line") != head[0])
+    placed = with_place(lines)
+    body = placed.where(F.col("place") != placed.first().place)
     if sep is None:
         return CsvTable(unique, body.select(F.col("line").alias(unique[0])), body.limit(0), None, warning)
-    cells = width(F.col("line"), sep)
-    rows = body.select(F.from_csv("line", ", ".join(f"`{n}` STRING" for n in unique), {"sep": sep, "mode": "PERMISSIVE"}).alias("r")).select("r.*")
-    parts = F.split("line", re.escape(sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    wrong = body.where(cells != len(names)).select(
-        "line", F.lit(len(names)).alias("expected"), cells.alias("actual"),
-        F.slice(F.array(*map(F.lit, names)), cells + 1, F.lit(len(names))).alias("missing_columns"),
-        F.slice(parts, len(names) + 1, 1 << 20).alias("extra_values"),
+    rows = body.select(F.from_csv("line", ", ".join(f"`{n}` STRING" for n in unique), {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    odd_width = width(F.col("line"), sep) != len(names)
+    parts = cells_of(F.col("line"), sep)
+    wrong = numbered(placed).where(odd_width & (F.col("row_number") > 1)).select(
+        "row_number", "line", F.lit(len(names)).alias("expected"), F.size(parts).alias("actual"),
+        F.slice(F.array(*map(F.lit, names)), F.size(parts) + 1, F.lit(len(names))).alias("missing_columns"),
+        F.slice(parts, len(names) + 1, F.greatest(F.size(parts), F.lit(1))).alias("extra_values"),
         F.map_from_arrays(F.array(*map(F.lit, unique)), F.transform(F.sequence(F.lit(1), F.lit(len(names))), lambda i: F.coalesce(F.try_element_at(parts, i), F.lit("<MISSING>")))).alias("mapped_preview"),
     )
     return CsvTable(unique, rows, wrong, sep, warning)
@@ -130,7 +155,7 @@ def csv_fields(table: CsvTable, entity: str, confirmed: bool = False, overrides:
         if kind.upper() not in OVERRIDE_TYPES:
             raise ValueError(f"{name}: {kind} cannot be set")
     fields = inferred_fields(entity, table.rows)
-    bad = table.mismatches.first() if confirmed else None
+    bad = table.mismatches.orderBy("row_number").first() if confirmed else None
     if bad and bad.missing_columns:
         missing = F.col("name").isin(*bad.missing_columns)
         fields = fields.withColumns({"data_type": F.when(missing, "STRING").otherwise(F.col("data_type")), "nullable": F.col("nullable") & ~missing})

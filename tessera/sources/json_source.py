@@ -2,28 +2,75 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.fields import FIELD_SCHEMA, declared_rows
 from tessera.operators.profile import profile_cells, with_precision
+from tessera.sources.shared import shared_path
+
+
+def _without_strings(line: Column) -> Column:
+    return F.regexp_replace(line, r'"(?:[^"\\]++|\\.)*+"', '""')
+
+
+def renamed_keys(pairs: list[tuple]) -> dict:
+    """An object whose repeated keys are numbered from 2."""
+    out, seen = {}, {}
+    for key, value in pairs:
+        seen[key] = seen.get(key, 0) + 1
+        out[key if seen[key] == 1 else f"{key}_{seen[key]}"] = value
+    return out
+
+
+def _records(text: str) -> list[str]:
+    """The objects of a JSON text, a line each; numbers as text, since all primitives are read as text."""
+    try:
+        made = json.loads(text.removeprefix("\ufeff"), object_pairs_hook=renamed_keys, parse_int=str, parse_float=str)
+    except ValueError:
+        return []
+    return [json.dumps(r, ensure_ascii=False) for r in (made if isinstance(made, list) else [made]) if isinstance(r, dict)]
+
+
+def _rewritten(texts: DataFrame) -> str:
+    """A new folder of JSON lines, with texts whose keys repeat (which Spark refuses) renamed by :func:`_records`."""
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([r for t in batch.column(0).to_pylist() for r in _records(t)], pa.string())], names=["value"])
+
+    fine = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{") & ~F.contains("value", F.lit("\n"))
+    path = shared_path(texts.sparkSession, "json-lines")
+    texts.where(fine).select("value").union(texts.where(~fine).select("value").mapInArrow(run, "value string")).write.text(path)
+    return path
 
 
 def read_json(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
     """Records of JSON lines, of one object or of an array; lines that do not parse are left out.
 
-    NaN and Infinity make a file invalid. Numbers keep the text they have in the file.
+    NaN and Infinity make a file invalid. Numbers keep the text they have in the file. A key that an object
+    repeats is numbered from 2; files with such keys are rewritten as JSON lines in the shared folder first.
     """
     lines = spark.read.text(path)
     first = lines.where(F.trim("value") != "").first()
     if first is None:
         raise ValueError(f"{path} has no records")
-    start = first.value.strip()
-    one_line = F.try_parse_json(F.lit(start))
-    is_lines = start.startswith("{") and spark.range(1).select(one_line.isNotNull()).first()[0]
-    if lines.where(F.col("value").rlike(r"[:\[,]\s*-?(NaN|Infinity)\s*[,}\]]")).first():
+    bare = _without_strings(F.col("value"))
+    if lines.where(bare.rlike(r"[:\[,]\s*-?(NaN|Infinity)\s*([,}\]]|$)")).first():
         raise ValueError(f"{path} holds NaN or Infinity")
+    start = first.value.strip().removeprefix("\ufeff")
+    is_lines = start.startswith("{") and bool(_records(start))
+    if is_lines:
+        refused = lines.where(F.try_parse_json("value").isNull() & (bare.rlike(r"^\s*\{.*\}\s*$")))
+        if refused.first():
+            path = _rewritten(lines)
+    else:
+        whole = spark.read.text(path, wholetext=True)
+        if whole.where(F.try_parse_json("value").isNull()).first():
+            path, is_lines = _rewritten(whole), True
     reader = spark.read.option("primitivesAsString", True).option("allowNonNumericNumbers", False).option("mode", "DROPMALFORMED")
     df = reader.option("multiLine", not is_lines).json(path)
     if not df.columns:

@@ -18,13 +18,14 @@ DRIFT_IGNORED = tuple(n.removeprefix("_") for n in METADATA_NAMES)
 
 # Reserved words of the warehouse dialect.
 RESERVED_WORDS = (
-    "all and any array as asc assert_rows_modified at between by case cast collate contains create cross cube current default "
-    "define desc distinct else end enum escape except exclude exists extract false fetch following for from full group grouping "
-    "groups hash having if ignore in inner intersect interval into is join lateral left like limit lookup merge natural new no not "
-    "null nulls of on or order outer over partition preceding proto qualify range recursive respect right rollup rows select set "
-    "some struct tablesample then to treat true unbounded union unnest using when where window with within insert update delete "
-    "drop alter table"
-).split()
+    "all", "and", "any", "array", "as", "asc", "assert_rows_modified", "at", "between", "by", "case", "cast", "collate", "contains", "create",
+    "cross", "cube", "current", "default", "define", "desc", "distinct", "else", "end", "enum", "escape", "except", "exclude", "exists", "extract",
+    "false", "fetch", "following", "for", "from", "full", "group", "grouping", "groups", "hash", "having", "if", "ignore", "in", "inner", "intersect",
+    "interval", "into", "is", "join", "lateral", "left", "like", "limit", "lookup", "merge", "natural", "new", "no", "not", "null", "nulls", "of",
+    "on", "or", "order", "outer", "over", "partition", "preceding", "proto", "qualify", "range", "recursive", "respect", "right", "rollup", "rows",
+    "select", "set", "some", "struct", "tablesample", "then", "to", "treat", "true", "unbounded", "union", "unnest", "using", "when", "where",
+    "window", "with", "within", "insert", "update", "delete", "drop", "alter", "table",
+)
 
 # Classification rules in order: class, patterns, confidence, control.
 CLASS_RULES = (
@@ -60,3 +61,18 @@ MAX_NAME, MAX_COLUMNS, MAX_DEPTH, MIN_TABLE_TEXT, MIN_COLUMN_TEXT = 300, 10_000,
 EMPTY_TABLE_TEXTS = ("table", "data", "dataset", "tbd", "todo", "unknown")
 EMPTY_COLUMN_TEXTS = ("todo", "tbd", "unknown", "n/a", "na", "none")
 OVERRIDE_TYPES = ("STRING", "INTEGER", "FLOAT", "DECIMAL", "BOOLEAN", "DATE", "TIMESTAMP", "JSON", "RECORD")
+
+# Why nothing is suggested for clustering, and notes for formats that declare their schema.
+NO_CLUSTERING = {
+    "none eligible": "No columns met the minimum clustering suitability threshold",
+    "low benefit": "All eligible columns had low or unknown clustering benefit",
+    "skipped": "User explicitly skipped clustering",
+}
+DECLARED_CLUSTER_NOTE = "Data-driven cardinality stats were not computed for Avro/Parquet in this run. Recommendation is based on schema/query heuristics only."
+AVRO_PARTITION_NOTE = "For Avro input, volume-based DAY/HOUR partition recommendation is heuristic in this run because exact row_count was not computed to avoid expensive full-file scan."
+
+# Boolean words, texts that stand for null, shapes of geometry and of date ranges.
+TRUE_FALSE = ("true", "false", "0", "1", "yes", "no", "y", "n", "t", "f")
+NULL_TEXTS = ("", "NULL", "null", "Null")
+SHAPE = r"^(POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|GEOMETRYCOLLECTION)\("
+RANGE = r"(?U)^[\[(]\s*\d{4}-\d{2}-\d{2}\s*,\s*\d{4}-\d{2}-\d{2}\s*[)\]]\z"
