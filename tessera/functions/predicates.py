@@ -47,7 +47,8 @@ def is_naive_timestamp(v: Column) -> Column:
 
 
 def is_timestamp(v: Column) -> Column:
-    return v.rlike(ZONED) & F.try_to_timestamp(v).isNotNull()
+    timed = F.regexp_replace(v, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2")  # Spark reads no time without seconds
+    return v.rlike(ZONED) & F.try_to_timestamp(timed).isNotNull()
 
 
 def is_date(v: Column) -> Column:

@@ -92,9 +92,9 @@ _SPAN = r"regexp_full_match(s, '[\[(]\s*\d{4}-\d{2}-\d{2}\s*,\s*\d{4}-\d{2}-\d{2
 _BOOL = "lower(s) IN ('true', 'false', '0', '1', 'yes', 'no', 'y', 'n', 't', 'f')"
 
 
-def infer_sql(name: str) -> str:
+def infer_sql(name: str, columns=None) -> str:
     a = _ALL.format
-    return f"""WITH {_values(name)} SELECT name, CAST(count(*) FILTER (NOT dropped) AS BIGINT) AS n_kept,
+    return f"""WITH {_values(name, columns)} SELECT name, CAST(count(*) FILTER (NOT dropped) AS BIGINT) AS n_kept,
   CASE WHEN count(*) FILTER (NOT dropped) = 0 THEN 'STRING' WHEN {a(_BOOL)} THEN CASE WHEN {a("s IN ('0', '1')")} THEN 'INTEGER' ELSE 'BOOLEAN' END
   WHEN {a(_INT)} THEN 'INTEGER' WHEN {a(_DEC)} THEN CASE WHEN bool_or(s LIKE '%.%') FILTER (NOT dropped) THEN 'DECIMAL' ELSE 'INTEGER' END
   WHEN {a(_FLOAT)} THEN 'FLOAT' WHEN bool_or({_NAIVE}) FILTER (NOT dropped) THEN 'NAIVE_TIMESTAMP' WHEN {a(_ZONED)} THEN 'TIMESTAMP' WHEN {a(_DATE)} THEN 'DATE'

@@ -31,8 +31,8 @@ class CsvTable:
 
 
 def clean_lines(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
-    """``(line)`` without byte order mark, blank lines and lines that start with # or --."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line"))
+    """``(line, file, start)`` without byte order mark, blank lines and lines that start with # or --; start is that of the block of its file."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     lines = keep_lines(lines, "line")
     return lines.limit(sample) if sample else lines
 
@@ -92,6 +92,14 @@ def with_place(lines: DataFrame) -> DataFrame:
     return lines.withColumn("place", F.monotonically_increasing_id())
 
 
+def without_headers(placed: DataFrame, header: str) -> DataFrame:
+    """``placed`` without the first line of each file, where that is the header; other lines like it are data."""
+    first = F.min(F.struct("start", "place", "line")).alias("first")
+    # One row a file.
+    tops = placed.groupBy("file").agg(first).where(F.col("first.line") == header).select("file", F.col("first.place").alias("place"))
+    return placed.join(tops, ["file", "place"], "left_anti")
+
+
 def numbered(placed: DataFrame) -> DataFrame:
     """``placed`` with ``row_number`` from 1 over all lines; a small table holds how many lines each partition has."""
     part = F.shiftright("place", 33)
@@ -116,7 +124,7 @@ def read_csv(spark: SparkSession, path: str, entity: str, mode: str = "AUTO", de
     """Rows of text of a CSV file. ``mode``: AUTO, SPLIT (with ``delimiter``) or SINGLE (a line is one cell)."""
     lines = clean_lines(spark, path, sample)
     if remove_quotes:
-        lines = lines.select(F.regexp_replace("line", '^\\s*"(.*)"\\s*$', "$1").alias("line"))
+        lines = lines.withColumn("line", F.regexp_replace("line", '^\\s*"(.*)"\\s*$', "$1"))
     odd = lines.where(unbalanced_quotes(F.col("line"))).first()
     if odd:
         raise ValueError(f"unbalanced quotes: {odd.line[:200]}")
@@ -134,7 +142,7 @@ def read_csv(spark: SparkSession, path: str, entity: str, mode: str = "AUTO", de
     unique = [f"{n}#{i}" if names.index(n) != i else n for i, n in enumerate(names)]
     warning = "POTENTIAL_MALFORMED_HEADER" if len(names) == 1 and re.search(r"[,;\t| ]", names[0]) else None
     placed = with_place(lines)
-    body = placed.where(F.col("place") != placed.first().place)
+    body = without_headers(placed, head[0])
     if sep is None:
         return CsvTable(unique, body.select(F.col("line").alias(unique[0])), body.limit(0), None, warning)
     rows = body.select(F.from_csv("line", ", ".join(f"`{n}` STRING" for n in unique), {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}).alias("r")).select("r.*")
