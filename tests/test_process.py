@@ -63,6 +63,35 @@ def test_csv_structure(spark, tmp_path):
     assert {r["name"]: r.data_type for r in csv_source.csv_fields(table, "e", overrides={"A": "STRING"}).collect()}["a"] == "STRING"
 
 
+def test_csv_lines_like_the_header_are_data(spark, tmp_path):
+    path = put(tmp_path, "h.csv", '# first\na,b,c\n1,2,3\na,b,c\n"x,1",2\n\n1,"q ""z"" y",3,4,5\n')
+    table = csv_source.read_csv(spark, str(path), "e", header_mode="PRESENT")
+    assert [tuple(r) for r in table.rows.collect()] == [("1", "2", "3"), ("a", "b", "c"), ("x,1", "2", None), ("1", 'q "z" y', "3")]
+    wrong = [(r.row_number, r.expected, r.actual, r.missing_columns, r.extra_values, r.mapped_preview["c"]) for r in table.mismatches.orderBy("row_number").collect()]
+    assert wrong == [(4, 3, 2, ["c"], [], "<MISSING>"), (5, 3, 5, [], ["4", "5"], "3")]
+    one = csv_source.read_csv(spark, str(put(tmp_path, "s.csv", "v\n1\nv\n")), "e", mode="SINGLE", header_mode="PRESENT")
+    assert [r.v for r in one.rows.collect()] == ["1", "v"]
+    long = ",".join('"a,b"' for _ in range(20000))
+    assert spark.range(1).select(csv_source.width(F.lit(long), ","), F.size(csv_source.cells_of(F.lit(long), ","))).first()[:] == (20000, 20000)
+
+
+def test_json_constants_in_strings_and_repeated_keys(spark, tmp_path):
+    text = '{"a": "ratio: NaN, so", "b": 1.50}\n{"a": 1, "a": [{"x": 2e3, "x": "é"}], "a": null}\nbroken\n'
+    got = [r.asDict(True) for r in json_source.read_json(spark, str(put(tmp_path, "d.jsonl", text))).orderBy("b").collect()]
+    assert got[1]["a"] == "ratio: NaN, so" and got[1]["b"] == "1.50" and got[0]["a"] == "1" and got[0]["a_2"] == [{"x": "2e3", "x_2": "é"}]
+    whole = json_source.read_json(spark, str(put(tmp_path, "w.json", '[{"a": 1, "a": 2},\n {"a": 3}]')))
+    assert {(r.a, r.a_2) for r in whole.collect()} == {("1", "2"), ("3", None)}
+    with pytest.raises(ValueError, match="NaN"):
+        json_source.read_json(spark, str(put(tmp_path, "i.jsonl", '{"a": "x"}\n{"a": [1, -Infinity]}\n')))
+
+
+def test_artifacts_of_an_earlier_run_go(tmp_path):
+    (tmp_path / "migration.sql").write_text("old")
+    (tmp_path / "own.txt").write_text("kept")
+    assert write_artifacts({"artifacts": {"schema.json": "[]"}}, str(tmp_path)) == ["run_summary.json", "schema.json"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["own.txt", "run_summary.json", "schema.json"]
+
+
 def test_json(spark, tmp_path):
     df = json_source.read_json(spark, str(put(tmp_path, "a.jsonl", JSON)))
     got = {r.path: (r.data_type, r.is_array) for r in json_source.json_fields("e", df).collect()}

@@ -5,7 +5,10 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import queries
+from tessera.plans import queries, rule_queries, source_queries
+
+QUERIES = {**queries.QUERIES, **source_queries.QUERIES, **rule_queries.QUERIES}
+ORACLES = {**queries.ORACLES, **source_queries.ORACLES, **rule_queries.ORACLES}
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,12 +25,15 @@ def plain(v):
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    got = queries.QUERIES[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     cols = sorted(got.columns)
-    want = con.execute(queries.ORACLES[name])
-    names = [d[0] for d in want.description]
+    want = con.execute(ORACLES[name])
+    names, rows = [d[0] for d in want.description], want.fetchall()
     assert sorted(names) == cols
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    stated = {r[0]: r[1] for r in con.execute("describe " + ORACLES[name]).fetchall()}
+    assert {c: kinds.get(t, t) for c, t in got.dtypes if t in kinds} == {c: stated[c] for c, t in got.dtypes if t in kinds}
     mine = sorted(tuple(map(plain, (r[c] for c in cols))) for r in got.collect())
-    assert mine == sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in want.fetchall())
+    assert mine == sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in rows)

@@ -1,17 +1,31 @@
-"""The schema watcher over two arriving files."""
+from pyspark.sql import functions as F
 
 from tessera.operators.governance import Registry
 from tessera.streaming.watch import watch
 
 
-def test_batches_are_profiled_and_registered(spark, tmp_path):
-    source, places = str(tmp_path / "in"), {k: f"file://{tmp_path}/{k}" for k in ("registry", "report", "checkpoint")}
-    for rows in ([(1, "a"), (2, None)], [(3, "b")]):
-        spark.createDataFrame(rows, "id long, name string").coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema("id long, name string").parquet(source)
-        query = watch(stream, "people", places["registry"], places["report"], places["checkpoint"])
-        assert query.awaitTermination(120)
-    report = spark.read.parquet(places["report"])
-    assert sorted((r.batch, r["name"], r.n, r.n_blank) for r in report.collect()) == [(0, "id", 2, 0), (0, "name", 2, 1), (1, "id", 1, 0), (1, "name", 1, 0)]
-    current = Registry(spark, places["registry"]).current("people")
-    assert current.version == 1 and '"_batch_id"' in current.schema
+def test_watch(spark, tmp_path):
+    """Two batches of the same types, then one that breaks a type: warned of, then let through as a new version."""
+    for name in ("in", "report", "cp"):
+        (tmp_path / name).mkdir()
+    put = lambda n, rows: (tmp_path / "in" / f"{n}.csv").write_text("id,note\n" + rows)
+    place = lambda n: f"file://{tmp_path}/{n}"
+
+    def run(policy):
+        stream = spark.readStream.schema("id string, note string").option("header", True).csv(place("in"))
+        watch(stream, "notes", place("registry"), place("report"), place("cp"), policy).awaitTermination()
+
+    put("a", "1,x\n2,y\n")
+    run("WARN")
+    put("b", "3,z\n")
+    run("WARN")
+    put("c", "four,z\n")
+    run("WARN")
+    put("d", "five,z\n")
+    run("AUTO")
+    got = [tuple(r) for r in spark.read.parquet(place("report/verdict")).orderBy("batch").select("decision", "status", "version").collect()]
+    assert got == [("CREATE", "SUCCESS", 1), ("NO_OP", "SUCCESS", 1), ("BREAKING", "WARNING", 1), ("BREAKING", "SUCCESS", 2)]
+    assert '"TYPE_CHANGE"' in spark.read.parquet(place("report/verdict")).where("batch = 2").first().changes
+    assert spark.read.parquet(place("report/profile")).where("batch = 0").count() == 2
+    assert Registry(spark, place("registry")).current("notes").version == 2
+    assert Registry(spark, place("nowhere")).rows().agg(F.count("*")).first()[0] == 0
