@@ -15,11 +15,11 @@ def frame(spark, rows):
 
 
 def brute(rows, k=5, step=50):
-    usable = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    usable = [(i, [min(max(math.floor(256 * float(np.float32(x))), -(2**63)), 2**63 - 1) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, v in dict(sorted(usable, key=lambda r: (r[0], r[1]), reverse=True)).items():
         if q % step == 0:
-            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in usable if i != q)[:k]
+            found = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=True)), -(2**63)), 2**63 - 1), i) for i, w in usable if i != q and len(w) == len(v))[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
     return sorted(out)
 
@@ -40,6 +40,13 @@ def test_matches_brute_force(spark, candidates, queries):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_vectors_of_several_lengths_and_sizes(spark):
+    rows = vectors(300) + [(1000 + i, v) for i, v in vectors(250, 3, 5)] + [(3000, [1.0]), (3050, [2.0]), (3001, [-4.0]), (50, [7.0, 7.0])]
+    rows += [(4000 + i, [1e16 * (i - 20), 3e15, 1.0, 2.0]) for i in range(0, 60, 5)]  # products beyond 64 bits
+    got = topk.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0, candidates=64, queries=5)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
 def test_few_and_no_rows(spark):
     ask = F.col("vec_id") % 50 == 0
     assert sorted(map(tuple, topk.top_k(frame(spark, [(0, [1.0, 2.0]), (50, [1.0, 0.0])]), ask).collect())) == [(0, 1, 50, 65536), (50, 1, 0, 65536)]
