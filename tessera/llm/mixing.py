@@ -12,33 +12,44 @@ depends on the key and the seed alone, so it can be repeated on any cluster.
 
 Defined results: null source, language or key counts as the value ``(none)``; null or empty text
 has no tokens, and is drawn with its cell's probability (zero, if all its cell is empty); rows
-that repeat a key are drawn alike; an empty table gives an empty result.
+that repeat a key are drawn alike; texts of any length are read whole; an empty table gives an empty result; other columns
+are kept or ignored as they are.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, table, unstage
+from tessera.llm.common import broadcast_if_small, stage, table, unstage
 
 MARGINALS = ("source", "lang", "topic")
 POWER, SHARE, ROUNDS, TOLERANCE, SEED = 0.5, 0.5, 40, 1e-9, "mix"
 DECIMALS = 6
 
-#: Topics, the first that matches. A topic column may be given instead.
-TOPICS = (("licence", "(?i)license|rights reserved"), ("contact", "[0-9A-Za-z]@[0-9A-Za-z]"), ("list", r" \| "), ("markup", "(&&&|%%%|###|!!)"))
+#: Topics, the first that matches: a name, a pattern, and texts of which one has to be there for it. A topic column may be given instead.
+TOPICS = (
+    ("licence", "(?i)license|rights reserved", ("license", "rights reserved")), ("contact", "[0-9A-Za-z]@[0-9A-Za-z]", ("@",)),
+    ("list", r" \| ", (" | ",)), ("markup", "(&&&|%%%|###|!!)", ("&&&", "%%%", "###", "!!")),
+)
+SMALL = 200_000  # cells that one task works on
+AT_ONCE = 4  # rounds in a job
 
 
 def topic_of(text: Column, topics=TOPICS) -> Column:
-    cases = reduce(lambda c, t: c.when(text.rlike(t[1]), t[0]), topics[1:], F.when(text.rlike(topics[0][1]), topics[0][0]))
+    def fits(pattern: str, needed: tuple[str, ...]) -> Column:
+        body = F.lower(text) if pattern.startswith("(?i)") else text
+        there = reduce(lambda a, b: a | b, (body.contains(n) for n in needed))  # far cheaper than the pattern
+        return there & text.rlike(pattern)
+
+    cases = reduce(lambda c, t: c.when(fits(*t[1:]), t[0]), topics[1:], F.when(fits(*topics[0][1:]), topics[0][0]))
     return F.when(text.isNull(), "prose").otherwise(cases.otherwise("prose"))
 
 
 def token_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]++")), F.lit(0)).cast("long")
 
 
 def own_targets(cells: DataFrame, power: float = POWER) -> dict[str, DataFrame]:
@@ -53,25 +64,32 @@ def own_targets(cells: DataFrame, power: float = POWER) -> dict[str, DataFrame]:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` with a ``weight`` column whose marginals meet the targets; values without one get 0."""
-    now = stage(cells.withColumn("weight", F.col("tokens").cast("double")), "mix")
-    given = {m: stage(t, "mix-target") for m, t in targets.items()}
-    for _ in range(rounds):
-        after, off = now, []
-        for m, target in given.items():
-            total = after.groupBy(m).agg(F.sum("weight").alias("total")).join(target, m, "left")
-            scale = total.select(m, F.when(F.col("total") > 0, F.coalesce("target", F.lit(0.0)) / F.col("total")).otherwise(0.0).alias(f"scale_{m}"))
-            after = after.join(scale, m).withColumn("weight", F.col("weight") * F.col(f"scale_{m}"))
-            off.append(F.max(F.when(F.col("weight") > 0, F.abs(F.col(f"scale_{m}") - 1))))
+    """``cells`` with a ``weight`` column whose marginals meet the targets; values without one get 0.
+
+    Up to ``SMALL`` cells stay in one partition, where no step shuffles; more are shuffled by Spark for each step.
+    """
+    now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for m, target in targets.items():
+        now = now.join(target.select(m, F.col("target").alias(f"__{m}")), m, "left")
+    now = stage(now, "mix")
+    one = now.count() <= SMALL
+    for _ in range(0, rounds, AT_ONCE):
+        after = now.coalesce(1) if one else now
+        for _ in range(AT_ONCE):
+            for m in targets:
+                after = after.withColumn("__total", F.sum("weight").over(Window.partitionBy(m)))
+                scale = F.when(F.col("__total") > 0, F.coalesce(f"__{m}", F.lit(0.0)) / F.col("__total")).otherwise(0.0)
+                after = after.withColumn(f"__off_{m}", F.when(F.col("weight") > 0, F.abs(scale - 1))).withColumn("weight", F.col("weight") * scale).drop("__total")
         after = stage(after, "mix")
-        worst = after.agg(*(x.alias(str(i)) for i, x in enumerate(off))).first()
+        worst = after.agg(F.max(F.array_max(F.array(*(F.col(f"__off_{m}") for m in targets))))).first()[0]
         unstage(now)
-        now = after.drop(*(f"scale_{m}" for m in given))
+        now = after.drop(*(f"__off_{m}" for m in targets))
         now._staged_path = after._staged_path
-        if max((x or 0.0) for x in worst) <= tolerance:
+        if (worst or 0.0) <= tolerance:
             break
-    unstage(*given.values())
-    return now
+    out = now.select(*cells.columns, "weight")
+    out._staged_path = now._staged_path
+    return out
 
 
 def calibrate(weighted: DataFrame, share: float = SHARE) -> DataFrame:
@@ -98,18 +116,22 @@ def draw(key: Column, seed: str = SEED) -> Column:
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = POWER, share: float = SHARE,
-        rounds: int = ROUNDS, seed: str = SEED, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+        rounds: int = ROUNDS, seed: str = SEED, key: str = "doc_id", text: str = "text", keep: bool = False, topic: str | None = None) -> DataFrame:
     """For each document its cell, tokens, the cell's weight and probability, and ``sampled``.
 
-    With ``keep``, the sampled rows of ``docs`` themselves.
+    ``topic`` names a column of topics; without it they come from ``TOPICS``. With ``keep``, the sampled rows of ``docs`` themselves.
     """
     named = [F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(f"__{c}") for c in ("source", "lang")]
-    rows = docs.select(*(docs.columns if keep else [key]), *named, topic_of(F.col(text)).alias("__topic"), token_count(F.col(text)).alias("__tokens"))
+    about = F.coalesce(F.col(topic).cast("string"), F.lit("(none)")) if topic else topic_of(F.col(text))
+    rows = docs.select(*(docs.columns if keep else [key]), *named, about.alias("__topic"), token_count(F.col(text)).alias("__tokens"))
+    if not keep:
+        rows = stage(rows, "mix-rows")  # a few short columns, so that texts are read once
     cells = rows.groupBy(*(F.col(f"__{m}").alias(m) for m in MARGINALS)).agg(F.sum("__tokens").alias("tokens"))
     cells = stage(cells, "mix-cells")
     weighted = rake(cells, targets or own_targets(cells, power), rounds)
     chances = stage(calibrate(weighted, share).select(*(F.col(m).alias(f"__{m}") for m in MARGINALS), "weight", "probability"), "mix-chances")
     unstage(cells, weighted)
+    chances = broadcast_if_small(chances)
     if keep:
         chances = chances.withColumnsRenamed({"weight": "__weight", "probability": "__probability"})
         joined = rows.join(chances, [f"__{m}" for m in MARGINALS])
@@ -128,7 +150,7 @@ def op10_mix_raked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(rounds: int = 30, fills: int = 12) -> str:
     """The same in SQL, with the rounds written out; rounds beyond convergence change nothing."""
-    when = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{t}'" for t, p in TOPICS)
+    when = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{t}'" for t, p, _ in TOPICS)
     steps = [
         f"""d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, CASE {when} ELSE 'prose' END AS topic,
   CAST(coalesce(length(regexp_replace(regexp_replace(text, '[^ \\t\\n\\x0B\\f\\r]+', chr(1), 'g'), '[^' || chr(1) || ']', '', 'g')), 0) AS BIGINT) AS tokens FROM documents)""",
