@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import table, values
+from tessera.llm.common import pieces, table, values
 
 MAX_STATES = 100_000
 MAX_FITS = 400_000
@@ -289,7 +289,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
     def run(batches):
         own = codec(raw.value, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             made = [digests(own, t or "") for t in values(batch.column(1))]
             cols = list(zip(*made, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays(

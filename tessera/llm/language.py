@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, stage, table, values
+from tessera.llm.common import broadcast_if_small, pieces, stage, table, values
 from tessera.llm.quality import fold
 
 # ISO 639-1 codes by branch.
@@ -49,21 +49,25 @@ def has_letter(text: str | None) -> bool:
 
 
 def features(text: str):
-    """Arrays of hashed character n-gram numbers of a text, with repeats."""
+    """Arrays of hashed character n-gram numbers of a text, with repeats; slices give the same as the whole."""
     text = text.lower()
-    overlap = ORDERS[-1] - 1
+    kept, gap_before = np.zeros(0, np.uint64), False
     for at in range(0, len(text), STREAM):
-        part = text[max(0, at - overlap) : at + STREAM]
+        part = text[at : at + STREAM]
         points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         points = np.where(points < 128, _FOLD[np.minimum(points, 127)], points)
         gap = points == 32
-        points = points[~(gap & np.concatenate([[False], gap[:-1]]))] if gap.any() else points
-        padded = np.concatenate([np.full(1, 32, np.uint64), points, np.full(1, 32, np.uint64)])
+        points = points[~(gap & np.concatenate([[gap_before], gap[:-1]]))]
+        gap_before = bool(gap[-1])
+        ends = [np.full(int(n), 32, np.uint64) for n in (at == 0, at + STREAM >= len(text))]
+        padded = np.concatenate([kept, ends[0], points, ends[1]])
         gram, out = np.zeros(len(padded), np.uint64), []
         for order in range(1, ORDERS[-1] + 1):
             tail = padded[order - 1 :]
             gram = gram[: len(tail)] * np.uint64(1_000_003) + tail + np.uint64(order)
-            out.append((gram * _MIX) >> np.uint64(64 - BITS))
+            fresh = gram[max(0, len(kept) - order + 1) :]  # those that end in what is new
+            out.append((fresh * _MIX) >> np.uint64(64 - BITS))
+        kept = padded[max(0, len(padded) - ORDERS[-1] + 1) :]
         yield np.concatenate(out).view(np.int64)
 
 
@@ -161,7 +165,7 @@ def train(docs: DataFrame, where: Column | None = None, key: str = "doc_id", tex
         import pandas as pd
 
         pdf = pdf[[has_letter(t) for t in pdf.t]]
-        pdf = pdf.iloc[np.argsort([xxhash.xxh64_intdigest(f"{k} {t[:0]}") for k, t in zip(pdf.k, pdf.t, strict=True)], kind="stable")]
+        pdf = pdf.iloc[np.argsort([xxhash.xxh64_intdigest(f"{k} ") for k in pdf.k], kind="stable")]
         return pd.DataFrame({"model": [pickle.dumps(fit(list(pdf.t), list(pdf.l))) if len(pdf) else b""]})
 
     got = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "model binary").first()
@@ -177,7 +181,7 @@ def identify(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             made = [predict(shared.value, t) for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, table, values
+from tessera.llm.common import pieces, stage, table, values
 
 BITS = 18
 MAX_ROWS = 12_000
@@ -140,13 +140,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id",
         at = docs.columns.index(text)
 
         def run(batches):
-            for batch in batches:
+            for batch in pieces(batches):
                 yield batch.filter(pa.array(scores(batch.column(at)) >= 0.5))
 
         return docs.mapInArrow(run, docs.schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)), pa.float64())], names=[key, "score"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, stage, table, unstage, values
+from tessera.llm.common import broadcast_if_small, pieces, stage, table, unstage, values
 from tessera.llm.components import connected_components
 from tessera.llm.grouped import link_groups
 
@@ -70,7 +70,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def with_fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, fp)``: fp is the fingerprint's 64 bits as a signed long."""
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             made = np.array([fingerprint(t, words) for t in values(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=[key, "fp"])
 
@@ -332,7 +332,7 @@ def _with_row(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _sets(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
     """``(key, row, c, n, w0 .. w3)``: the digest, size and fingerprint of a text's set."""
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             made = [shingles(t, words) for t in values(batch.column(2))]
             wide = np.array([wide_fingerprint(m) for m in made], np.uint64).reshape(-1, 4).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -366,7 +366,7 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, least: float, most:
     texts = _with_row(docs, key, text).select(F.col("__row").alias("row"), F.col(text).alias("text"))
 
     def cut(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             made = [shingles(t, words).tobytes() for t in values(batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], names=["component", "c", "pairs", "hashes"])
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, stage, table, unstage, values
+from tessera.llm.common import broadcast_if_small, pieces, stage, table, unstage, values
 
 LENGTH, GRAM = 400, 145
 WORD = 6  # bytes that stand for a word
@@ -258,7 +258,7 @@ def _cut_contexts(rows: DataFrame, wanted: DataFrame, by_word: bool = False) ->
     ))
 
     def encode(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             made = pa.array(map(word_bytes, values(batch.column("__body"))), pa.binary())
             cols = [made if n == "__body" else batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
@@ -394,7 +394,7 @@ def measure(docs: DataFrame, length: int = LENGTH, keep: str = "none", key: str
     rows = _keyed(docs, key, text).select(key, "__row", "__body").join(broadcast_if_small(found, F.size("spans")), "__row", "left")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             made = []
             for body, spans in zip(values(batch.column(1)), values(batch.column(2)), strict=True):
                 removed, n, left = _kept(body, spans, False)
@@ -422,7 +422,7 @@ def remove(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str
     at = names.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [
                 t if not s else _kept(t.encode(), _word_spans(t.encode(), s) if words else s, True)[2].decode()
                 for t, s in zip(values(batch.column(at)), values(batch.column("__spans")), strict=True)

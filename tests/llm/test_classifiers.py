@@ -1,8 +1,10 @@
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import language, quality
@@ -92,3 +94,113 @@ def test_any_set_of_languages(langs):
     texts = [(text(rng, lang) if lang in WORDS else f"{lang}aa {lang}bb " * 9, lang) for lang in langs for _ in range(20)]
     model = language.fit(*zip(*texts, strict=True))
     assert all(language.predict(model, t)[0] == lang for t, lang in texts)
+
+
+def plain_language_features(text):
+    """Numbers of character n-grams, as the docstring states them, one at a time."""
+    kept, gap = [], False
+    for c in text.lower():
+        c = " " if ord(c) < 128 and not c.isalpha() else c
+        if not (c == " " and gap):
+            kept.append(ord(c))
+        gap = c == " "
+    points, out, full = [32, *kept, 32], {}, 2**64 - 1
+    for n in range(1, 5):
+        for at in range(len(points) - n + 1):
+            gram = 0
+            for order, p in enumerate(points[at : at + n], 1):
+                gram = (gram * 1_000_003 + p + order) & full
+            number = (gram * 0x9E3779B97F4A7C15 & full) >> 64 - language.BITS
+            out[number] = out.get(number, 0) + 1
+    return out
+
+
+def counted(parts):
+    out = {}
+    for x in np.concatenate(list(parts)).tolist():
+        out[x] = out.get(x, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("stream", [1, 2, 7, 1_000_000])
+def test_language_features_match_plain_ones_at_any_slice(stream, monkeypatch):
+    monkeypatch.setattr(language, "STREAM", stream)
+    for t in ("a", "  ", "Der  Häuser-12 ,, fährt\n\n", "x" * 9, "été 7 où", " lead and trail  "):
+        assert counted(language.features(t)) == plain_language_features(t), t
+
+
+def plain_machine(rows, sides, epochs):
+    """The average over all steps of a linear machine's weights, by plain dictionaries."""
+    w, total, steps = {}, {}, 0
+    weight = {s: 0.5 * len(sides) / max(1, sides.count(s)) for s in (1, -1)}
+    order = np.random.default_rng(7)
+    for epoch in range(epochs):
+        for at in order.permutation(len(rows)):
+            row, side = rows[at], sides[at]
+            if side * (sum(w.get(i, 0.0) * v for i, v in row.items()) + w.get("bias", 0.0)) < 1:
+                step = 0.5 / (1 + epoch) * weight[side] * side
+                for i, v in [*row.items(), ("bias", 0.1)]:
+                    w[i] = w.get(i, 0.0) + step * v
+                    total[i] = total.get(i, 0.0) + steps * step * v
+            steps += 1
+        shrink = 1 - 1e-5 * len(rows)
+        w, total = ({i: v * shrink for i, v in x.items()} for x in (w, total))
+    return {i: v - total.get(i, 0.0) / steps for i, v in w.items()}
+
+
+def test_linear_machine_matches_plain_one():
+    texts = [r[1] for r in rows(40)]
+    sides = [1 if r[2] in ("en", "de") else -1 for r in rows(40)]
+    made = [{i: n * language.SCALE / sum(f.values()) for i, n in f.items()} for f in map(plain_language_features, texts)]
+    want = plain_machine(made, sides, 3)
+    got = language.hinge([language._row(t) for t in texts], sides, epochs=3)
+    bias = want.pop("bias", 0.0)
+    assert abs(got[-1] - bias) < 1e-4 and set(np.flatnonzero(got[:-1])) <= set(want)
+    assert max(abs(got[i] - v) for i, v in want.items()) < 1e-3 * max(map(abs, want.values()))
+
+
+def plain_quality_features(text):
+    tokens = quality._TOKEN.findall(text)
+    word = [xxhash.xxh64_intdigest(t.lower().encode()) >> 3 << 3 >> 3 for t in tokens]
+    shape = [4 if not (t[0].isalnum() or t[0] == "_") else 3 if t.isdigit() else 2 if len(t) > 1 and t.isupper() else int(t[0].isupper()) for t in tokens]
+    raw = list(word) + [1 if a == b else a * 31 + b for a, b in zip(word, word[1:], strict=False)] + [a * 8 + b + 1000 for a, b in zip(shape, shape[1:], strict=False)]
+    out = {}
+    for x in raw:
+        number = (x * 0x9E3779B97F4A7C15 & 2**64 - 1) >> 64 - quality.BITS
+        out[number] = out.get(number, 0) + 1
+    return out
+
+
+def plain_ftrl(texts, labels, epochs, alpha=0.2, beta=1.0, l1=0.02, l2=0.5):
+    z, n = {}, {}
+
+    def w(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    rows = []
+    for t in texts:
+        f = plain_quality_features(t)
+        rows.append({i: c / max(1, sum(f.values())) ** 0.5 for i, c in f.items()} | {"bias": 1.0})
+    for _ in range(epochs):
+        for row, y in zip(rows, labels, strict=True):
+            now = {i: w(i) for i in row}
+            p = 1 / (1 + math.exp(-sum(now[i] * v for i, v in row.items())))
+            for i, v in row.items():
+                g = (p - y) * v
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * now[i]
+                n[i] = old + g * g
+    return {i: w(i) for i in z}
+
+
+def test_quality_matches_plain_ftrl():
+    texts, labels = [r[1] for r in rows(40)], [r[4] for r in rows(40)]
+    for t in texts[:5]:
+        assert counted(quality.features(t)) == plain_quality_features(t)
+    want = plain_ftrl(texts, labels, 3)
+    got, bias = quality.ftrl(texts, labels, epochs=3)
+    assert abs(bias - want.pop("bias")) < 1e-4 and max(abs(got[i] - v) for i, v in want.items()) < 1e-4
+    f = plain_quality_features(texts[0])
+    assert abs(quality.raw_score(got, bias, texts[0]) - bias - sum(got[i] * c for i, c in f.items()) / sum(f.values()) ** 0.5) < 1e-3
