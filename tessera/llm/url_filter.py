@@ -4,13 +4,16 @@ Rules are ``(verdict, host + path)``. A rule fits its host and all subdomains wh
 path starts with the rule's path; the longest fitting rule decides (of equal length: allow).
 
 Pages that no rule fits take the decision of their alias group. Groups are the connected
-components of redirect and canonical-link edges. One explicitly allowed member makes the group
-allowed; else one blocked member makes it blocked; else, and for pages with no alias, the
-verdict is allow.
+components of redirect and canonical-link edges: canonical links and meta refreshes in the html, a redirect
+log where there is one, and each url's own canonical form (https, without tracking parameters), to which
+sites redirect. One explicitly allowed member makes the group allowed; else one blocked member makes it
+blocked; else, and for pages with no alias, the verdict is allow.
+
+Urls are nodes without their fragment, with scheme and host in lower case.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
-has no alias; null or empty html has no link; repeated rows are judged row by row; an empty table
-gives an empty result; other columns are ignored.
+has no alias; null or empty html has no link, html of any length is read whole; repeated rows are judged row by
+row; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +41,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def node_of(url: Column) -> Column:
+    """The url as a node: no fragment, scheme and host in lower case."""
+    plain = F.regexp_replace(url, r"(?s)#.*$", "")
+    site = F.regexp_extract(plain, r"(?s)^(.*?://[^/?#]*)", 1)
+    return F.concat(ascii_lower(site), F.substring(plain, F.length(site) + 1, F.length(plain)))
+
+
+def canonical_form(node: Column) -> Column:
+    """The node with https, and without ``utm_`` parameters."""
+    kept = F.regexp_replace(F.regexp_replace(node, "([?&])utm_[^&]*", "$1"), "&+", "&")
+    kept = F.regexp_replace(F.replace(kept, F.lit("?&"), F.lit("?")), "[?&]$", "")
+    return F.regexp_replace(F.when(node.contains("utm_"), kept).otherwise(node), "^http://", "https://")
+
+
 def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits, or null.
 
@@ -75,24 +92,16 @@ def _absolute(base: Column, link: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(a, b)``: each page's url and the target of its canonical link or meta refresh."""
-    text, base = F.col(html), F.regexp_replace(F.col(url), r"(?s)#.*$", "")
+    """``(a, b)``: each page's node, and the targets of its canonical links and meta refreshes, and its canonical form."""
+    text = F.col(html)
 
-    def target(tag: str, attribute: str) -> Column:
-        return F.nullif(F.regexp_extract(F.regexp_extract(text, tag, 0), attribute, 1), F.lit(""))
+    def targets(word: str, tag: str, attribute: str) -> Column:
+        found = F.transform(F.regexp_extract_all(text, F.lit(tag), 0), lambda t: F.regexp_extract(t, attribute, 1))
+        return F.when(F.lower(text).contains(word), found).otherwise(F.array().cast("array<string>"))
 
-    links = F.array_compact(
-        F.array(
-            F.when(F.lower(text).contains("canonical"), target(_CANONICAL, _HREF)),
-            F.when(F.lower(text).contains("http-equiv"), target(_REFRESH, _REFRESH_URL)),
-        )
-    )
-    return (
-        pages.where(F.col(url).contains("://") & text.isNotNull())
-        .select(base.alias("a"), F.explode(links).alias("link"))
-        .select("a", _absolute(F.col("a"), F.col("link")).alias("b"))
-        .where("a != b")
-    )
+    here = pages.where(F.col(url).contains("://")).select(node_of(F.col(url)).alias("a"), F.concat(targets("canonical", _CANONICAL, _HREF), targets("http-equiv", _REFRESH, _REFRESH_URL)).alias("links"))
+    linked = here.select("a", F.explode("links").alias("link")).where("link != ''").select("a", node_of(_absolute(F.col("a"), F.col("link"))).alias("b"))
+    return linked.unionByName(here.select("a", canonical_form(F.col("a")).alias("b"))).where("a != b")
 
 
 def judge_urls(
@@ -105,7 +114,7 @@ def judge_urls(
     """
     edges = alias_edges(pages, url, html)
     if redirects is not None:
-        clean = [F.regexp_replace(F.col(c), r"(?s)#.*$", "").alias(c) for c in ("a", "b")]
+        clean = [node_of(F.col(c)).alias(c) for c in ("a", "b")]
         edges = edges.unionByName(redirects.select(*clean))
     members = connected_components(edges)
     own = rule_for(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]
@@ -117,7 +126,7 @@ def judge_urls(
     )
     alias = stage(members.join(groups, "component").select("node", "component", "group_verdict"), "url-alias")
     found = pages.select(
-        F.col(key), F.regexp_replace(F.col(url), r"(?s)#.*$", "").alias("node"),
+        F.col(key), node_of(F.col(url)).alias("node"),
         host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"),
     ).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
     return found.join(alias, "node", "left").select(
@@ -144,14 +153,22 @@ def _fit(source: str, keys: str) -> str:
 _SQL_PARTS = r"""coalesce(translate(regexp_extract({u}, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract({u}, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path"""
 
+def _node_sql(u: str) -> str:
+    plain = f"regexp_replace({u}, '#.*$', '', 's')"
+    site = f"regexp_extract({plain}, '^(.*?://[^/?#]*)', 1, 's')"
+    return f"translate({site}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr({plain}, length({site}) + 1)"
+
+
+_FORM_SQL = """regexp_replace(CASE WHEN contains(node, 'utm_') THEN regexp_replace(replace(regexp_replace(regexp_replace(node, '([?&])utm_[^&]*', '\\1', 'g'), '&+', '&', 'g'), '?&', '?'), '[?&]$', '') ELSE node END, '^http://', 'https://')"""
+
 ORACLE_SQL = rf"""
-WITH RECURSIVE p AS (SELECT page_id, regexp_replace(url, '#.*$', '', 's') AS node, html, {_SQL_PARTS.format(u='url')} FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, {_node_sql('url')} AS node, html, {_SQL_PARTS.format(u='url')} FROM pages),
 tags AS (
-  SELECT node AS a, unnest([
-    regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is'),
-    regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is')]) AS link
+  SELECT node AS a, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), lambda t: regexp_extract(t, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is')),
+    list_transform(regexp_extract_all(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), lambda t: regexp_extract(t, '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is')))) AS link
   FROM p WHERE node LIKE '%://%' AND html IS NOT NULL),
-edges AS (
+links AS (
   SELECT a, regexp_replace(CASE
     WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
     WHEN starts_with(link, '//') THEN regexp_extract(a, '^(.*?)://', 1, 's') || ':' || link
@@ -159,6 +176,7 @@ edges AS (
     WHEN ends_with(regexp_extract(a, '^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1, 's'), '/') THEN regexp_extract(a, '^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1, 's') || link
     ELSE regexp_extract(a, '^(.*?://[^/?#]*)', 1, 's') || '/' || link END, '#.*$', '', 's') AS b
   FROM tags WHERE link != ''),
+edges AS (SELECT a, {_node_sql('b')} AS b FROM links UNION SELECT node, {_FORM_SQL} FROM p WHERE node LIKE '%://%'),
 sym AS (SELECT a, b FROM edges WHERE a != b UNION SELECT b, a FROM edges WHERE a != b),
 reach AS (SELECT a AS node, a AS other FROM sym UNION SELECT r.node, s.b FROM reach r JOIN sym s ON r.other = s.a),
 alias AS (SELECT node, min(other) AS component FROM reach GROUP BY node),

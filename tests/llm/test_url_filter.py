@@ -16,6 +16,7 @@ ROWS = [
     (4, "http://m.q.org/fr/a", ""), (5, None, link("http://a.net/")), (6, "nothing", ""), (7, "http://x.com", link("http://bad.net/1")),
     (8, "http://y.com/a/b?c#d", link("//x.com")), (9, "http://z.com/p", '<meta http-equiv="refresh" content="0; url=/q">'),
     (10, "http://z.com/q", '<link rel="canonical" href="http://ok.org/fr/z">'), (11, "http://z.com/q#frag", link("http://bad.net/1")),
+    (16, "HTTP://Two.com/X?utm_a=1&b=2&utm_c=3#f", link("HTTPS://ONE.com/Q#g") + link("//bad.NET/2")), (17, "https://two.com/X?b=2", None), (18, "https://one.com/Q?utm_source=feed", ""), (19, "http://one.com/Q", ""),
     (12, "http://lone.com/a", ""), (12, "http://lone.com/a", ""), (13, "http://netx/", ""), (14, "http://net", ""), (15, "://h/p\nq?x", ""),
 ]
 
@@ -30,6 +31,7 @@ def test_rules_and_aliases_match_sql(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     verdicts = {r[0]: r.verdict for r in got.collect()}
     assert verdicts[7] == "allow" and verdicts[8] == "allow"  # the group also holds ok.org/fr through bad.net
+    assert {verdicts[i] for i in (16, 17, 18, 19)} == {"block"} and len({r.alias_group for r in got.collect() if r[0] in (16, 17, 18, 19)}) == 1  # over the second link
     assert verdicts[1] == "block" and verdicts[14] == "allow" and verdicts[3] == "block"
 
 
@@ -62,3 +64,9 @@ def test_mixed_case_canonical_links_match_sql(spark):
     want = con.execute(f"select {', '.join(got.columns)} from ({url_filter.ORACLE_SQL})").fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "allow"}
+
+
+def test_query_has_alias_groups(spark):
+    """The given pages hold no link, but forms of the same url: their groups are not empty."""
+    got = url_filter.op1_url_redirects(spark, "/root/testdata/sf0.01")
+    assert got.where("alias_group is not null").count() > 50
