@@ -12,18 +12,21 @@ brings a range together, and the first text of the range that follows is added a
 
 Defined results: null text counts as empty; a null doc_id comes after all others; rows with one
 doc_id follow each other by a hash of their text, then by text; the last document's next is the
-first, so a lone document is its own next; an empty table gives an empty result; other columns
-are ignored.
+first, so a lone document is its own next; texts of any length are read whole; an empty table gives an empty
+result; other columns are ignored, whatever their names. Edited texts are fingerprinted as any other; their bytes
+are compared where their bits are those of unequal originals.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import broadcast_if_small, partitions, stage, table
 
-MAX_RANGES = 4096
+MAX_RANGES = 4096  # cuts that a plan holds
+ROWS = 20_000  # of a range
 
 
 def canonical(text: Column) -> Column:
@@ -56,24 +59,43 @@ def collisions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     canon = rows.select("row", canonical(F.col("text")).alias("canon")).withColumn("h", wide_hash(F.col("canon")))
     members = stage(canon.join(shared, "h"), "fp-members")
     heads = members.where(F.col("row") == F.col("first")).groupBy("h").agg(F.min("canon").alias("head"))
-    return members.join(stage(heads, "fp-heads"), "h").where("canon != head").select("h").distinct()
+    # Written before it is made distinct, so that a bucket of very many copies can be split over tasks.
+    return stage(members.join(stage(heads, "fp-heads"), "h").where("canon != head").select("h"), "fp-differ").distinct()
+
+
+def _place(rows: DataFrame, ranges: int) -> Column:
+    """The range of each id, by descending id, nulls last: by quantiles, each cut into equal parts of about ``ROWS`` ids."""
+    kind = rows.schema["id"].dataType
+    found = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10_000), F.min("id"), F.max("id"), F.count(F.lit(1))).first()
+    if found[1] is None:
+        return F.lit(0)
+    cuts = sorted(set(found[0]))[::-1]
+    ident = F.col("id")
+    wide = int(len(cuts) ** 0.5) + 1
+    groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+    over = lambda a: F.size(F.filter(a, lambda c: c > ident))
+    # How many cuts are over the id, in two looks at about the root of their number.
+    group = over(F.array(*[F.lit(g[-1]) for g in groups]))
+    inner = F.array(*[F.array(*map(F.lit, g)) for g in groups], F.array().cast(f"array<{kind.simpleString()}>"))
+    place = F.least(group * wide + over(F.element_at(inner, group + 1)), F.lit(len(cuts)))
+    parts = -(-found[3] // (ROWS * (len(cuts) + 1)))
+    if parts > 1 and isinstance(kind, T.IntegralType):
+        bounds = F.array(*map(F.lit, [found[2], *cuts, found[1] - 1]))
+        high, low = F.element_at(bounds, place + 1), F.element_at(bounds, place + 2)
+        place = place * parts + F.least(F.lit(parts - 1), F.floor((high - ident) * F.lit(float(parts)) / F.greatest(high - low, F.lit(1))).cast("int"))
+    return F.when(ident.isNull(), F.lit((len(cuts) + 1) * parts)).otherwise(place).cast("int")
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, text, next)``: next is the text of the next document by descending key."""
-    spark = docs.sparkSession
     rows = _plain(docs, key, text)
-    ranges = min(MAX_RANGES, 2 * partitions(spark))
-    cuts = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("id"))) if cuts else F.lit(0)
-    place = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(below)
-    # One row for each range, of which there are at most MAX_RANGES + 1.
-    firsts = sorted((r.place, r.id) for r in rows.select(place.alias("place"), "id").groupBy("place").agg(F.max("id").alias("id")).collect())
-    if not firsts:
-        return rows.withColumn("next", F.col("text"))
-    ends = [(firsts[i - 1][0], first) for i, (_, first) in enumerate(firsts)]
-    ends = F.broadcast(spark.createDataFrame(ends, f"place int, first {rows.schema['id'].dataType.simpleString()}"))
+    place = _place(rows, min(MAX_RANGES, 2 * partitions(docs.sparkSession)))
+    firsts = stage(rows.groupBy(place.alias("of")).agg(F.max("id").alias("id")), "fp-firsts")
+    # One row a range: its end is followed by the first document of the next, the last by the first of all.
+    order = Window.orderBy("of")
+    ends = firsts.select(F.lag("of").over(order).alias("place"), F.col("id").alias("first"))
+    last = firsts.agg(F.max("of").alias("place"), F.max("id").alias("first"))
+    ends = broadcast_if_small(stage(ends.where("place is not null").unionByName(last), "fp-ends"))
     added = rows.join(ends, F.col("id").eqNullSafe(F.col("first"))).select("place", F.lit(True).alias("added"), "id", "text")
     both = rows.select(place.alias("place"), F.lit(False).alias("added"), "id", "text").union(added)
     order = Window.partitionBy("place").orderBy("added", F.desc_nulls_last("id"), F.xxhash64("text"), "text")

@@ -42,6 +42,14 @@ def test_rows_match_plain_python(spark):
             assert (by[i].fingerprint == by[j].fingerprint) == (canon(t or "") == canon(u or "")), (t, u)
 
 
+def test_ranges_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(fp, "ROWS", 20)
+    rows = [(i * i * 7 % 10007 - 500, f"text {i}") for i in range(700)] + [(None, "no key")]
+    rows = list({r[0]: r for r in rows}.values())
+    got = fp.compare_with_edits(frame(spark, rows)).collect()
+    assert {(r[0], r[1], r[2], r[5], r[6]) for r in got} == set(expected(rows)) and len(got) == len(rows)
+
+
 def test_many_ranges_repeats_and_small_tables(spark):
     rows = [(i * 7 % 1009, f"text {i}") for i in range(1009)]
     got = fp.compare_with_edits(frame(spark, rows)).collect()
