@@ -123,7 +123,9 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: flo
     """
     named = [F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(f"__{c}") for c in ("source", "lang")]
     about = F.coalesce(F.col(topic).cast("string"), F.lit("(none)")) if topic else topic_of(F.col(text))
-    rows = docs.select(*(docs.columns if keep else [key]), *named, about.alias("__topic"), token_count(F.col(text)).alias("__tokens"))
+    # Other columns travel in a struct, so that none clashes with what is added.
+    own = [F.struct("*").alias("__doc"), F.col(key).alias("__key")] if keep else [F.col(key)]
+    rows = docs.select(*own, *named, about.alias("__topic"), token_count(F.col(text)).alias("__tokens"))
     if not keep:
         rows = stage(rows, "mix-rows")  # a few short columns, so that texts are read once
     cells = rows.groupBy(*(F.col(f"__{m}").alias(m) for m in MARGINALS)).agg(F.sum("__tokens").alias("tokens"))
@@ -135,7 +137,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: flo
     if keep:
         chances = chances.withColumnsRenamed({"weight": "__weight", "probability": "__probability"})
         joined = rows.join(chances, [f"__{m}" for m in MARGINALS])
-        return joined.where(draw(F.col(key), seed) < F.col("__probability")).select(*docs.columns)
+        return joined.where(draw(F.col("__key"), seed) < F.col("__probability")).select("__doc.*")
     joined = rows.join(chances, [f"__{m}" for m in MARGINALS])
     return joined.select(
         key, *(F.col(f"__{m}").alias(m) for m in MARGINALS), F.col("__tokens").alias("tokens"),

@@ -326,7 +326,7 @@ def links(sets: list[np.ndarray], least: float = LEAST) -> tuple[list[int], list
 
 
 def _with_row(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumn("__row", F.xxhash64(key, F.coalesce(F.col(text), F.lit(""))))
+    return docs.select(key, text, F.xxhash64(key, F.coalesce(F.col(text), F.lit(""))).alias("__row"))
 
 
 def _sets(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
@@ -414,10 +414,11 @@ def keep_one(docs: DataFrame, words: int = WORDS, least: float = LEAST, most: in
     # Only rows that go, or stay once of several that repeat key and text, are joined.
     listed = stage(listed.where("not stays or n > 1").select(F.col("row").alias("__row"), "stays"), "simhash-listed")
     unstage(marked, groups, rows, first)
-    numbered = _with_row(docs, key, text)
+    # Other columns travel in a struct, so that none clashes with what is added.
+    numbered = docs.select(F.struct("*").alias("doc"), F.xxhash64(key, F.coalesce(F.col(text), F.lit(""))).alias("__row"))
     alone = numbered.join(broadcast_if_small(listed.select("__row")), "__row", "left_anti")
     again = numbered.join(broadcast_if_small(listed.where("stays").select("__row")), "__row", "left_semi").dropDuplicates(["__row"])
-    return alone.unionByName(again).select(*docs.columns)
+    return alone.unionByName(again).select("doc.*")
 
 
 def op8_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -416,8 +416,9 @@ def remove(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str
     A character cut in two stays whole; ``n_chars`` follows.
     """
     found = stage(repeats(docs, length, keep, key=key, text=text, words=words, **more), "lpf-spans")
-    small = broadcast_if_small(found, F.size("spans")).withColumnRenamed("spans", "__spans")
-    rows = docs.withColumn("__row", _row_id(key, F.coalesce(F.col(text), F.lit("")))).join(small, "__row", "left").select(*docs.columns, "__spans")
+    # Other columns travel in a struct, so that none clashes with what is added.
+    rows = docs.select(F.struct("*").alias("doc"), _row_id(key, F.coalesce(F.col(text), F.lit(""))).alias("__row"))
+    rows = rows.join(broadcast_if_small(found, F.size("spans")), "__row", "left").select("doc.*", F.col("spans"))
     names = docs.columns
     at = names.index(text)
 
@@ -425,7 +426,7 @@ def remove(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str
         for batch in pieces(batches):
             texts = [
                 t if not s else _kept(t.encode(), _word_spans(t.encode(), s) if words else s, True)[2].decode()
-                for t, s in zip(values(batch.column(at)), values(batch.column("__spans")), strict=True)
+                for t, s in zip(values(batch.column(at)), values(batch.column(len(names))), strict=True)
             ]
             cols = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
