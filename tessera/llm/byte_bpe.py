@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import pieces, table, values
 
 MAX_STATES = 100_000
-MAX_FITS = 400_000
-MAX_PIECES = 250_000
+MAX_FITS = 250_000
+MAX_PIECES = 120_000
 LONG_PIECE = 48
 SETTLE = 4096  # bytes after which a long piece emits what is certain
 STREAM = 200_000  # pieces of a text that are held at once

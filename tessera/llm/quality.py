@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces, stage, table, values
+from tessera.llm.common import pieces, release, stage, table, values
 
 BITS = 18
 MAX_ROWS = 12_000
@@ -121,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, label
 
         pdf = pdf.iloc[np.argsort([xxhash.xxh64_intdigest(k) for k in pdf.k], kind="stable")]
         weights, bias = ftrl(list(pdf.t), list(pdf.y))
+        release()
         return pd.DataFrame({"w": [weights.tobytes()], "b": [bias]})
 
     got = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "w binary, b double").first()

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, pieces, stage, table, unstage, values
+from tessera.llm.common import broadcast_if_small, pieces, release, stage, table, unstage, values
 from tessera.llm.components import connected_components
 from tessera.llm.grouped import link_groups
 
@@ -184,6 +184,7 @@ def gray_links(limit: int, ident: str, words: tuple[str, ...]):
                     rest = [c[change[-1] :] for c in rest]
         if rest and len(rest[0]):
             yield from found(rest)
+        release()
 
     def found(cols):
         new = np.concatenate([[True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)])

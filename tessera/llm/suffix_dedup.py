@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, pieces, stage, table, unstage, values
+from tessera.llm.common import broadcast_if_small, pieces, release, stage, table, unstage, values
 
 LENGTH, GRAM = 400, 145
 WORD = 6  # bytes that stand for a word
@@ -243,6 +243,7 @@ def _anchors(rows: DataFrame, length: int, gram: int, by_word: bool = False) ->
                         parts, places, names, rows_, docs_, held = [], [], [], [], [], 0
         if held:
             yield from made(parts, places, names, rows_, docs_)
+        release()
 
     return rows.select("of", "row", "doc", "at", "bytes").mapInArrow(run, "h long, d long, row binary, doc long, p long, before int, after int")
 
@@ -317,6 +318,7 @@ def _compare(contexts: DataFrame, length: int, keep: str) -> DataFrame:
             groups.append(group)
         if groups:
             yield from found(groups)
+        release()
 
     dealt = contexts.select("h", "row", "doc", "p", "before", "bytes").repartition("h").sortWithinPartitions("h")
     return dealt.mapInArrow(run, "row binary, `from` long, `to` long")
@@ -361,7 +363,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int
     if words:
         spans = spans.select("row", F.ceil(F.col("from") / WORD).alias("from"), F.floor(F.col("to") / WORD).alias("to")).where(F.col("to") - F.col("from") >= words)
     spans = spans.groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("found"))
-    return spans.select(F.col("row").alias("__row"), F.array_sort("found").alias("spans"))
+    spans = stage(spans.select(F.col("row").alias("__row"), F.array_sort("found").alias("spans")), "lpf-spans")
+    unstage(shared, same, *found)
+    return spans
 
 
 def _kept(body: bytes, spans, whole_characters: bool):
@@ -390,7 +394,7 @@ def _kept(body: bytes, spans, whole_characters: bool):
 
 def measure(docs: DataFrame, length: int = LENGTH, keep: str = "none", key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """``(key, n_bytes, n_removed, n_spans, kept_sha256)`` of each document."""
-    found = stage(repeats(docs, length, keep, key=key, text=text, **more), "lpf-spans")
+    found = repeats(docs, length, keep, key=key, text=text, **more)
     rows = _keyed(docs, key, text).select(key, "__row", "__body").join(broadcast_if_small(found, F.size("spans")), "__row", "left")
 
     def run(batches):
@@ -415,11 +419,11 @@ def remove(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str
 
     A character cut in two stays whole; ``n_chars`` follows.
     """
-    found = stage(repeats(docs, length, keep, key=key, text=text, words=words, **more), "lpf-spans")
+    found = repeats(docs, length, keep, key=key, text=text, words=words, **more)
     # Other columns travel in a struct, so that none clashes with what is added.
     rows = docs.select(F.struct("*").alias("doc"), _row_id(key, F.coalesce(F.col(text), F.lit(""))).alias("__row"))
-    rows = rows.join(broadcast_if_small(found, F.size("spans")), "__row", "left").select("doc.*", F.col("spans"))
     names = docs.columns
+    rows = rows.join(broadcast_if_small(found, F.size("spans")), "__row", "left").select(*(F.col("doc").getField(n).alias(f"c{i}") for i, n in enumerate(names)), "spans")
     at = names.index(text)
 
     def run(batches):
