@@ -2,6 +2,10 @@
 
 Each stage works on all that the one before it kept. ``run`` writes a stage's rows to the shared
 folder as Parquet and reads them back as the next one's documents.
+
+Defined results, for every stage: null text counts as empty, and is kept as null; empty tables give empty ones; texts of any
+length are read whole; rows that repeat doc_id and text are one near duplicate of each other; of ties the smallest doc_id stays,
+null doc_ids last; other columns are carried along, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, mixing, quality, simhash, suffix_dedup
-from tessera.llm.common import stage, table
+from tessera.llm.common import stage, table, unstage
 
 PASSAGE_WORDS = 51
 
@@ -55,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        unstage(before)  # nothing reads it any more; the given table is left alone
     return STAGES[-1][1](spark, docs, sf_dir)
