@@ -11,7 +11,8 @@ from pyspark.sql import SparkSession
 from tessera.plans.process import Request, process, write_artifacts
 
 
-def main(args: list[str]) -> int:
+def main(args: list[str] | None = None) -> int:
+    args = sys.argv[1:] if args is None else args
     if len(args) != 2:
         print(__doc__)
         return 2
@@ -28,4 +29,4 @@ def main(args: list[str]) -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(main(sys.argv[1:]))
+    sys.exit(main())
