@@ -30,7 +30,7 @@ TABLES = {
     "conversations": {"conv_id": "INTEGER", "turn": "INTEGER", "role": "STRING", "text": "STRING"},
     "labels": {"doc_id": "INTEGER", "quality": "INTEGER", "toxic": "INTEGER"},
 }
-ADVISED = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+ADVISED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "labels")
 HINTS = (("orders", "o_custkey", "joins"), ("orders", "o_custkey", "filters"), ("lineitem", "l_partkey", "joins"), ("lineitem", "l_returnflag", "group_by"), ("events", "event_type", "filters"), ("events", "event_type", "group_by"), ("events", "event_type", "joins"))
 
 
