@@ -3,8 +3,9 @@
 A string of ``length`` bytes that occurs twice holds the same anchor in both places: the leftmost
 of its 145-byte substrings with the least rolling hash. So each start of such a string belongs to
 one anchor, starts of one anchor form a run, and only runs of the same anchor need be compared.
-Copies of a run's whole context (64 bits of digest besides the anchor's hash) are merged before
-anything is moved: the second one and later ones repeat it whole. Contexts that differ are sent on, once each.
+Copies of a whole chain of runs that follow each other (128 bits of digest), then of a run's whole context
+(64 bits besides the anchor's hash) are merged before anything is moved: the second one and later ones repeat it
+whole. Contexts that differ are sent on, once each.
 
 Those are brought together by anchor and laid end to end. Their suffix array, by prefix doubling up to
 ``length`` bytes, has the common prefixes of neighbours; previous and next smaller positions in suffix
@@ -44,6 +45,7 @@ LENGTH, GRAM = 400, 145
 WORD = 6  # bytes that stand for a word
 BUFFER = 1 << 19  # bytes hashed at once
 SORTED = 1 << 19  # bytes of contexts sorted at once, or one anchor's
+CHAIN = 8  # anchors of a chain, about
 MOST = 512  # distinct contexts of an anchor compared at once
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -196,7 +198,10 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _anchors(rows: DataFrame, length: int, gram: int, by_word: bool = False) -> DataFrame:
-    """``(h, d, row, doc, p, before, after)``: p is the anchor, before and after the bytes of its context on both sides.
+    """``(s, t, row, doc, from, to, anchors)``: chains of anchors ``(h, d, p, before, after)`` that follow each other in a text.
+
+    p is the anchor, before and after the bytes of its context on both sides. A chain ends at an anchor whose hash says so, after about
+    ``CHAIN`` of them, so that copies are cut alike; s and t are the digests of all its bytes.
 
     ``rows`` are ``(of, row, doc, at, bytes)``: bytes that begin at place ``at`` of a row; ``of`` sets apart the anchors of one group.
     """
@@ -215,12 +220,21 @@ def _anchors(rows: DataFrame, length: int, gram: int, by_word: bool = False) ->
         )
         h = (h ^ np.asarray(names, np.int64).view(np.uint64)[which]) * np.uint64(0x9E3779B97F4A7C15)
         p = anchor - bounds[which] + np.asarray(places)[which]
+        nth = np.arange(len(h)) - np.searchsorted(which, which)
+        first = np.flatnonzero((nth % (8 * CHAIN) == 0) | ((np.concatenate([h[:1], h[:-1]]) >> np.uint64(40)) % np.uint64(CHAIN) == 0))
+        last = np.concatenate([first[1:], [len(h)]]) - 1
+        whole = [xxhash.xxh3_128_intdigest(raw[a:b]) for a, b in zip(lo[first].tolist(), (hi[last] + length).tolist(), strict=True)]
+        of = which[first]
+        anchors = pa.StructArray.from_arrays(
+            [pa.array(x) for x in (h.view(np.int64), digest.view(np.int64), p, before.astype(np.int32), after.astype(np.int32))], names=["h", "d", "p", "before", "after"]
+        )
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), pa.array([rows_[i] for i in which], pa.binary()),
-                pa.array([docs_[i] for i in which], pa.int64()), pa.array(p), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)),
+                *(pa.array([(x >> shift & (1 << 64) - 1) - (1 << 63) for x in whole], pa.int64()) for shift in (64, 0)), pa.array([rows_[i] for i in of], pa.binary()),
+                pa.array([docs_[i] for i in of], pa.int64()), pa.array((p - before)[first]), pa.array((p + after)[last]),
+                pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), anchors),
             ],
-            names=["h", "d", "row", "doc", "p", "before", "after"],
+            names=["s", "t", "row", "doc", "from", "to", "anchors"],
         )
 
     def run(batches):
@@ -245,7 +259,9 @@ def _anchors(rows: DataFrame, length: int, gram: int, by_word: bool = False) ->
             yield from made(parts, places, names, rows_, docs_)
         release()
 
-    return rows.select("of", "row", "doc", "at", "bytes").mapInArrow(run, "h long, d long, row binary, doc long, p long, before int, after int")
+    return rows.select("of", "row", "doc", "at", "bytes").mapInArrow(
+        run, "s long, t long, row binary, doc long, `from` long, `to` long, anchors array<struct<h: long, d: long, p: long, before: int, after: int>>"
+    )
 
 
 def _cut_contexts(rows: DataFrame, wanted: DataFrame, by_word: bool = False) -> DataFrame:
@@ -334,10 +350,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int
         length, gram = words * WORD, words * WORD * GRAM // LENGTH
     zero = F.lit(0).cast("long")
     texts = rows.select(zero.alias("of"), F.col("__row").alias("row"), F.col(key).cast("long").alias("doc"), zero.alias("at"), F.col("__body").alias("bytes"))
-    anchors = stage(_anchors(texts, length, gram, bool(words)), "lpf-anchors")
+    chains = stage(_anchors(texts, length, gram, bool(words)), "lpf-chains")
     order = F.struct(F.col("doc").isNull().alias("x"), F.col("doc"), F.col("row"), F.col("p"), F.col("before"), F.col("after"))
     found = []
     for longer in ((gram + length) // 2, length, None):
+        # Copies of whole chains go at once; the anchors of the first of each go on.
+        place = F.struct(F.col("doc").isNull().alias("x"), F.col("doc"), F.col("row"), F.col("from"), F.col("to"), F.col("anchors"))
+        kept = stage(chains.groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")), "lpf-kept")
+        again = chains.select("s", "t", "row", "from", "to").join(kept.where("n > 1").select("s", "t", F.col("one.row").alias("one_row"), F.col("one.from").alias("one_from")), ["s", "t"])
+        if keep == "first":
+            # Rows that repeat doc_id and text share a row number, and stay or go together, as one.
+            again = again.where((F.col("row") != F.col("one_row")) | (F.col("from") != F.col("one_from")))
+        found.append(stage(again.select("row", "from", "to"), "lpf-chained"))
+        anchors = stage(kept.select("one.row", "one.doc", F.explode("one.anchors").alias("a")).select("a.h", "a.d", "row", "doc", "a.p", "a.before", "a.after"), "lpf-anchors")
+        unstage(chains, kept)
         many = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("a"), F.max("d").alias("b")).where("n > 1")
         many = stage(many.select("h", (F.col("a") != F.col("b")).alias("differ")), "lpf-many")
         shared = stage(anchors.join(many, "h"), "lpf-shared")
@@ -345,7 +371,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int
         same = stage(shared.groupBy("h", "d", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("one")), "lpf-same")
         whole = shared.join(same.where("n > 1").select("h", "d", "one"), ["h", "d"])
         if keep == "first":
-            # Rows that repeat doc_id and text share a row number, and stay or go together, as one.
             whole = whole.where((F.col("row") != F.col("one.row")) | (F.col("p") != F.col("one.p")))
         whole = whole.select("row", (F.col("p") - F.col("before")).alias("from"), (F.col("p") + F.col("after")).alias("to"))
         found.append(stage(whole, "lpf-whole"))
@@ -357,7 +382,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int
             break
         parts = _cut_contexts(rows, distinct.join(hot, "h", "left_semi"), bool(words))
         parts = parts.select(F.col("h").alias("of"), "row", "doc", (F.col("p") - F.col("before")).alias("at"), "bytes")
-        anchors = stage(_anchors(parts, length, longer), "lpf-anchors")
+        chains = stage(_anchors(parts, length, longer), "lpf-chains")
         unstage(shared, same)
     spans = reduce(DataFrame.unionByName, found)
     if words:
