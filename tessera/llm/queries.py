@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, fingerprints, language, mixing, quality, simhash, suffix_dedup, topk, url_filter, warc, whitening
+from tessera.llm import byte_bpe, fingerprints, language, mixing, piece_bpe, quality, simhash, suffix_dedup, topk, url_filter, warc, whitening
 
 QUERIES = {
     "op1_url_redirects": url_filter.op1_url_redirects,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_gray_index": simhash.op8_simhash_gray_index,
     "op9_suffix_lpf": suffix_dedup.op9_suffix_lpf,
     "op10_mix_raked": mixing.op10_mix_raked,
+    "op11_piece_rounds": piece_bpe.op11_piece_rounds,
     "op12_whitening_jacobi": whitening.op12_whitening_jacobi,
 }
 
