@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, fingerprints, language, mixing, piece_bpe, quality, simhash, suffix_dedup, topk, url_filter, warc, whitening
+from tessera.llm import byte_bpe, collocations, fingerprints, language, mixing, piece_bpe, quality, simhash, suffix_dedup, topk, url_filter, warc, whitening
 
 QUERIES = {
     "op1_url_redirects": url_filter.op1_url_redirects,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mix_raked": mixing.op10_mix_raked,
     "op11_piece_rounds": piece_bpe.op11_piece_rounds,
     "op12_whitening_jacobi": whitening.op12_whitening_jacobi,
+    "op13_collocation_automata": collocations.op13_collocation_automata,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op2_arc_to_warc": warc.ORACLE_SQL,
     "op6_exact_topk": topk.ORACLE_SQL,
     "op10_mix_raked": mixing.ORACLE_SQL,
+    "op13_collocation_automata": collocations.ORACLE_SQL,
 }
