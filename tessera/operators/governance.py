@@ -1,15 +1,15 @@
-"""Classification, validation, schema diffs, drift policies and the registry, as DataFrames."""
+"""Classification, validation, schema diffs, drift policies and registry rows, as DataFrames."""
 
 from __future__ import annotations
 
 import hashlib
-import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import standards as S
+from tessera.operators.nesting import fold, joined, with_path
 
 
 class SchemaInvalid(ValueError):
@@ -130,71 +130,83 @@ def decisions(old: DataFrame, new: DataFrame, changes: DataFrame, policy: str |
     )
 
 
-def schema_hash(columns: list[dict]) -> str:
-    """A digest of a schema whatever the order of its columns; ignored names are left out."""
-    def plain(c):
-        return {k: sorted((plain(x) for x in c.get(k) or []), key=lambda x: x["name"]) if k == "fields" else c.get(k) for k in ("name", "type", "mode", "description", "fields")}
+def columns_in(registry: DataFrame) -> DataFrame:
+    """Fields by path of ``(entity, schema)``, whose schemas are JSON lists of nested columns."""
+    inner = registry.agg(F.max(F.regexp_count("schema", F.lit('"fields":')))).first()[0] or 0  # no fewer than the levels below the first
+    leaf = "name string, type string, mode string, description string"
+    kind = leaf
+    for _ in range(min(inner, S.MAX_DEPTH)):
+        kind = f"{leaf}, fields array<struct<{kind}>>"
+    level = registry.select("entity", F.posexplode(F.from_json("schema", F.lit(f"array<struct<{kind}>>"))).alias("ord", "c")).withColumn("path", F.col("c.name"))
+    out = None
+    for depth in range(1, min(inner, S.MAX_DEPTH) + 2):
+        rows = level.select("entity", "ord", "path", F.lit(depth).alias("depth"), "c.name", "c.type", F.coalesce("c.mode", F.lit("NULLABLE")).alias("mode"), "c.description")
+        out = rows if out is None else out.unionByName(rows)
+        if depth <= min(inner, S.MAX_DEPTH):
+            level = level.select("entity", F.col("path").alias("above"), F.posexplode("c.fields").alias("ord", "c")).select("entity", "ord", "c", F.concat_ws(".", "above", "c.name").alias("path"))
+    return out
 
-    kept = [plain(c) for c in columns if c["name"].lower() not in S.DRIFT_IGNORED]
-    return hashlib.sha256(json.dumps(sorted(kept, key=lambda c: c["name"]), sort_keys=True).encode()).hexdigest()
 
+def _inside(children: Column) -> Column:
+    """A digest of the fields inside a record, whatever their order; null where there are none."""
+    cells = F.array_sort(F.transform(children, lambda c: c["cell"]))
+    return F.when(F.size(children) > 0, F.sha2(F.array_join(cells, "\x1e"), 256))
 
-REGISTRY_SCHEMA = "entity string, version int, table_name string, schema_hash string, at timestamp, breaking boolean, summary string, schema string"
+
+def _definition(children: Column) -> Column:
+    """A column as a JSON object, with the fields inside it."""
+    own = F.to_json(F.struct("name", "type", "mode", "description"))
+    nested = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"fields":['), joined(children, "schema", ","), F.lit("]}"))
+    return F.when(F.size(children) > 0, nested).otherwise(own)
+
+
+def with_nested(fields: DataFrame) -> DataFrame:
+    """Top-level rows of fields by path, with ``nested``, a digest of the fields inside (null where there are none), and ``schema``, their JSON."""
+    own = [F.coalesce(c, F.lit("")) for c in ("name", "type", "mode", "description")]
+    top = fold(with_path(fields), {"cell": lambda inside: F.concat_ws("\x1f", *own, _inside(inside)), "nested": _inside, "schema": _definition})
+    return top.select("entity", "ord", "name", "type", "mode", "description", "nested", "schema")
+
+
+def digest_of(fields: DataFrame) -> str:
+    """The digest of the one entity in ``fields``; that of no fields where there are none."""
+    row = digests(with_nested(fields)).first()
+    return row.schema_hash if row else hashlib.sha256(b"").hexdigest()
 
 
 def digests(fields: DataFrame) -> DataFrame:
     """``(entity, schema_hash, columns)`` of ``(entity, name, type, mode, description[, nested])``, for every entity at once.
 
     The hash is the SHA-256 of the columns, each its cells joined by U+001F and all sorted by name and joined by U+001E,
-    so their order does not matter; names that drift checks ignore are left out.
+    so their order does not matter; a record's last cell is the digest of its fields, see :func:`with_nested`. Names that drift
+    checks ignore are left out. This is the one digest that registries hold.
     """
-    cells = [F.coalesce(c, F.lit("")) for c in ("name", "type", "mode", "description", *(["nested"] if "nested" in fields.columns else []))]
+    cells = [F.coalesce(c, F.lit("")) for c in ("name", "type", "mode", "description")] + ([F.col("nested")] if "nested" in fields.columns else [])
     kept = fields.where(~F.lower("name").isin(*S.DRIFT_IGNORED)).select("entity", F.concat_ws("\x1f", *cells).alias("cell"))
     return kept.groupBy("entity").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("cell")), "\x1e"), 256).alias("schema_hash"), F.count(F.lit(1)).alias("columns"))
 
 
 def next_versions(known: DataFrame, new: DataFrame, changes: DataFrame, policy: str = "AUTO") -> DataFrame:
-    """Registry rows to append for every entity at once: ``(entity, version, schema_hash, breaking, summary)``.
+    """Registry rows to append for every entity at once: ``(entity, version, table_name, schema_hash, breaking, summary, schema)``.
 
     ``known`` has the latest ``(entity, version, schema_hash)``. An entity with the same hash gets no row, nor does one whose
     breaking change the policy does not let through; a change that breaks nothing is recorded in place, under its version.
+    ``schema`` is the list of ``new``'s columns as JSON where it has their definitions, see :func:`with_nested`.
     """
     said = changes.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set("change")), ",").alias("summary"))
     verdict = decisions(known, new, changes, policy).where("status = 'SUCCESS'")
     rows = digests(new).join(known.select("entity", F.col("schema_hash").alias("was")), "entity", "left").where(~F.col("schema_hash").eqNullSafe(F.col("was")))
+    if "schema" in new.columns:
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "schema"))), lambda c: c["schema"]), ",")
+        rows = rows.join(new.groupBy("entity").agg(F.concat(F.lit("["), listed, F.lit("]")).alias("schema")), "entity")
+    else:
+        rows = rows.withColumn("schema", F.lit(None).cast("string"))
     return rows.join(verdict, "entity").join(said, "entity", "left").select(
-        "entity", "version", "schema_hash", (F.col("decision") == "BREAKING").alias("breaking"), F.coalesce("summary", F.lit("")).alias("summary"),
+        "entity", "version", F.concat_ws("_v", "entity", F.col("version").cast("string")).alias("table_name"), "schema_hash", (F.col("decision") == "BREAKING").alias("breaking"), F.coalesce("summary", F.lit("")).alias("summary"), "schema",
     )
 
 
 def latest(registry: DataFrame, entity: str = "entity") -> DataFrame:
-    """The newest row of each entity and version's last state: the largest version, then time."""
-    order = Window.partitionBy(entity).orderBy(F.desc("version"), F.desc("at"))
+    """The newest row of each entity: its largest version's last state, by entry of the log where there is one, else by time."""
+    by = F.desc("entry") if "entry" in registry.columns else F.desc("at")
+    order = Window.partitionBy(entity).orderBy(F.desc("version"), by)
     return registry.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-
-
-class Registry:
-    """An append-only table of schema versions in a folder. One writer at a time."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def rows(self) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], REGISTRY_SCHEMA)
-        return self.spark.read.schema(REGISTRY_SCHEMA).parquet(self.path)
-
-    def current(self, entity: str):
-        return latest(self.rows().where(F.col("entity") == entity)).first()
-
-    def put(self, entity: str, columns: list[dict], breaking: bool = False, summary: str = "", in_place: bool = False) -> int:
-        """Record a schema and return its version; an unchanged one is not written again."""
-        now, digest = self.current(entity), schema_hash(columns)
-        if now and now.schema_hash == digest:
-            return now.version
-        version = 1 if now is None else now.version + (not in_place)
-        row = (entity, version, f"{entity}_v{version}", digest, None, breaking, summary, json.dumps(columns))
-        made = self.spark.createDataFrame([row], REGISTRY_SCHEMA).withColumn("at", F.current_timestamp())
-        made.coalesce(1).write.mode("append").parquet(self.path)
-        return version

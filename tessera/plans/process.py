@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import names as N
 from tessera.operators import advice, fields, governance
-from tessera.plans import render
+from tessera.operators.nesting import PATH_SCHEMA, path_rows
+from tessera.operators.registry import Registry
+from tessera.plans import render, render_rows
 from tessera.sources import csv_source, declared, json_source
 from tessera.sources.detect import detect_format
 from tessera.standards import AVRO_PARTITION_NOTE, DECLARED_CLUSTER_NOTE, METADATA_NAMES, NO_CLUSTERING
@@ -164,8 +166,10 @@ def _decided(spark: SparkSession, request: Request, kind: str, rows: DataFrame,
         return {"status": "PREVIEW", "format": kind, "partitioning": partitioning, "clustering": clustering, **told}
     classes = [r.asDict() for r in governance.classify(rows.where("depth = 1")).orderBy("ord").select("name", "classification", "category", "confidence", "control").collect()]
     governance.check(rows, spark.createDataFrame([(request.entity, description)], "entity string, description string"))
-    columns = render.columns_of(rows, request.entity)
-    verdict = _version(spark, request, columns)
+    deepest = rows.agg(F.max("depth")).first()[0]
+    columns = [json.loads(r.json) for r in render_rows.column_json(rows, deepest).orderBy("ord").collect()]
+    names = spark.createDataFrame([(request.entity, dataset, table, description)], "entity string, dataset string, table string, description string")
+    verdict = _version(spark, request, columns, names)
     out = {
         "format": kind, "dataset": dataset, "table": table, "columns": columns, "partitioning": partitioning, "clustering": clustering, **told, "classification": classes,
         "security": {k: any(c["category"] == v for c in classes) for k, v in (("has_pii", "PII"), ("has_sensitive", "SENSITIVE"), ("has_unknown", "UNKNOWN"))}, **verdict, "artifacts": {},
@@ -173,8 +177,7 @@ def _decided(spark: SparkSession, request: Request, kind: str, rows: DataFrame,
     if verdict["status"] == "WARNING":
         LOG.warning("WARNING %s breaking change: %s", request.entity, ", ".join(c["change"] for c in verdict["changes"] if c["breaking"]))
         return out
-    statements = render.migration(dataset, table, verdict["changes"])
-    names = [c["column"] for c in clustering]
+    statements = verdict["statements"]
     wanted = request.output_type
     made = out["artifacts"]
     if wanted in ("JSON", "ALL_FORMATS"):
@@ -185,42 +188,47 @@ def _decided(spark: SparkSession, request: Request, kind: str, rows: DataFrame,
         if statements:
             made["migration.sql"] = "\n".join(statements) + "\n"
         if not (statements and verdict["decision"] == "NON_BREAKING"):
-            chosen = partitioning if request.apply_partitioning else None
-            made["create_table.sql"] = render.schema_ddl(dataset) + "\n\n" + render.table_ddl(dataset, table, columns, description, chosen, names if request.apply_clustering else None) + "\n"
-            made["create_table_spark.sql"] = render.spark_ddl(dataset, table, columns, description, chosen) + ";\n"
+            chosen = partitioning if request.apply_partitioning else {}
+            by = spark.createDataFrame([(request.entity, *(chosen.get(k) for k in ("strategy", "column", "column_type")))], "entity string, strategy string, column string, column_type string")
+            kept = clustering if request.apply_clustering else []
+            within = spark.createDataFrame([(request.entity, i, c["column"]) for i, c in enumerate(kept)], "entity string, rank int, column string")
+            one = lambda made: made.first().ddl + "\n"
+            made["create_table.sql"] = one(render_rows.create_schemas(names)) + "\n" + one(render_rows.create_tables(rows, names, by, within, deepest))
+            made["create_table_spark.sql"] = one(render_rows.create_spark_tables(rows, names, by, within, deepest))
     if wanted in ("DOCUMENTATION", "ALL_FORMATS"):
-        facts = {"domain": request.domain, "environment": request.environment, "zone": request.zone, "layer": request.layer, "partitioning": partitioning, "clustering": names, "entity": request.entity, "version": f"v{verdict['version']}", "decision": verdict["decision"], "policy": request.policy}
+        facts = {"domain": request.domain, "environment": request.environment, "zone": request.zone, "layer": request.layer, "partitioning": partitioning, "clustering": [c["column"] for c in clustering], "entity": request.entity, "version": f"v{verdict['version']}", "decision": verdict["decision"], "policy": request.policy}
         raw = {r.raw_name: r["name"] for r in rows.where("depth = 1").orderBy("ord").collect() if r["name"] not in METADATA_NAMES}
         made["documentation.md"] = render.markdown(table, columns, facts, description, classes, raw, METADATA_NAMES)
     return out
 
 
-def _flat(spark: SparkSession, entity: str, columns: list[dict]) -> DataFrame:
-    rows = [(entity, c["name"], c["type"], c["mode"], c.get("description"), json.dumps(sorted(c.get("fields") or [], key=lambda x: x["name"]), sort_keys=True)) for c in columns]
-    return spark.createDataFrame(rows, "entity string, name string, type string, mode string, description string, nested string")
+def schema_of(spark: SparkSession, entity: str, columns: list[dict]) -> DataFrame:
+    """Top-level rows of nested columns, with digests of what is inside them."""
+    return governance.with_nested(spark.createDataFrame(path_rows(entity, columns), PATH_SCHEMA))
 
 
-def _version(spark: SparkSession, request: Request, columns: list[dict]) -> dict:
-    """Decision, status, version and changes; the registry is written last, after all that can fail."""
+def _version(spark: SparkSession, request: Request, columns: list[dict], names: DataFrame) -> dict:
+    """Decision, status, version, changes and migrations; the registry is written last, after all that can fail."""
+    first = {"decision": "CREATE", "status": "SUCCESS", "version": 1, "changes": [], "statements": []}
     if not request.registry:
-        return {"decision": "CREATE", "status": "SUCCESS", "version": 1, "changes": []}
-    registry = governance.Registry(spark, request.registry)
+        return first
+    registry = Registry(spark, request.registry)
     now = registry.current(request.entity)
-    if now and now.schema_hash == governance.schema_hash(columns):
-        return {"decision": "NO_OP", "status": "SUCCESS", "version": now.version, "changes": []}
-    old = _flat(spark, request.entity, json.loads(now.schema) if now else [])
-    new = _flat(spark, request.entity, columns)
+    if now is None:
+        return first | {"version": registry.put(request.entity, columns, summary="initial version")}
+    old, new = schema_of(spark, request.entity, json.loads(now.schema)), schema_of(spark, request.entity, columns)
     changes = governance.diff(old, new)
-    known = spark.createDataFrame([(request.entity, now.version)] if now else [], "entity string, version int")
-    verdict = governance.decisions(known, new, changes, request.policy).first()
-    listed = [r.asDict() for r in changes.orderBy("name").collect()] if now else []
-    out = {"decision": verdict.decision, "status": verdict.status, "version": verdict.version, "changes": listed}
+    verdict = governance.decisions(spark.createDataFrame([(request.entity, now.version)], "entity string, version int"), new, changes, request.policy).first()
+    listed = [r.asDict() for r in changes.orderBy("name").collect()]
+    out = {"decision": verdict.decision, "status": verdict.status, "version": verdict.version, "changes": listed, "statements": []}
     if verdict.status == "REFUSED":
         raise governance.DriftRefused(f"{request.entity}: breaking change: " + ", ".join(f"{c['change']} {c['name']}" for c in listed if c["breaking"]))
-    if verdict.status == "SUCCESS":
-        render.migration("d", "t", listed)
-        breaking = verdict.decision == "BREAKING"
-        registry.put(request.entity, columns, breaking, ", ".join(c["change"] for c in listed), in_place=verdict.decision == "NON_BREAKING")
+    if verdict.status == "SUCCESS" and verdict.decision != "NO_OP":
+        moves = render_rows.migrations(changes, names).orderBy("name").collect()
+        if refused := [m.refused for m in moves if m.refused]:
+            raise ValueError(refused[0])
+        out["statements"] = [m.statement for m in moves]
+        out["version"] = registry.put(request.entity, columns, verdict.decision == "BREAKING", ",".join(c["change"] for c in listed), in_place=verdict.decision == "NON_BREAKING")
     return out
 
 

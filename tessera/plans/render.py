@@ -1,7 +1,6 @@
-"""Text forms of a schema: warehouse and Spark DDL, migrations, JSON, YAML and Markdown.
+"""Files of a schema: JSON, YAML and Markdown of its columns, which ``render_rows`` makes with all statements.
 
-Columns are plain dicts ``{name, type, mode, description[, fields, rangeElementType]}``; they come
-from rows of fields by :func:`columns_of`, the one collect of a run (one row a column).
+Columns are plain dicts ``{name, type, mode[, description, fields, rangeElementType]}``. The wording is fixed, since others read it.
 """
 
 from __future__ import annotations
@@ -10,103 +9,6 @@ import json
 from datetime import UTC, datetime
 
 import yaml
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-SPARK_TYPES = {"INTEGER": "BIGINT", "FLOAT": "DOUBLE", "NUMERIC": "DECIMAL(38,9)", "BIGNUMERIC": "DECIMAL(38,18)", "DATETIME": "TIMESTAMP_NTZ", "JSON": "VARIANT", "GEOGRAPHY": "STRING", "RANGE": "STRUCT<start: DATE, end: DATE>"}
-
-
-def columns_of(fields: DataFrame, entity: str) -> list[dict]:
-    """The columns of an entity with their nested ones, from rows of fields with targets."""
-    top: list[dict] = []
-    by_path: dict[str, dict] = {}
-    for r in fields.where(F.col("entity") == entity).orderBy("ord").collect():
-        column = {"name": r["name"], "type": r.bq_type, "mode": r.mode, "description": r.description}
-        if r.bq_type == "RECORD":
-            column["fields"] = []
-        if r.bq_type == "RANGE":
-            column["rangeElementType"] = r.range_element
-        by_path[r.path] = column
-        parent = by_path.get(r.path.rpartition(".")[0])
-        (parent["fields"] if parent else top).append(column)
-    return top
-
-
-def _quoted(text: str | None) -> str:
-    return (text or "").replace("\\", "\\\\").replace('"', '\\"')
-
-
-def column_ddl(c: dict, nested: bool = False) -> str:
-    """A column of the warehouse dialect; nested ones are never NOT NULL."""
-    kind = c["type"]
-    if kind == "RECORD":
-        if not c.get("fields"):
-            raise ValueError(f"record {c['name']} has no fields")
-        kind = "STRUCT<" + ", ".join(column_ddl(x, True) for x in c["fields"]) + ">"
-    elif kind == "RANGE":
-        kind = f"RANGE<{c.get('rangeElementType') or 'DATE'}>"
-    if c["mode"] == "REPEATED":
-        kind = f"ARRAY<{kind}>"
-    required = " NOT NULL" if c["mode"] == "REQUIRED" and not nested else ""
-    said = f' OPTIONS(description="{_quoted(c["description"])}")' if c.get("description") else ""
-    return f"`{c['name']}` {kind}{required}{said}"
-
-
-def schema_ddl(dataset: str, location: str = "US", project: str | None = None) -> str:
-    name = f"{project}.{dataset}" if project else dataset
-    return f"CREATE SCHEMA IF NOT EXISTS `{name}`\nOPTIONS(location='{location}');"
-
-
-def table_ddl(dataset: str, table: str, columns: list[dict], description: str | None = None, partitioning: dict | None = None,
-              clustering: list[str] | None = None, project: str | None = None) -> str:
-    """CREATE TABLE of the warehouse dialect; time columns partition by day."""
-    name = ".".join(x for x in (project, dataset, table) if x)
-    text = f"CREATE TABLE IF NOT EXISTS `{name}` (\n  " + ",\n  ".join(map(column_ddl, columns)) + "\n)"
-    p = partitioning or {}
-    if p.get("strategy") == "COLUMN" and p.get("column"):
-        text += f"\nPARTITION BY `{p['column']}`" if p.get("column_type") == "DATE" else f"\nPARTITION BY DATE(`{p['column']}`)"
-    elif p.get("strategy") == "INGESTION_TIME":
-        text += "\nPARTITION BY _PARTITIONTIME"
-    if clustering:
-        text += "\nCLUSTER BY " + ", ".join(f"`{c}`" for c in clustering)
-    if description:
-        text += f'\nOPTIONS(\n  description="{_quoted(description)}"\n)'
-    return text + ";"
-
-
-def spark_ddl(database: str, table: str, columns: list[dict], description: str | None = None, partitioning: dict | None = None) -> str:
-    """CREATE TABLE for Spark over Parquet; a partitioning time column gets a derived date column."""
-    def kind_of(c):
-        kind = SPARK_TYPES.get(c["type"], c["type"])
-        if kind == "RECORD":
-            kind = "STRUCT<" + ", ".join(f"`{x['name']}`: {kind_of(x)}" for x in c["fields"]) + ">"
-        return f"ARRAY<{kind}>" if c["mode"] == "REPEATED" else kind
-
-    escaped = lambda t: t.replace("\\", "\\\\").replace("'", "\\'")
-    rows = [f"`{c['name']}` {kind_of(c)}" + (" NOT NULL" if c["mode"] == "REQUIRED" else "") + (f" COMMENT '{escaped(c['description'])}'" if c.get("description") else "") for c in columns]
-    by = None
-    p = partitioning or {}
-    if p.get("strategy") == "COLUMN" and p.get("column"):
-        by = p["column"]
-        if p.get("column_type") != "DATE":
-            by = f"{by}_date"
-            rows.append(f"`{by}` DATE COMMENT 'Day of {p['column']}, for partitioning'")
-    text = f"CREATE TABLE IF NOT EXISTS `{database}`.`{table}` (\n  " + ",\n  ".join(rows) + "\n) USING parquet"
-    text += f"\nPARTITIONED BY (`{by}`)" if by else ""
-    return text + (f"\nCOMMENT '{escaped(description)}'" if description else "")
-
-
-def migration(dataset: str, table: str, changes: list[dict]) -> list[str]:
-    """ALTER TABLE statements for added columns; ``changes`` are rows of a diff with new columns' definitions."""
-    out = []
-    for c in changes:
-        if c["change"] != "ADD_NULLABLE_COLUMN":
-            continue
-        if c.get("new_mode", "NULLABLE") != "NULLABLE":
-            raise ValueError(f"{c['name']} is {c['new_mode']}; only a nullable column can be added")
-        said = f' OPTIONS(description="{_quoted(c["new_description"])}")' if c.get("new_description") else ""
-        out.append(f"ALTER TABLE `{dataset}.{table}` ADD COLUMN `{c['name']}` {c['new_type']}{said};")
-    return out
 
 
 def as_json(columns: list[dict]) -> str:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import fields, governance
 from tessera.operators.profile import profile
-from tessera.plans.process import _flat
+from tessera.operators.registry import Registry
+from tessera.plans.process import schema_of
 
 VERDICT = "entity string, policy string, decision string, status string, version int, changes string"
 
@@ -29,9 +30,9 @@ def columns_of_batch(batch: DataFrame, entity: str) -> list[dict]:
 def judge(batch: DataFrame, entity: str, registry_path: str, policy: str = "WARN") -> tuple:
     """A VERDICT row for a batch; the registry gets a version where the policy lets the change through."""
     spark = batch.sparkSession
-    columns, registry = columns_of_batch(batch, entity), governance.Registry(spark, registry_path)
+    columns, registry = columns_of_batch(batch, entity), Registry(spark, registry_path)
     now = registry.current(entity)
-    new, old = _flat(spark, entity, columns), _flat(spark, entity, json.loads(now.schema) if now else [])
+    new, old = schema_of(spark, entity, columns), schema_of(spark, entity, json.loads(now.schema) if now else [])
     changes = governance.diff(old, new)
     known = spark.createDataFrame([(entity, now.version)] if now else [], "entity string, version int")
     verdict = governance.decisions(known, new, changes, policy).first()

@@ -1,12 +1,17 @@
 """Advice, classification, validation, drift and the registry."""
 
 import itertools
+import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import advice, fields, governance
-from tessera.plans import render
+from tessera.operators.nesting import PATH_SCHEMA, path_rows
+from tessera.operators.registry import Registry
+from tessera.operators.registry import versions as registered
+from tessera.plans import render_rows
 
 
 def field_rows(spark, *rows, entity="e"):
@@ -80,25 +85,102 @@ def test_violations(spark):
         governance.check(rows)
 
 
+def columns(**kinds):
+    return [{"name": n, "type": k, "mode": "NULLABLE", "description": "d"} for n, k in kinds.items()]
+
+
+def nested(spark, schema, entity="e"):
+    return spark.createDataFrame(path_rows(entity, schema), PATH_SCHEMA)
+
+
+RECORDS = [
+    {"name": "id", "type": "INTEGER", "mode": "REQUIRED", "description": 'the "id"'}, {"name": "tags", "type": "STRING", "mode": "REPEATED"},
+    {"name": "a.b", "type": "RECORD", "mode": "REPEATED", "fields": [
+        {"name": "x", "type": "DATE", "mode": "REQUIRED", "description": "is NOT NULL"},
+        {"name": "in", "type": "RECORD", "mode": "REPEATED", "fields": [{"name": "y.z", "type": "FLOAT", "mode": "NULLABLE"}, {"name": "w", "type": "JSON", "mode": "REPEATED"}]}]},
+    {"name": "p", "type": "RANGE", "mode": "NULLABLE", "rangeElementType": {"type": "DATE"}},
+]
+
+
+def test_digest_of_nested_fields(spark):
+    turned = [dict(c, fields=[dict(f, fields=f["fields"][::-1]) if "fields" in f else f for f in c["fields"]][::-1]) if "fields" in c else c for c in RECORDS][::-1]
+    digest = governance.digest_of(nested(spark, RECORDS))
+    assert digest == governance.digest_of(nested(spark, turned))
+    other = json.loads(json.dumps(RECORDS))
+    other[2]["fields"][1]["fields"][1]["type"] = "STRING"
+    assert digest != governance.digest_of(nested(spark, other))
+    changes = governance.diff(governance.with_nested(nested(spark, RECORDS)), governance.with_nested(nested(spark, other))).collect()
+    assert [(c["name"], c.change) for c in changes] == [("a.b", "NON_BREAKING_MODIFICATION")]
+    stored = spark.createDataFrame([("e", json.dumps(RECORDS))], "entity string, schema string")
+    assert digest == governance.digest_of(governance.columns_in(stored))
+    made = governance.with_nested(nested(spark, RECORDS)).orderBy("ord").collect()
+    assert [c["name"] for c in json.loads(made[2].schema)["fields"]] == ["x", "in"]
+
+
 def test_registry(spark, tmp_path):
-    registry = governance.Registry(spark, f"file://{tmp_path}/registry")
-    a, b = [{"name": "x", "type": "STRING", "mode": "NULLABLE", "description": "d"}], [{"name": "x", "type": "INTEGER", "mode": "NULLABLE", "description": "d"}]
-    assert [registry.put("e", a), registry.put("e", a), registry.put("e", b), registry.put("e", a, in_place=True), registry.put("f", a)] == [1, 1, 2, 2, 1]
-    assert registry.current("e").schema_hash == governance.schema_hash(a)
-    assert governance.schema_hash(a + b[:0]) == governance.schema_hash(list(reversed(a)))
-
-
-def test_ddl():
-    columns = [
-        {"name": "id", "type": "INTEGER", "mode": "REQUIRED", "description": 'the "id"'}, {"name": "tags", "type": "STRING", "mode": "REPEATED", "description": None},
-        {"name": "r", "type": "RECORD", "mode": "NULLABLE", "description": None, "fields": [{"name": "x", "type": "DATE", "mode": "REQUIRED", "description": "is NOT NULL"}]},
-        {"name": "p", "type": "RANGE", "mode": "NULLABLE", "description": None, "rangeElementType": "DATE"},
-    ]
-    text = render.table_ddl("d", "t", columns, "about", {"strategy": "COLUMN", "column": "ts", "column_type": "TIMESTAMP"}, ["id"])
-    assert text == (
-        'CREATE TABLE IF NOT EXISTS `d.t` (\n  `id` INTEGER NOT NULL OPTIONS(description="the \\"id\\""),\n  `tags` ARRAY<STRING>,\n  `r` STRUCT<`x` DATE OPTIONS(description="is NOT NULL")>,\n'
-        '  `p` RANGE<DATE>\n)\nPARTITION BY DATE(`ts`)\nCLUSTER BY `id`\nOPTIONS(\n  description="about"\n);'
+    registry = Registry(spark, f"file://{tmp_path}/registry")
+    a, b = columns(x="STRING"), columns(x="INTEGER")
+    assert [registry.put("e", a), registry.put("e", a), registry.put("e", b), registry.put("e", a, in_place=True, summary="back"), registry.put("f", a), registry.put("n", RECORDS)] == [1, 1, 2, 2, 1, 1]
+    assert registry.current("e").schema_hash == governance.digest_of(nested(spark, a))
+    before = {(r.entity, r.version): (r.schema_hash, r.summary, r.states) for r in registered(registry.rows()).collect()}
+    assert before["e", 2][1:] == ("back", 2) and len(before) == 4
+    registry.compact()
+    registry.put("g", b)
+    assert registry.clean() == 5 and registry.clean() == 0
+    after = {(r.entity, r.version): (r.schema_hash, r.summary, r.states) for r in registered(registry.rows()).collect()}
+    assert {k: v for k, v in after.items() if k[0] != "g"} == before and ("g", 1) in after
+
+
+def test_registry_of_many_entities(spark, tmp_path):
+    registry = Registry(spark, f"file://{tmp_path}/registry")
+    both = lambda *s: nested(spark, s[0]).unionByName(nested(spark, s[1], "f"))
+    assert registry.put_all(both(RECORDS, columns(x="STRING"))) == 2
+    assert registry.put_all(both(RECORDS[::-1], columns(x="STRING"))) == 0
+    assert registry.put_all(both(RECORDS[1:], columns(x="STRING", y="DATE")), "STRICT") == 1
+    assert registry.put_all(both(RECORDS[1:], columns(x="STRING", y="DATE"))) == 1
+    got = {(r.entity, r.version): (r.breaking, r.summary, r.table_name) for r in registered(registry.rows()).collect()}
+    assert got == {("e", 1): (False, "ADD_NULLABLE_COLUMN,ADD_REQUIRED_COLUMN", "e_v1"), ("e", 2): (True, "REMOVE_COLUMN", "e_v2"), ("f", 1): (False, "ADD_NULLABLE_COLUMN,ADD_NULLABLE_COLUMN", "f_v1")}
+    assert json.loads(registry.current("f").schema)[1]["name"] == "y"
+
+
+def test_writers_at_once(spark, tmp_path):
+    """Writers of one entity each get their own version, and those of others lose none."""
+    path = f"file://{tmp_path}/registry"
+    Registry(spark, path).put("e", columns(x="STRING"))
+    with ThreadPoolExecutor(4) as pool:
+        own = [pool.submit(lambda n=n: Registry(spark, path).put("e", columns(**{f"x{n}": "STRING"}), True)) for n in range(4)]
+        others = [pool.submit(lambda n=n: Registry(spark, path).put(f"o{n}", columns(x="STRING"))) for n in range(4)]
+        assert sorted(f.result() for f in own) == [2, 3, 4, 5] and [f.result() for f in others] == [1] * 4
+    rows = Registry(spark, path).rows().collect()
+    assert len(rows) == 9 and len({(r.entity, r.version) for r in rows}) == 9 and sorted(r.entry for r in rows) == list(range(1, 10))
+    registry = Registry(spark, path)
+    assert not registry._publish(3, {"folder": "x", "whole": False}) and registry._publish(10, {"folder": "rows-none", "whole": False})
+
+
+def target(spark, schema, entity="e"):
+    return nested(spark, schema, entity).withColumnRenamed("type", "bq_type")
+
+
+def test_statements(spark):
+    rows = target(spark, RECORDS)
+    names = spark.createDataFrame([("e", "d", "t", "it's about")], "entity string, dataset string, table string, description string")
+    by = spark.createDataFrame([("e", "COLUMN", "ts", "TIMESTAMP")], "entity string, strategy string, column string, column_type string")
+    within = spark.createDataFrame([("e", 1, "id")], "entity string, rank int, column string")
+    assert render_rows.create_tables(rows, names, by, within).first().ddl == (
+        'CREATE TABLE IF NOT EXISTS `d.t` (\n  `id` INTEGER NOT NULL OPTIONS(description="the \\"id\\""),\n  `tags` ARRAY<STRING>,\n'
+        '  `a.b` ARRAY<STRUCT<`x` DATE OPTIONS(description="is NOT NULL"), `in` ARRAY<STRUCT<`y.z` FLOAT, `w` ARRAY<JSON>>>>>,\n'
+        '  `p` RANGE<DATE>\n)\nPARTITION BY DATE(`ts`)\nCLUSTER BY `id`\nOPTIONS(\n  description="it\'s about"\n);'
     )
-    assert render.migration("d", "t", [{"change": "ADD_NULLABLE_COLUMN", "name": "n", "new_type": "STRING", "new_mode": "NULLABLE", "new_description": "d"}]) == ['ALTER TABLE `d.t` ADD COLUMN `n` STRING OPTIONS(description="d");']
-    with pytest.raises(ValueError, match="no fields"):
-        render.column_ddl({"name": "r", "type": "RECORD", "mode": "NULLABLE", "description": None, "fields": []})
+    assert "PARTITION" not in render_rows.create_tables(rows, names, by.withColumn("column_type", F.lit("INTEGER")), within).first().ddl
+    assert [json.loads(r.json) for r in render_rows.column_json(rows).orderBy("ord").collect()] == RECORDS
+    text = render_rows.create_spark_tables(rows, names, by.withColumn("column", F.lit("id")), within).first().ddl
+    assert "CLUSTERED BY (`id`) SORTED BY (`id`) INTO 64 BUCKETS" in text
+    spark.sql("create schema if not exists d")
+    spark.sql(text.rstrip(";").replace("ARRAY<VARIANT>", "ARRAY<STRING>"))
+    assert dict(spark.table("d.t").dtypes)["a.b"] == "array<struct<x:date,in:array<struct<y.z:double,w:array<string>>>>>"
+    changes = spark.createDataFrame([("e", n, "ADD_NULLABLE_COLUMN", "STRING", m, "d") for n, m in (("n", "NULLABLE"), ("r", "REPEATED"))], "entity string, name string, change string, new_type string, new_mode string, new_description string")
+    assert [tuple(r) for r in render_rows.migrations(changes, names).orderBy("name").collect()] == [("e", "n", 'ALTER TABLE `d.t` ADD COLUMN `n` STRING OPTIONS(description="d");', None), ("e", "r", None, "r is REPEATED; only a nullable column can be added")]
+    with pytest.raises(Exception, match="no fields"):
+        render_rows.create_tables(target(spark, [{"name": "r", "type": "RECORD", "mode": "NULLABLE"}]), names, by, within).collect()
+    docs = [(r.section, r.line) for r in render_rows.column_docs(rows, ("id",)).orderBy("ord").collect()]
+    assert docs[0][0] == "System / Metadata Columns" and docs[5] == ("Business Columns", "| a.b.in.y.z | FLOAT | NULLABLE |  |")

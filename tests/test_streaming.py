@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tessera.operators.governance import Registry
+from tessera.operators.registry import Registry
 from tessera.streaming.watch import watch
 
 
