@@ -130,23 +130,6 @@ def decisions(old: DataFrame, new: DataFrame, changes: DataFrame, policy: str |
     )
 
 
-def columns_in(registry: DataFrame) -> DataFrame:
-    """Fields by path of ``(entity, schema)``, whose schemas are JSON lists of nested columns."""
-    inner = registry.agg(F.max(F.regexp_count("schema", F.lit('"fields":')))).first()[0] or 0  # no fewer than the levels below the first
-    leaf = "name string, type string, mode string, description string"
-    kind = leaf
-    for _ in range(min(inner, S.MAX_DEPTH)):
-        kind = f"{leaf}, fields array<struct<{kind}>>"
-    level = registry.select("entity", F.posexplode(F.from_json("schema", F.lit(f"array<struct<{kind}>>"))).alias("ord", "c")).withColumn("path", F.col("c.name"))
-    out = None
-    for depth in range(1, min(inner, S.MAX_DEPTH) + 2):
-        rows = level.select("entity", "ord", "path", F.lit(depth).alias("depth"), "c.name", "c.type", F.coalesce("c.mode", F.lit("NULLABLE")).alias("mode"), "c.description")
-        out = rows if out is None else out.unionByName(rows)
-        if depth <= min(inner, S.MAX_DEPTH):
-            level = level.select("entity", F.col("path").alias("above"), F.posexplode("c.fields").alias("ord", "c")).select("entity", "ord", "c", F.concat_ws(".", "above", "c.name").alias("path"))
-    return out
-
-
 def _inside(children: Column) -> Column:
     """A digest of the fields inside a record, whatever their order; null where there are none."""
     cells = F.array_sort(F.transform(children, lambda c: c["cell"]))
@@ -167,6 +150,22 @@ def with_nested(fields: DataFrame) -> DataFrame:
     return top.select("entity", "ord", "name", "type", "mode", "description", "nested", "schema")
 
 
+def recorded(top: DataFrame) -> DataFrame:
+    """``(entity, schema_hash, columns, schema, inside)`` of :func:`with_nested`: what a registry holds; ``inside`` has the columns' nested digests in order."""
+    listed = F.array_sort(F.collect_list(F.struct("ord", "schema", F.coalesce("nested", F.lit("")).alias("nested"))))
+    texts = top.groupBy("entity").agg(listed.alias("listed")).select(
+        "entity", F.concat(F.lit("["), joined(F.col("listed"), "schema", ","), F.lit("]")).alias("schema"), F.transform("listed", lambda c: c["nested"]).alias("inside"),
+    )
+    return digests(top).join(texts, "entity")
+
+
+def known_columns(registry: DataFrame) -> DataFrame:
+    """The top-level rows that ``(entity, schema, inside)`` of :func:`recorded` was made from."""
+    kind = "array<struct<name string, type string, mode string, description string>>"
+    rows = registry.select("entity", "inside", F.posexplode(F.from_json("schema", F.lit(kind))).alias("ord", "c"))
+    return rows.select("entity", "ord", "c.*", F.nullif(F.element_at("inside", F.col("ord") + 1), F.lit("")).alias("nested"))
+
+
 def digest_of(fields: DataFrame) -> str:
     """The digest of the one entity in ``fields``; that of no fields where there are none."""
     row = digests(with_nested(fields)).first()
@@ -186,22 +185,18 @@ def digests(fields: DataFrame) -> DataFrame:
 
 
 def next_versions(known: DataFrame, new: DataFrame, changes: DataFrame, policy: str = "AUTO") -> DataFrame:
-    """Registry rows to append for every entity at once: ``(entity, version, table_name, schema_hash, breaking, summary, schema)``.
+    """Registry rows to append for every entity at once: ``(entity, version, table_name, schema_hash, breaking, summary, schema, inside)``.
 
     ``known`` has the latest ``(entity, version, schema_hash)``. An entity with the same hash gets no row, nor does one whose
     breaking change the policy does not let through; a change that breaks nothing is recorded in place, under its version.
-    ``schema`` is the list of ``new``'s columns as JSON where it has their definitions, see :func:`with_nested`.
+    ``schema`` and ``inside`` are those of :func:`recorded` where ``new`` has its columns' definitions.
     """
     said = changes.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set("change")), ",").alias("summary"))
     verdict = decisions(known, new, changes, policy).where("status = 'SUCCESS'")
-    rows = digests(new).join(known.select("entity", F.col("schema_hash").alias("was")), "entity", "left").where(~F.col("schema_hash").eqNullSafe(F.col("was")))
-    if "schema" in new.columns:
-        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "schema"))), lambda c: c["schema"]), ",")
-        rows = rows.join(new.groupBy("entity").agg(F.concat(F.lit("["), listed, F.lit("]")).alias("schema")), "entity")
-    else:
-        rows = rows.withColumn("schema", F.lit(None).cast("string"))
+    rows = recorded(new) if "schema" in new.columns else digests(new).withColumns({"schema": F.lit(None).cast("string"), "inside": F.lit(None).cast("array<string>")})
+    rows = rows.join(known.select("entity", F.col("schema_hash").alias("was")), "entity", "left").where(~F.col("schema_hash").eqNullSafe(F.col("was")))
     return rows.join(verdict, "entity").join(said, "entity", "left").select(
-        "entity", "version", F.concat_ws("_v", "entity", F.col("version").cast("string")).alias("table_name"), "schema_hash", (F.col("decision") == "BREAKING").alias("breaking"), F.coalesce("summary", F.lit("")).alias("summary"), "schema",
+        "entity", "version", F.concat_ws("_v", "entity", F.col("version").cast("string")).alias("table_name"), "schema_hash", (F.col("decision") == "BREAKING").alias("breaking"), F.coalesce("summary", F.lit("")).alias("summary"), "schema", "inside",
     )
 
 

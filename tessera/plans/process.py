@@ -216,7 +216,8 @@ def _version(spark: SparkSession, request: Request, columns: list[dict], names:
     now = registry.current(request.entity)
     if now is None:
         return first | {"version": registry.put(request.entity, columns, summary="initial version")}
-    old, new = schema_of(spark, request.entity, json.loads(now.schema)), schema_of(spark, request.entity, columns)
+    known = spark.createDataFrame([(request.entity, now.schema, now.inside)], "entity string, schema string, inside array<string>")
+    old, new = governance.known_columns(known), schema_of(spark, request.entity, columns)
     changes = governance.diff(old, new)
     verdict = governance.decisions(spark.createDataFrame([(request.entity, now.version)], "entity string, version int"), new, changes, request.policy).first()
     listed = [r.asDict() for r in changes.orderBy("name").collect()]

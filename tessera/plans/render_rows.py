@@ -136,7 +136,7 @@ def migrations(changes: DataFrame, names: DataFrame) -> DataFrame:
 def column_docs(fields: DataFrame, system: tuple[str, ...]) -> DataFrame:
     """``(entity, ord, section, line)``: the rows of the documentation's column tables; nested fields follow theirs, by path."""
     said = F.replace(F.coalesce("description", F.lit("")), F.lit("|"), F.lit("\\|"))
-    name = F.col("path") if "path" in fields.columns else F.col("name")
+    name = F.coalesce("path", "name") if "path" in fields.columns else F.col("name")
     line = F.concat(F.lit("| "), name, F.lit(" | "), "bq_type", F.lit(" | "), "mode", F.lit(" | "), said, F.lit(" |"))
     own = F.when((F.col("depth") == 1) & F.col("name").isin(*system), "System / Metadata Columns").otherwise("Business Columns")
     return fields.select("entity", "ord", own.alias("section"), line.alias("line"))

@@ -236,7 +236,7 @@ FROM t JOIN names USING (entity) JOIN best USING (entity) LEFT JOIN c USING (ent
 def ddl_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ALTER TABLE statements between two versions of every brand."""
     old, new = _versions(spark, sf_dir)
-    return render_rows.migrations(governance.diff(old, new), _names(new))
+    return render_rows.migrations(governance.diff(old, new), _names(new)).select("entity", "name", "statement")
 
 
 MIGRATION_SQL = f"""WITH {_DIFF}, {_NAMES_SQL.format('n')} SELECT entity, name, 'ALTER TABLE `' || dataset || '.' || "table" || '` ADD COLUMN `' || name || '` ' || n.type || ' OPTIONS(description="' || n.description || '");' AS statement

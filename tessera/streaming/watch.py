@@ -32,7 +32,8 @@ def judge(batch: DataFrame, entity: str, registry_path: str, policy: str = "WARN
     spark = batch.sparkSession
     columns, registry = columns_of_batch(batch, entity), Registry(spark, registry_path)
     now = registry.current(entity)
-    new, old = schema_of(spark, entity, columns), schema_of(spark, entity, json.loads(now.schema) if now else [])
+    new = schema_of(spark, entity, columns)
+    old = governance.known_columns(spark.createDataFrame([(entity, now.schema, now.inside)] if now else [], "entity string, schema string, inside array<string>"))
     changes = governance.diff(old, new)
     known = spark.createDataFrame([(entity, now.version)] if now else [], "entity string, version int")
     verdict = governance.decisions(known, new, changes, policy).first()

@@ -5,10 +5,11 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import queries, rule_queries, source_queries
+from tessera.plans import nested_queries, queries, rule_queries, source_queries
 
-QUERIES = {**queries.QUERIES, **source_queries.QUERIES, **rule_queries.QUERIES}
-ORACLES = {**queries.ORACLES, **source_queries.ORACLES, **rule_queries.ORACLES}
+PARTS = (queries, source_queries, rule_queries, nested_queries)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
 
 SF = "/root/testdata/sf0.001"
 
