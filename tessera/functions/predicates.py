@@ -18,7 +18,9 @@ ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{
 
 
 def strip(v: Column) -> Column:
-    return F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
+    """Text without white space around it; what begins and ends with a printable ASCII character is left as it is."""
+    plain = F.ascii(v).between(33, 126) & F.ascii(F.right(v, F.lit(1))).between(33, 126)
+    return F.when(plain, v).otherwise(F.regexp_replace(v, r"(?U)^\s+|\s+$", ""))
 
 
 def is_boolean(v: Column) -> Column:
@@ -74,6 +76,39 @@ PREDICATES = {
 }
 
 
+#: name -> bit of a mask, see :func:`mask`.
+BITS = {name: 1 << at for at, name in enumerate((*PREDICATES, "naive", "point", "minus"))}
+
+
+def mask(v: Column) -> Column:
+    """All predicates on a text at once, as bits; the first character decides which of them are tried."""
+    def bits(*names: str) -> Column:
+        return F.lit(sum(BITS[n] for n in names))
+
+    def where(holds: Column, name: str) -> Column:
+        return F.when(F.coalesce(holds, F.lit(False)), BITS[name]).otherwise(0)
+
+    # The plain forms come first, by simple patterns; a cast that fails costs an exception, so none is tried on what may not fit.
+    day = v.rlike(r"^\d{4}-\d{2}-\d{2}\z") & v.try_cast("date").isNotNull() & ~v.startswith("0000")
+    second = v.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}\z") & v.try_cast("timestamp_ntz").isNotNull() & ~v.startswith("0000")
+    time = F.when(v.contains(":"), F.when(second | is_naive_timestamp(v), bits("naive")).otherwise(where(is_timestamp(v), "timestamp"))).when(day, bits("date")).otherwise(where(is_date(v), "date"))
+    dated = (F.locate("-", v, 2) > 0) | v.contains("/")
+    first = F.ascii(v)
+    ascii_decimal = v.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?\z")
+    foreign = F.octet_length(v) != F.length(v)  # digits of other scripts count, so patterns that know them are tried
+    number = (
+        F.when(v.isin("0", "1"), bits("boolean", "zero_one", "integer", "decimal", "float"))
+        .when(dated & ~v.contains("e") & ~v.contains("E"), time)
+        .when(ascii_decimal | (foreign & is_decimal(v)), F.when(v.contains("."), bits("decimal", "float", "point")).otherwise(bits("integer", "decimal", "float")))
+        .when((v.contains("_") | foreign) & is_integer(v), bits("integer", "float"))
+        .when(is_float(v), bits("float"))
+        .otherwise(0)
+    )
+    word = F.when(is_boolean(v), bits("boolean")).when((F.length(v) < 9) & is_float(v), bits("float")).when(v.contains("("), where(is_geography(v), "geography")).otherwise(0)
+    found = F.when(first.between(43, 57) | (first >= 128), number).when(first.isin(40, 91), where(is_date_range(v), "date_range")).otherwise(word)
+    return (found + where(v.startswith("-"), "minus")).cast("int")
+
+
 def digits_of(v: Column) -> Column:
     """Digits before and after the point of a decimal text: struct(whole, fraction)."""
     clean = F.regexp_replace(v, r"^[+-]", "")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import names as N
 from tessera.operators import advice, fields, governance, profile
 from tessera.sources import csv_source
+from tessera.sources.shared import shared_path
 from tessera.standards import METADATA_COLUMNS, METADATA_NAMES
 
 # Columns of the given tables and their declared types.
@@ -103,6 +104,21 @@ def infer_sql(name: str, columns=None) -> str:
 FROM vals GROUP BY name"""
 
 
+def profile_batches_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items profiled a line number at a time into stored states, which are united without reading the rows again; are estimates close?"""
+    rows = table(spark, sf_dir, "lineitem")
+    cells = profile.as_text(rows.select("l_linenumber", *(c for c in rows.columns if c != "l_linenumber")), keep=["l_linenumber"])
+    path = shared_path(spark, "profile-states")
+    profile.states(cells, ("l_linenumber", "ord", "name")).write.parquet(path)
+    found = profile.finished(profile.united(spark.read.parquet(path), ("name",)), ("name",))
+    exact = profile.counts(rows, [c for c in rows.columns if c != "l_linenumber"]).select("name", F.col("n_distinct").alias("exact"))
+    close = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.08 * F.col("exact")
+    return found.join(exact, "name").select("name", "n", "n_blank", "n_kept", "max_length", "data_type", "exact", close.alias("close"))
+
+
+BATCHES_SQL = f"""SELECT i.name, p.n, p.n_blank, i.n_kept, p.max_length, i.data_type, p.n_distinct AS exact, true AS close FROM ({infer_sql('lineitem')}) i JOIN ({profile_sql('lineitem')}) p USING (name) WHERE i.name != 'l_linenumber'"""
+
+
 MONEY = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
@@ -439,8 +455,9 @@ METADATA_SQL = """SELECT o_orderkey, sha256(concat_ws(chr(31), coalesce(CAST(o_o
 
 QUERIES = {
     **{f"profile_{t}": profile_query(t) for t in ("orders", "lineitem", "events", "customer", "part", "conversations")},
-    **{f"infer_types_{t}": infer_query(t) for t in ("orders", "events", "conversations", "customer", "labels")},
+    **{f"infer_types_{t}": infer_query(t) for t in ("orders", "lineitem", "events", "conversations", "customer", "labels")},
     "numeric_precision_lineitem": numeric_precision_lineitem,
+    "profile_batches_lineitem": profile_batches_lineitem,
     "json_props_fields": json_props_fields,
     "csv_line_checks": csv_line_checks,
     "row_width_mismatch": row_width_mismatch,
@@ -464,8 +481,9 @@ QUERIES = {
 
 ORACLES = {
     **{f"profile_{t}": profile_sql(t) for t in ("orders", "lineitem", "events", "customer", "part", "conversations")},
-    **{f"infer_types_{t}": infer_sql(t) for t in ("orders", "events", "conversations", "customer", "labels")},
+    **{f"infer_types_{t}": infer_sql(t) for t in ("orders", "lineitem", "events", "conversations", "customer", "labels")},
     "numeric_precision_lineitem": NUMERIC_SQL,
+    "profile_batches_lineitem": BATCHES_SQL,
     "json_props_fields": JSON_SQL,
     "csv_line_checks": CSV_SQL,
     "row_width_mismatch": WIDTH_SQL,

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import fields, governance
-from tessera.operators.profile import profile
+from tessera.operators.profile import as_text, finished, profile, states, united
 from tessera.operators.registry import Registry
 from tessera.plans.process import schema_of
 
@@ -43,8 +43,14 @@ def judge(batch: DataFrame, entity: str, registry_path: str, policy: str = "WARN
     return entity, policy, verdict.decision, verdict.status, verdict.version, json.dumps(listed)
 
 
+def profiled(spark: SparkSession, report_path: str) -> DataFrame:
+    """The profile of all batches so far, from their stored states; no row is read again."""
+    keys = ("entity", "ord", "name")
+    return finished(united(spark.read.parquet(f"{report_path}/states"), keys), keys)
+
+
 def watch(stream: DataFrame, entity: str, registry_path: str, report_path: str, checkpoint: str, policy: str = "WARN"):
-    """Start a query that writes under ``report_path`` a profile and a verdict of each batch.
+    """Start a query that writes under ``report_path`` a verdict of each batch and the state of its columns, see :func:`profiled`.
 
     A breaking batch is refused (STRICT), warned of (WARN) or makes a new version (AUTO); the stream goes on. What is written
     carries the batch's number, so a repeated batch overwrites its own; a repeated verdict finds its own version and is a NO_OP.
@@ -56,6 +62,6 @@ def watch(stream: DataFrame, entity: str, registry_path: str, report_path: str,
         spark = batch.sparkSession
         made = spark.createDataFrame([judge(batch, entity, registry_path, policy)], VERDICT)
         made.coalesce(1).write.mode("overwrite").parquet(f"{report_path}/verdict/batch={number}")
-        profile(batch).withColumn("entity", F.lit(entity)).write.mode("overwrite").parquet(f"{report_path}/profile/batch={number}")
+        states(as_text(batch)).withColumn("entity", F.lit(entity)).write.mode("overwrite").parquet(f"{report_path}/states/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators.registry import Registry
-from tessera.streaming.watch import watch
+from tessera.streaming.watch import profiled, watch
 
 
 def test_watch(spark, tmp_path):
@@ -26,6 +26,8 @@ def test_watch(spark, tmp_path):
     got = [tuple(r) for r in spark.read.parquet(place("report/verdict")).orderBy("batch").select("decision", "status", "version").collect()]
     assert got == [("CREATE", "SUCCESS", 1), ("NO_OP", "SUCCESS", 1), ("BREAKING", "WARNING", 1), ("BREAKING", "SUCCESS", 2)]
     assert '"TYPE_CHANGE"' in spark.read.parquet(place("report/verdict")).where("batch = 2").first().changes
-    assert spark.read.parquet(place("report/profile")).where("batch = 0").count() == 2
+    assert spark.read.parquet(place("report/states")).where("batch = 0").count() == 2
+    seen = {r["name"]: (r.n, r.n_distinct, r.data_type) for r in profiled(spark, place("report")).collect()}
+    assert seen == {"id": (5, 5, "STRING"), "note": (5, 3, "STRING")}
     assert Registry(spark, place("registry")).current("notes").version == 2
     assert Registry(spark, place("nowhere")).rows().agg(F.count("*")).first()[0] == 0

@@ -1,6 +1,7 @@
 """Predicates, inference and names, against plain statements of the rules."""
 
 import math
+import random
 import re
 from datetime import datetime
 
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import names, predicates
-from tessera.operators.profile import profile, with_precision
+from tessera.operators.profile import as_text, finished, profile, states, united, with_precision
 
 
 def can(f, *a):
@@ -74,3 +75,36 @@ def test_names(spark):
     rows = spark.createDataFrame([("e", i, n, "finance_sales_gold") for i, n in enumerate(raw)], "entity string, ord int, raw_name string, table_name string")
     got = [r.final_name for r in names.with_final_names(rows).orderBy("ord").collect()]
     assert got == ["first_name", "customer_id", "httpserver", "user_id2_name", "a_b", "a_b_2", "_2020_sales", "finance_sales_gold_order", "_"]
+
+
+MIXED = ["", "0", "1.", ".5", "-.5", "1_0", "1e-5", "-inf", "Infinityx", "yes", "T", "5-1-2024", "2024-01-05T10:00:00Z", "2024-01-05 10:00Z", "2024-1-5T1:2:3", "2024-01-05 24:00:00", "0000-01-05 10:00:00", "POINT(1 2)", "point(", "POINT (1)",
+         "[2024-01-01,2024-02-01)", "[x]", "١٢٣", "١.٥", "ınf", "--1", "é", "-2024-01-01", "2024-01-05e", "9" * 40]
+
+
+def test_mask_holds_every_predicate(spark):
+    rng = random.Random(1)
+    texts = EDGES + MIXED + ["".join(rng.choices("0123456789-/.:TZe+_ inftrueyPO([,)١", k=rng.randint(1, 12))).strip() for _ in range(1500)]
+    for _ in range(1500):
+        day = rng.choice(["{0}-{1}-{2}", "{2}-{1}-{0}", "{1}/{2}/{0}"]).format(rng.choice(["2024", "0000", "1999", "24"]), rng.choice(["01", "1", "12", "13", "02"]), rng.choice(["1", "05", "29", "30", "31", "32"]))
+        texts.append((day + rng.choice(["", "", "T", " ", "  "]) + rng.choice(["", "", "10:00:00", "1:2:3", "24:00:00", "23:59:60", "10:00", "10:00:00.5"]) + rng.choice(["", "Z", "+05:30", "-08:00"])).strip())
+    v = F.col("v")
+    known = {**{n: p(v) for n, p in predicates.PREDICATES.items()}, "naive": predicates.is_naive_timestamp(v), "minus": v.startswith("-")}
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select("v", predicates.mask(v).alias("mask"), *(F.coalesce(c, F.lit(False)).alias(n) for n, c in known.items()))
+    for r in rows.collect():
+        assert {n for n in known if r[n]} == {n for n in known if r["mask"] & predicates.BITS[n]}, r.v
+
+
+def test_no_text_is_shuffled_and_states_unite(spark):
+    rows = spark.range(0, 4000, 1, 3).select((F.col("id") % 700).cast("string").alias("a"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("x"), F.col("id").cast("string"))).alias("b"))
+    for made in (profile(rows), profile(rows, lg=12)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") >= 1 and all("v#" not in line for line in plan.splitlines() if "Exchange" in line)
+    exact = {r["name"]: r.asDict() for r in profile(rows).collect()}
+    whole = {r["name"]: r.asDict() for r in profile(rows, lg=12).collect()}
+    cells = as_text(rows.withColumn("batch", F.spark_partition_id()), keep=["batch"])
+    parts = {r["name"]: r.asDict() for r in finished(united(states(cells, ("batch", "ord", "name")))).collect()}
+    assert parts == whole
+    for name, r in exact.items():
+        assert abs(whole[name]["n_distinct"] - r["n_distinct"]) <= 0.08 * r["n_distinct"]
+        loose = ("n_distinct", "distinct_ratio")
+        assert {k: x for k, x in r.items() if k not in loose} == {k: x for k, x in whole[name].items() if k not in loose}
