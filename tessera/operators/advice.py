@@ -68,7 +68,7 @@ def partition_advice(fields: DataFrame, zone: str | Column = "raw", exclude_meta
     )
 
 
-def manual_partitioning(column: str | None, column_type: str | None, granularity: str = "DAY", days: int | None = None, strategy: str = "COLUMN") -> dict:
+def manual_partitioning(column: str | None = None, column_type: str | None = None, granularity: str = "DAY", days: int | None = None, strategy: str = "COLUMN") -> dict:
     """A partition choice made by the user."""
     return {"strategy": strategy, "column": column, "column_type": column_type, "granularity": (granularity or "DAY").upper(), "retention_days": days, "confidence": "USER_DEFINED"}
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import profile
 from tessera.plans.process import Request, process, renamed
 from tessera.plans.queries import infer_sql, table
-from tessera.sources import csv_source, json_source
+from tessera.sources import csv_source, declared, json_source
 from tessera.sources.detect import detect_format
 from tessera.sources.shared import shared_path
 
@@ -186,6 +186,36 @@ def json_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 JSON_REPEATED_SQL = """SELECT CAST(event_id AS VARCHAR) AS k, CASE WHEN event_id % 3 = 0 THEN '1.50' END AS k_2, true AS third_empty,
   CASE WHEN event_id % 3 = 0 THEN event_type END AS x, CASE WHEN event_id % 3 = 0 THEN '2' END AS x_2 FROM events"""
 
+
+def json_blank_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects with a blank key, which is named after the entity and its place, and keys with spaces or points."""
+    c = F.col
+    line = F.concat(F.lit('{"id": '), c("event_id").cast("string"), F.lit(', "": "'), c("event_type"), F.lit('", " kind ": 7, "a.b": {"": '), c("user_id").cast("string"), F.lit(', "c": [1, 2]}}'))
+    path = shared_path(spark, "json") + ".jsonl"
+    table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
+    cells = json_source.leaf_cells(json_source.read_json(spark, path, entity="event"))
+    return cells.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("d"), F.min("v").alias("least"))
+
+
+JSON_BLANK_SQL = """WITH c AS (SELECT 'id' AS name, CAST(event_id AS VARCHAR) AS v FROM events UNION ALL SELECT 'event_2', event_type FROM events UNION ALL SELECT 'kind', '7' FROM events
+  UNION ALL SELECT 'a.b.event_1', CAST(user_id AS VARCHAR) FROM events UNION ALL SELECT 'a.b.c', unnest(['1', '2']) FROM events)
+SELECT name, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT v) AS BIGINT) AS d, min(v) AS least FROM c GROUP BY name"""
+
+
+def parquet_footers_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of files whose writers declare different types, from their footers: numbers widen, others become text, what some lack may be null."""
+    rows, path = table(spark, sf_dir, "orders"), shared_path(spark, "footers") + ".parquet"
+    early = rows.select(F.col("o_orderkey").cast("int").alias("key"), F.col("o_totalprice").cast("decimal(12,2)").alias("total"), F.col("o_orderdate").cast("date").alias("day"), F.struct(F.col("o_custkey").alias("id")).alias("customer"))
+    late = rows.select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").cast("decimal(14,4)").alias("total"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.struct(F.col("o_custkey").cast("double").alias("id"), F.array("o_orderstatus").alias("states")).alias("customer"))
+    early.where("o_orderstatus != 'F'").withMetadata("key", {"comment": "the order"}).write.parquet(f"{path}/early")
+    late.where("o_orderstatus = 'F'").write.parquet(f"{path}/late")
+    found = declared.parquet_fields(spark, path, "orders")
+    return found.select("path", "depth", "data_type", "is_array", "nullable", "description", "precision", "scale", "row_count")
+
+
+FOOTER_SQL = """SELECT path, CAST(depth AS INTEGER) AS depth, data_type, is_array, path != 'customer' AS nullable, CASE path WHEN 'key' THEN 'the order' END AS description, CAST(precision AS INTEGER) AS precision, CAST(scale AS INTEGER) AS scale, (SELECT count(*) FROM orders) AS row_count
+FROM (VALUES ('key', 1, 'INTEGER', false, NULL, NULL), ('total', 1, 'DECIMAL', false, 14, 4), ('day', 1, 'STRING', false, NULL, NULL), ('customer', 1, 'RECORD', false, NULL, NULL), ('customer.id', 2, 'FLOAT', false, NULL, NULL), ('customer.states', 2, 'STRING', true, NULL, NULL)) AS v(path, depth, data_type, is_array, precision, scale)"""
+
 # --- inferred types --------------------------------------------------------------------------------
 
 FLAGS = {
@@ -262,6 +292,8 @@ QUERIES = {
     "json_leaf_values": json_leaf_values,
     "json_record_fields": json_record_fields,
     "json_repeated_keys": json_repeated_keys,
+    "json_blank_keys": json_blank_keys,
+    "parquet_footers_orders": parquet_footers_orders,
     "infer_flags_and_numbers": inferred(FLAGS),
     "infer_times_and_dates": inferred(TIMES),
     "infer_shapes_and_ranges": inferred(SHAPES),
@@ -280,6 +312,8 @@ ORACLES = {
     "json_leaf_values": JSON_LEAF_SQL,
     "json_record_fields": JSON_FIELDS_SQL,
     "json_repeated_keys": JSON_REPEATED_SQL,
+    "json_blank_keys": JSON_BLANK_SQL,
+    "parquet_footers_orders": FOOTER_SQL,
     "infer_flags_and_numbers": inferred_sql(FLAGS),
     "infer_times_and_dates": inferred_sql(TIMES),
     "infer_shapes_and_ranges": inferred_sql(SHAPES),

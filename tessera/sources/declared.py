@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.operators.fields import FIELD_SCHEMA, declared_fields
 
-# Numeric widening of unions, and the types of Avro primitives and logical types.
-WIDENING = ("int", "long", "float", "double", "decimal")
-PRIMITIVES = {"int": "INTEGER", "long": "INTEGER", "float": "FLOAT", "double": "FLOAT", "boolean": "BOOLEAN", "string": "STRING", "bytes": "STRING"}
-LOGICAL = {"timestamp-millis": "TIMESTAMP", "timestamp-micros": "TIMESTAMP", "date": "DATE", "decimal": "DECIMAL"}
+from tessera.sources.footers import fields_of
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -20,77 +12,10 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parquet_fields(spark: SparkSession, path: str, entity: str) -> DataFrame:
-    """Declared fields, and the row count, which reads file footers alone."""
-    df = read_parquet(spark, path)
-    return declared_fields(spark, {entity: df}).withColumn("row_count", F.lit(df.count()).cast("long"))
-
-
-def avro_schema(spark: SparkSession, path: str, most: int = 1000) -> tuple[dict, int]:
-    """The writer's schema of an Avro file, and its number of records up to ``most``; read on the driver."""
-    jvm = spark._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    stream = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(jpath)
-    try:
-        reader = jvm.org.apache.avro.file.DataFileStream(stream, jvm.org.apache.avro.generic.GenericDatumReader())
-        schema, n = json.loads(reader.getSchema().toString()), 0
-        while n < most and reader.hasNext():
-            reader.next()
-            n += 1
-        return schema, n
-    finally:
-        stream.close()
-
-
-def _plain(kind, where: str):
-    """(type, repeated, nullable) of an Avro type, with unions and lists resolved."""
-    if isinstance(kind, list):
-        options = [k for k in kind if k != "null"]
-        if not options:
-            raise ValueError(f"{where}: a union of null alone")
-        if len(options) > 1:
-            names = ["decimal" if isinstance(o, dict) and o.get("logicalType") == "decimal" else o for o in options]
-            if not all(isinstance(n, str) and n in WIDENING for n in names):
-                raise ValueError(f"{where}: a union of {names} has no one type")
-            return max(names, key=WIDENING.index), False, "null" in kind
-        found, repeated, _ = _plain(options[0], where)
-        return found, repeated, "null" in kind
-    if isinstance(kind, dict) and kind.get("type") == "array":
-        found, _, _ = _plain(kind["items"], where)
-        return found, True, False
-    return kind, False, False
+    """Declared fields with descriptions, and the row count; of each file the footer alone is read, in tasks."""
+    return fields_of(spark, path, entity, "parquet")[0]
 
 
 def avro_fields(spark: SparkSession, path: str, entity: str) -> tuple[DataFrame, str | None]:
-    """Declared fields of an Avro file and the description of its record."""
-    schema, rows = avro_schema(spark, path)
-    if schema.get("type") != "record":
-        raise ValueError(f"{path} holds {schema.get('type')}, not records")
-    out: list[tuple] = []
-
-    def walk(fields, prefix, depth, parents):
-        for f in fields:
-            name, where = f["name"], prefix + f["name"]
-            kind, repeated, nullable = _plain(f["type"], where)
-            precision = scale = None
-            children = None
-            if isinstance(kind, dict):
-                logical, base = kind.get("logicalType"), kind.get("type")
-                if base == "record":
-                    if kind["name"] in parents:
-                        raise ValueError(f"{where}: {kind['name']} holds itself")
-                    data_type, children = "RECORD", kind
-                elif base == "map":
-                    data_type = "JSON"
-                elif logical in LOGICAL:
-                    data_type = LOGICAL[logical]
-                    precision, scale = (kind.get("precision"), kind.get("scale", 0)) if logical == "decimal" else (None, None)
-                else:
-                    data_type = PRIMITIVES.get(base, "STRING")
-            else:
-                data_type = "DECIMAL" if kind == "decimal" else PRIMITIVES.get(kind, "STRING")
-            out.append((entity, len(out), where, depth, name, name, data_type, repeated, nullable, f.get("doc"), precision, scale))
-            if children:
-                walk(children["fields"], where + ".", depth + 1, {*parents, children["name"]})
-
-    walk(schema["fields"], "", 1, {schema["name"]})
-    return spark.createDataFrame(out, FIELD_SCHEMA).withColumn("row_count", F.lit(rows).cast("long")), schema.get("doc")
+    """Declared fields with the exact row count, and the description of the records; of each file the heads alone are read, in tasks."""
+    return fields_of(spark, path, entity, "avro")

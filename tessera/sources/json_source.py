@@ -18,41 +18,48 @@ def _without_strings(line: Column) -> Column:
     return F.regexp_replace(line, r'"(?:[^"\\]++|\\.)*+"', '""')
 
 
-def renamed_keys(pairs: list[tuple]) -> dict:
-    """An object whose repeated keys are numbered from 2."""
+def renamed_keys(pairs: list[tuple], entity: str) -> dict:
+    """An object whose repeated keys are numbered from 2; keys lose white space around them, blank ones are the entity's name and their place from 1."""
     out, seen = {}, {}
-    for key, value in pairs:
+    for at, (key, value) in enumerate(pairs, 1):
+        key = key.strip() or f"{entity}_{at}"
         seen[key] = seen.get(key, 0) + 1
         out[key if seen[key] == 1 else f"{key}_{seen[key]}"] = value
     return out
 
 
-def _records(text: str) -> list[str]:
+def _records(text: str, entity: str) -> list[str]:
     """The objects of a JSON text, a line each; numbers as text, since all primitives are read as text."""
     try:
-        made = json.loads(text.removeprefix("\ufeff"), object_pairs_hook=renamed_keys, parse_int=str, parse_float=str)
+        made = json.loads(text.removeprefix("\ufeff"), object_pairs_hook=lambda pairs: renamed_keys(pairs, entity), parse_int=str, parse_float=str)
     except ValueError:
         return []
     return [json.dumps(r, ensure_ascii=False) for r in (made if isinstance(made, list) else [made]) if isinstance(r, dict)]
 
 
-def _rewritten(texts: DataFrame) -> str:
-    """A new folder of JSON lines, with texts whose keys repeat (which Spark refuses) renamed by :func:`_records`."""
+def _odd_keys(text: Column) -> Column:
+    """Whether a key may be blank or have white space around it; a string that looks like one counts too."""
+    return text.rlike(r'[{,]\s*"(\s*|\s[^"]*|[^"]*\s)"\s*:')
+
+
+def _rewritten(texts: DataFrame, entity: str) -> str:
+    """A new folder of JSON lines, with texts whose keys repeat (which Spark refuses) or are blank (which it drops) renamed by :func:`_records`."""
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([r for t in batch.column(0).to_pylist() for r in _records(t)], pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([r for t in batch.column(0).to_pylist() for r in _records(t, entity)], pa.string())], names=["value"])
 
-    fine = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{") & ~F.contains("value", F.lit("\n"))
+    fine = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{") & ~F.contains("value", F.lit("\n")) & ~_odd_keys(F.col("value"))
     path = shared_path(texts.sparkSession, "json-lines")
     texts.where(fine).select("value").union(texts.where(~fine).select("value").mapInArrow(run, "value string")).write.text(path)
     return path
 
 
-def read_json(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
+def read_json(spark: SparkSession, path: str, sample: int | None = None, entity: str = "column") -> DataFrame:
     """Records of JSON lines, of one object or of an array; lines that do not parse are left out.
 
     NaN and Infinity make a file invalid. Numbers keep the text they have in the file. A key that an object
-    repeats is numbered from 2; files with such keys are rewritten as JSON lines in the shared folder first.
+    repeats is numbered from 2, a blank one gets the entity's name and its place; files with such keys are rewritten as JSON lines
+    in the shared folder first.
     """
     lines = spark.read.text(path)
     first = lines.where(F.trim("value") != "").first()
@@ -62,15 +69,15 @@ def read_json(spark: SparkSession, path: str, sample: int | None = None) -> Data
     if lines.where(bare.rlike(r"[:\[,]\s*-?(NaN|Infinity)\s*([,}\]]|$)")).first():
         raise ValueError(f"{path} holds NaN or Infinity")
     start = first.value.strip().removeprefix("\ufeff")
-    is_lines = start.startswith("{") and bool(_records(start))
+    is_lines = start.startswith("{") and bool(_records(start, entity))
     if is_lines:
-        refused = lines.where(F.try_parse_json("value").isNull() & (bare.rlike(r"^\s*\{.*\}\s*$")))
+        refused = lines.where(F.try_parse_json("value").isNull() & (bare.rlike(r"^\s*\{.*\}\s*$")) | _odd_keys(F.col("value")))
         if refused.first():
-            path = _rewritten(lines)
+            path = _rewritten(lines, entity)
     else:
         whole = spark.read.text(path, wholetext=True)
-        if whole.where(F.try_parse_json("value").isNull()).first():
-            path, is_lines = _rewritten(whole), True
+        if whole.where(F.try_parse_json("value").isNull() | _odd_keys(F.col("value"))).first():
+            path, is_lines = _rewritten(whole, entity), True
     reader = spark.read.option("primitivesAsString", True).option("allowNonNumericNumbers", False).option("mode", "DROPMALFORMED")
     df = reader.option("multiLine", not is_lines).json(path)
     if not df.columns:
@@ -79,27 +86,30 @@ def read_json(spark: SparkSession, path: str, sample: int | None = None) -> Data
 
 
 def leaf_cells(df: DataFrame) -> DataFrame:
-    """``(ord, name, v)``: the text of every leaf; name is its path, list items count each."""
+    """``(ord, name, v)``: the text of every leaf; name is its path and ord its place among all fields, list items count each."""
     parts: list[Column] = []
+    count = 0
 
-    def cell_of(name: str):
-        return lambda v: F.struct(F.lit(0).alias("ord"), F.lit(name).alias("name"), v.cast("string").alias("v"))
+    def cell_of(at: int, name: str):
+        return lambda v: F.struct(F.lit(at).alias("ord"), F.lit(name).alias("name"), v.cast("string").alias("v"))
 
-    def walk(struct: T.StructType, prefix: str, depth: int) -> None:
+    def walk(struct: T.StructType, above: Column | None, prefix: str, depth: int) -> None:
+        nonlocal count
         for field in struct.fields:
-            kind, path, lists = field.dataType, f"{prefix}`{field.name}`", depth
+            at, kind, lists = count, field.dataType, depth
+            count += 1
+            value = F.col("`" + field.name.replace("`", "``") + "`") if above is None else above.getField(field.name)
             while isinstance(kind, T.ArrayType):
                 kind, lists = kind.elementType, lists + 1
             if isinstance(kind, T.StructType):
-                walk(kind, path + ".", lists)
+                walk(kind, value, f"{prefix}{field.name}.", lists)
                 continue
-            value, name = F.col(path), path.replace("`", "")
             for _ in range(lists - 1):
                 value = F.flatten(value)
-            cell = cell_of(name)
+            cell = cell_of(at, prefix + field.name)
             parts.append(F.coalesce(F.transform(value, cell), F.array().cast("array<struct<ord:int,name:string,v:string>>")) if lists else F.array(cell(value)))
 
-    walk(df.schema, "", 0)
+    walk(df.schema, None, "", 0)
     return df.select(F.inline(F.concat(*parts)))
 
 
@@ -107,8 +117,8 @@ def json_fields(entity: str, df: DataFrame) -> DataFrame:
     """Fields with RECORD and list shapes from the schema, and leaf types from the values."""
     shape = df.sparkSession.createDataFrame(declared_rows(entity, df.schema), FIELD_SCHEMA).drop("precision", "scale", "nullable").withColumnRenamed("data_type", "shape")
     found = with_precision(profile_cells(leaf_cells(df), ("ord", "name"))).select(
-        F.col("name").alias("path"), "data_type", "nullable", "precision", "scale", F.col("n").alias("cells"), "distinct_ratio", "null_ratio", "ambiguous_boolean"
+        "ord", "data_type", "nullable", "precision", "scale", F.col("n").alias("cells"), "distinct_ratio", "null_ratio", "ambiguous_boolean"
     )
     rows = df.count()
-    out = shape.join(found, "path", "left").withColumn("data_type", F.when(F.col("shape").isin("RECORD", "JSON"), F.col("shape")).otherwise(F.coalesce("data_type", F.lit("STRING"))))
+    out = shape.join(found, "ord", "left").withColumn("data_type", F.when(F.col("shape").isin("RECORD", "JSON"), F.col("shape")).otherwise(F.coalesce("data_type", F.lit("STRING"))))
     return out.drop("shape").withColumn("nullable", F.coalesce("nullable", F.lit(True))).withColumn("row_count", F.lit(rows).cast("long"))

@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.cli import request_of
 from tessera.operators import governance
 from tessera.plans.process import Request, process, write_artifacts
 from tessera.sources import csv_source, declared, json_source
@@ -85,6 +86,37 @@ def test_json_constants_in_strings_and_repeated_keys(spark, tmp_path):
         json_source.read_json(spark, str(put(tmp_path, "i.jsonl", '{"a": "x"}\n{"a": [1, -Infinity]}\n')))
 
 
+def test_json_blank_and_dotted_keys(spark, tmp_path):
+    text = '{"a": 1, "": 2, "in": {" ": [{"x.y": 1.5, "x": {"y": "text"}}]}, " b ": "s, \\"\\": {"}\n{"a": 3, "": 4, "in": null}\n'
+    df = json_source.read_json(spark, str(put(tmp_path, "b.jsonl", text)), entity="sale")
+    got = {(r.path, r.depth): (r.data_type, r.cells) for r in json_source.json_fields("sale", df).collect()}
+    assert got == {
+        ("a", 1): ("INTEGER", 2), ("sale_2", 1): ("INTEGER", 2), ("b", 1): ("STRING", 2), ("in", 1): ("RECORD", None), ("in.sale_1", 2): ("RECORD", None), ("in.sale_1.x", 3): ("RECORD", None),
+        ("in.sale_1.x.y", 4): ("STRING", 1), ("in.sale_1.x.y", 3): ("DECIMAL", 1),
+    }
+    whole = json_source.read_json(spark, str(put(tmp_path, "b.json", '[{"": 1},\n {"": 2, "`c": 3}]')), entity="sale")
+    assert {(r["sale_1"], r["`c"]) for r in whole.collect()} == {("1", None), ("2", "3")}
+    assert json_source.leaf_cells(whole).count() == 4
+    out = process(spark, request(put(tmp_path, "p.jsonl", text)))
+    assert {"a", "sales_2", "b", "in"} <= {c["name"].removeprefix("finance_sales_gold_") for c in out["columns"]}
+
+
+def test_config_of_either_shape(spark, tmp_path):
+    path = str(put(tmp_path, "c.csv", "id;note\n1;x\n2;y\n"))
+    made = request_of({
+        "entity": "sales", "domain": "finance", "environment": "dev", "zone": "raw", "layer": "gold", "output": "DDL", "source": {"file_path": path, "csv_override": {"mode": "SPLIT", "delimiter": ";", "header_mode": "PRESENT"}},
+        "settings": {"drift_policy": "AUTO", "table_description": "Sales of the shop, by line.", "type_overrides": {"id": "STRING"}}, "partitioning": {"mode": "MANUAL", "strategy": "COLUMN", "column": "day", "column_type": "DATE"}, "clustering": {"mode": "MANUAL", "columns": ["id"]},
+    })
+    assert (made.path, made.policy, made.output_type, made.csv["delimiter"], made.cluster_override, made.user_id) == (path, "AUTO", "DDL", ";", ["id"], "config_executor")
+    text = process(spark, made)["artifacts"]["create_table.sql"]
+    assert "`id` STRING" in text and "PARTITION BY `day`" in text and "CLUSTER BY `id`" in text
+    skipped = request_of({"entity": "e", "source": {"file_path": "x.csv"}, "partitioning": {"mode": "SKIP"}, "clustering": {"mode": "SKIP"}})
+    assert (skipped.partition_override, skipped.cluster_override, skipped.policy, skipped.output_type) == ("SKIP", [], "WARN", "ALL_FORMATS")
+    assert request_of({"path": path, "entity": "e", "domain": "d", "environment": "e", "zone": "z", "layer": "l"}).cluster_override is None
+    with pytest.raises(ValueError, match="colour"):
+        request_of({"entity": "e", "source": {"file_path": "x.csv"}, "colour": 1})
+
+
 def test_artifacts_of_an_earlier_run_go(tmp_path):
     (tmp_path / "migration.sql").write_text("old")
     (tmp_path / "own.txt").write_text("kept")
@@ -117,17 +149,48 @@ def test_parquet(spark, tmp_path):
     assert [c["name"] for c in next(c for c in out["columns"] if c["name"] == "st")["fields"]] == ["x", "y"]
 
 
+def test_parquet_footers_of_many_files(spark, tmp_path):
+    said = lambda text: {b"description": text.encode()}
+    a = pa.schema([pa.field("id", pa.int32(), False, said("the key")), pa.field("at", pa.time64("us")), pa.field("n", pa.int64(), False), pa.field("m", pa.decimal128(5, 2)), pa.field("u", pa.uint64()), pa.field("s", pa.struct([pa.field("x", pa.string(), False)]))])
+    b = pa.schema([pa.field("id", pa.int64(), False), pa.field("n", pa.float64(), False, said("number")), pa.field("m", pa.decimal128(9, 1)), pa.field("more", pa.dictionary(pa.int8(), pa.string()), False), pa.field("s", pa.struct([pa.field("x", pa.date32())]))])
+    (tmp_path / "t.parquet").mkdir()
+    for name, schema, rows in (("a", a, [{"id": i, "n": i} for i in range(7)]), ("b", b, [{"id": i, "n": 0.5, "more": "x"} for i in range(5)])):
+        pq.write_table(pa.Table.from_pylist(rows, schema), tmp_path / "t.parquet" / f"{name}.parquet")
+    found = declared.parquet_fields(spark, str(tmp_path / "t.parquet"), "e").orderBy("ord").collect()
+    got = {r.path: (r.data_type, r.nullable, r.description, r.precision, r.scale) for r in found}
+    assert got == {
+        "id": ("INTEGER", False, "the key", None, None), "at": ("STRING", True, None, None, None), "n": ("FLOAT", False, "number", None, None), "m": ("DECIMAL", True, None, 10, 2), "u": ("INTEGER", True, None, None, None),
+        "s": ("RECORD", True, None, None, None), "s.x": ("STRING", True, None, None, None), "more": ("STRING", True, None, None, None),
+    }
+    assert {r.row_count for r in found} == {12}
+    spark.range(3).selectExpr("id", "named_struct('v', parse_json('1')) as r").withMetadata("id", {"comment": "made by Spark"}).write.parquet(f"file://{tmp_path}/s.parquet")
+    own = {r.path: (r.data_type, r.description, r.row_count) for r in declared.parquet_fields(spark, f"file://{tmp_path}/s.parquet", "e").collect()}
+    assert own == {"id": ("INTEGER", "made by Spark", 3), "r": ("RECORD", None, 3), "r.v": ("JSON", None, 3)}
+    with pytest.raises(Exception, match="some files only"):
+        pq.write_table(pa.table({"s": [1]}), tmp_path / "t.parquet" / "c.parquet")
+        declared.parquet_fields(spark, str(tmp_path / "t.parquet"), "e")
+
+
 AVRO = {"type": "record", "name": "R", "doc": "Order events from the shop", "fields": [
     {"name": "id", "type": "long"}, {"name": "opt", "type": ["null", "string"], "doc": "note"}, {"name": "num", "type": ["null", "int", "double"]},
     {"name": "amt", "type": {"type": "bytes", "logicalType": "decimal", "precision": 10, "scale": 2}}, {"name": "ts", "type": {"type": "long", "logicalType": "timestamp-micros"}}, {"name": "d", "type": {"type": "int", "logicalType": "date"}},
     {"name": "tags", "type": {"type": "array", "items": "string"}}, {"name": "m", "type": {"type": "map", "values": "int"}}, {"name": "sub", "type": {"type": "record", "name": "S", "fields": [{"name": "x", "type": "int"}]}}]}
 
 
-def avro_file(spark, path, schema):
+def avro_file(spark, path, schema, rows=(), codec=None):
     jvm = spark._jvm
     parsed = jvm.org.apache.avro.Schema.Parser().parse(json.dumps(schema))
     writer = jvm.org.apache.avro.file.DataFileWriter(jvm.org.apache.avro.generic.GenericDatumWriter(parsed))
+    if codec:
+        writer.setCodec(jvm.org.apache.avro.file.CodecFactory.fromString(codec))
     writer.create(parsed, jvm.java.io.File(str(path)))
+    for n, row in enumerate(rows):
+        record = jvm.org.apache.avro.generic.GenericData.Record(parsed)
+        for k, v in row.items():
+            record.put(k, v)
+        writer.append(record)
+        if n % 400 == 399:
+            writer.sync()  # ends the block
     writer.close()
     return str(path)
 
@@ -138,10 +201,26 @@ def test_avro(spark, tmp_path):
     assert said == AVRO["doc"] and got["opt"] == ("STRING", False, "note", None) and got["num"][0] == "FLOAT" and got["amt"] == ("DECIMAL", False, None, 10) and got["ts"][0] == "TIMESTAMP"
     assert got["d"][0] == "DATE" and got["tags"] == ("STRING", True, None, None) and got["m"][0] == "JSON" and got["sub"][0] == "RECORD" and got["sub.x"][0] == "INTEGER"
     mixed = AVRO | {"fields": [{"name": "u", "type": ["string", "int"]}]}
-    with pytest.raises(ValueError, match="union"):
+    with pytest.raises(Exception, match="union"):
         declared.avro_fields(spark, avro_file(spark, tmp_path / "u.avro", mixed), "e")
 
 
+def test_avro_over_many_files(spark, tmp_path):
+    (tmp_path / "m.avro").mkdir()
+    fields = lambda *f: {"type": "record", "name": "R", "fields": [{"name": n, "type": k} for n, k in f]}
+    avro_file(spark, tmp_path / "m.avro" / "a.avro", fields(("id", "int"), ("v", ["null", "int"])), [{"id": i} for i in range(1203)], "deflate")
+    avro_file(spark, tmp_path / "m.avro" / "b.avro", fields(("id", "int"), ("v", "double"), ("w", "string")) | {"doc": " second "}, [{"id": i, "v": 0.5, "w": "x" * 100} for i in range(801)], "snappy")
+    found, said = declared.avro_fields(spark, str(tmp_path / "m.avro"), "e")
+    got = {r.path: (r.data_type, r.nullable, r.row_count) for r in found.collect()}
+    assert said == "second" and got == {"id": ("INTEGER", False, 2004), "v": ("FLOAT", True, 2004), "w": ("STRING", True, 2004)}
+    whole = (tmp_path / "m.avro" / "a.avro").read_bytes()
+    (tmp_path / "cut.avro").write_bytes(whole[: len(whole) - 40])
+    (tmp_path / "no.avro").write_bytes(b"something else")
+    for name, message in (("cut", "too early"), ("no", "not an Avro")):
+        with pytest.raises(Exception, match=message):
+            declared.avro_fields(spark, str(tmp_path / f"{name}.avro"), "e")
+
+
 def test_detection(spark, tmp_path):
     assert detect_format(spark, str(put(tmp_path, "x.JSONL", "{}"))) == "json"
     for name, text in (("e.csv", ""), ("noext", "a"), ("x.txt", "a")):
