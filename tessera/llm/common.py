@@ -11,6 +11,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,6 +82,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_ranks(ids: DataFrame, key: str, name: str) -> DataFrame | None:
+    """``(key, name)``: for ids that are not whole numbers, a long that grows with them, by a range sort; null for whole numbers."""
+    if isinstance(ids.schema[key].dataType, T.IntegralType):
+        return None
+    # Numbers of a task are larger than those of the tasks before it.
+    return stage(ids.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).withColumn(name, F.monotonically_increasing_id()), "id-ranks")
+
+
 def pieces(batches, rows: int = 256):
     """Arrow batches in slices of few rows, so that what is made of one is given on before the next."""
     for batch in batches:

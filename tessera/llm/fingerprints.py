@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import broadcast_if_small, partitions, stage, table
+from tessera.llm.common import broadcast_if_small, id_ranks, partitions, stage, table
 
 MAX_RANGES = 4096  # cuts that a plan holds
 ROWS = 20_000  # of a range
@@ -89,6 +89,12 @@ def _place(rows: DataFrame, ranges: int) -> Column:
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, text, next)``: next is the text of the next document by descending key."""
     rows = _plain(docs, key, text)
+    ranks = id_ranks(rows, "id", "rank")
+    if ranks is not None:
+        ranks = ranks.withColumnRenamed("id", "own")
+        ranked = rows.join(ranks, F.col("id") == F.col("own"), "left").select("rank", "text")
+        made = with_next(ranked, "rank", "text").withColumnRenamed("id", "at")
+        return made.join(ranks, F.col("at") == F.col("rank"), "left").select(F.col("own").alias("id"), "text", "next")
     place = _place(rows, min(MAX_RANGES, 2 * partitions(docs.sparkSession)))
     firsts = stage(rows.groupBy(place.alias("of")).agg(F.max("id").alias("id")), "fp-firsts")
     # One row a range: its end is followed by the first document of the next, the last by the first of all.

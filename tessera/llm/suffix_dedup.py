@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, pieces, release, stage, table, unstage, values
+from tessera.llm.common import broadcast_if_small, id_ranks, pieces, release, stage, table, unstage, values
 
 LENGTH, GRAM = 400, 145
 WORD = 6  # bytes that stand for a word
@@ -333,7 +333,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", gram: int
     if words:
         length, gram = words * WORD, words * WORD * GRAM // LENGTH
     zero = F.lit(0).cast("long")
-    texts = rows.select(zero.alias("of"), F.col("__row").alias("row"), F.col(key).cast("long").alias("doc"), zero.alias("at"), F.col("__body").alias("bytes"))
+    ranks, doc = id_ranks(rows, key, "__rank"), F.col(key).cast("long")
+    if ranks is not None:
+        ranks, doc = ranks.withColumnRenamed(key, "__own"), F.col("__rank")
+        rows = rows.join(ranks, F.col(key) == F.col("__own"), "left")
+    texts = rows.select(zero.alias("of"), F.col("__row").alias("row"), doc.alias("doc"), zero.alias("at"), F.col("__body").alias("bytes"))
     anchors = stage(_anchors(texts, length, gram, bool(words)), "lpf-anchors")
     order = F.struct(F.col("doc").isNull().alias("x"), F.col("doc"), F.col("row"), F.col("p"), F.col("before"), F.col("after"))
     found = []

@@ -66,3 +66,18 @@ def test_unequal_bytes_in_a_bucket_are_told_apart(spark, monkeypatch):
     assert got[1] == got[3] != got[2] and got[4] == got[5] and "-" in got[1] and "-" not in got[4]
     got = {r.doc_id: r.fingerprint for r in fp.compare_with_edits(frame(spark, rows)).collect()}
     assert got[1] == got[3] != got[2] and got[4] == got[5]
+
+
+def test_ids_of_any_type(spark):
+    """Text ids, of which none is a number: the next document is that of the next smaller id."""
+    rows = [(f"d{i:03d}", t) for i, t in ROWS if i is not None] + [(None, "last of all"), ("d001", "again")]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or ""), reverse=True)
+    got = fp.compare_with_edits(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    nexts = {i: n or "" for (i, _), (_, n) in zip(order, order[1:] + order[:1], strict=True)}
+    seen = {r.doc_id: r for r in got}
+    for i, t in rows:
+        if i not in ("d000", "d001", "d002", None):  # the order of rows that share an id is their texts'
+            t, n = t or "", nexts[i]
+            edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+            assert seen[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest(), i

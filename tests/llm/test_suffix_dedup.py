@@ -117,3 +117,10 @@ def test_previous_factors_match_brute_force():
         common = np.array([0] + [shared(i, j) for i, j in zip(order[:-1], order[1:], strict=True)], np.int64)[:n]
         got = dict(zip(order.tolist(), sd.previous_factors(order, common).tolist(), strict=True))
         assert got == {i: max((shared(i, j) for j in range(i)), default=0) for i in range(n)}
+
+
+def test_ids_of_any_type(spark):
+    same = "a passage that is here twice, and long enough. "
+    rows = spark.createDataFrame([("doc-b", same + "one"), ("doc-a", "two " + same), (None, same + "three")], "doc_id string, text string")
+    kept = {r.doc_id: r.text for r in sd.remove(rows, length=40, gram=13).collect()}
+    assert same in kept["doc-a"] and same not in kept["doc-b"] and same not in kept[None]
