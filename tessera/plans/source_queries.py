@@ -5,10 +5,10 @@ So each line takes the whole way: writing, cleaning, delimiter and header, cells
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import profile
+from tessera.operators import advice, fields, layout, profile
 from tessera.plans.process import Request, process, renamed
 from tessera.plans.queries import infer_sql, table
 from tessera.sources import csv_source, declared, json_source
@@ -216,6 +216,25 @@ def parquet_footers_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOOTER_SQL = """SELECT path, CAST(depth AS INTEGER) AS depth, data_type, is_array, path != 'customer' AS nullable, CASE path WHEN 'key' THEN 'the order' END AS description, CAST(precision AS INTEGER) AS precision, CAST(scale AS INTEGER) AS scale, (SELECT count(*) FROM orders) AS row_count
 FROM (VALUES ('key', 1, 'INTEGER', false, NULL, NULL), ('total', 1, 'DECIMAL', false, 14, 4), ('day', 1, 'STRING', false, NULL, NULL), ('customer', 1, 'RECORD', false, NULL, NULL), ('customer.id', 2, 'FLOAT', false, NULL, NULL), ('customer.states', 2, 'STRING', true, NULL, NULL)) AS v(path, depth, data_type, is_array, precision, scale)"""
 
+
+def layout_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as advised, a folder a day and sorted ranges of users, and read back; do a day's files hold ranges apart, and are few opened for a user?"""
+    rows, path = table(spark, sf_dir, "events"), shared_path(spark, "layout") + ".parquet"
+    counted = fields.declared_fields(spark, {"events": rows}).withColumn("row_count", F.lit(rows.count()))
+    advised = advice.partition_advice(counted, "raw").first().asDict()
+    layout.write_laid_out(rows, path, advised, ["user_id", "event_type"], files=48)
+    back = spark.read.parquet(path).groupBy("ts_date").agg(F.count(F.lit(1)).alias("n"), F.min("user_id").alias("least"), F.max("user_id").alias("most"), F.count_distinct("user_id", "event_type").alias("pairs"))
+    found = layout.ranges(spark, path, "user_id").withColumn("ts_date", F.regexp_extract("file", "ts_date=([^/]+)", 1).cast("date"))
+    after = F.lead("least").over(Window.partitionBy("ts_date").orderBy("least", "most"))
+    opened = layout.must_open(found, 40, 40).groupBy("ts_date").agg(F.count(F.lit(1)).alias("opened"))
+    files = found.withColumn("after", after).groupBy("ts_date").agg(F.bool_and(F.coalesce(F.col("most") <= F.col("after"), F.lit(True))).alias("apart"), F.count(F.lit(1)).alias("files"), F.sum("rows").alias("said"))
+    few = F.coalesce("opened", F.lit(0)) <= F.greatest(F.lit(2), F.col("files") / 2)
+    return back.join(files, "ts_date").join(opened, "ts_date", "left").select("ts_date", "n", "least", "most", "pairs", "said", "apart", few.alias("few"))
+
+
+LAYOUT_SQL = """SELECT CAST(ts AS DATE) AS ts_date, CAST(count(*) AS BIGINT) AS n, min(user_id) AS least, max(user_id) AS most, CAST(count(DISTINCT (user_id, event_type)) AS BIGINT) AS pairs, CAST(count(*) AS BIGINT) AS said, true AS apart, true AS few
+FROM events GROUP BY CAST(ts AS DATE)"""
+
 # --- inferred types --------------------------------------------------------------------------------
 
 FLAGS = {
@@ -293,6 +312,7 @@ QUERIES = {
     "json_record_fields": json_record_fields,
     "json_repeated_keys": json_repeated_keys,
     "json_blank_keys": json_blank_keys,
+    "layout_events": layout_events,
     "parquet_footers_orders": parquet_footers_orders,
     "infer_flags_and_numbers": inferred(FLAGS),
     "infer_times_and_dates": inferred(TIMES),
@@ -313,6 +333,7 @@ ORACLES = {
     "json_record_fields": JSON_FIELDS_SQL,
     "json_repeated_keys": JSON_REPEATED_SQL,
     "json_blank_keys": JSON_BLANK_SQL,
+    "layout_events": LAYOUT_SQL,
     "parquet_footers_orders": FOOTER_SQL,
     "infer_flags_and_numbers": inferred_sql(FLAGS),
     "infer_times_and_dates": inferred_sql(TIMES),

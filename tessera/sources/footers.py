@@ -167,16 +167,18 @@ def _opened(path: str, content: bytes | None):
     return files.open_input_file(place)
 
 
-def file_fields(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Rows of SHAPE: the fields that each file under a path declares, and how many rows it has."""
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, content)`` of the files under a path; without its content, where Python can seek, a file is listed and not read."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     scheme = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.substring_index("path", "/", -1)
     listed = listed.where((F.col("length") > 0) & ~name.startswith("_") & ~name.startswith("."))
-    # Without its content a file is listed, not read.
-    listed = listed.select("path", (F.lit(None).cast("binary") if scheme in SEEKABLE else F.col("content")).alias("content"))
+    return listed.select("path", (F.lit(None).cast("binary") if scheme in SEEKABLE else F.col("content")).alias("content"))
+
 
+def file_fields(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows of SHAPE: the fields that each file under a path declares, and how many rows it has."""
     def run(batches):
         for batch in batches:
             for file, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -186,7 +188,26 @@ def file_fields(spark: SparkSession, path: str, kind: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SHAPE.split(", ")])
 
     kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in SHAPE.split(", ")]
-    return listed.mapInArrow(run, SHAPE)
+    return _files(spark, path).mapInArrow(run, SHAPE)
+
+
+def column_ranges(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """``(file, rows, least, most)`` of a top-level column, in its own type, from the statistics in Parquet footers."""
+    kind = spark.read.parquet(path).schema[column].dataType
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _opened(file, content) as source:
+                    meta = pq.ParquetFile(source).metadata
+                    own = [meta.row_group(g).column(c).statistics for g in range(meta.num_row_groups) for c in range(meta.num_columns) if meta.row_group(g).column(c).path_in_schema == column]
+                    held = [s for s in own if s is not None and s.has_min_max]
+                    least, most = (min(s.min for s in held), max(s.max for s in held)) if held else (None, None)
+                    said = lambda v: None if v is None else v.isoformat() if hasattr(v, "isoformat") else str(v)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([meta.num_rows], pa.int64()), pa.array([said(least)], pa.string()), pa.array([said(most)], pa.string())], names=["file", "rows", "least", "most"])
+
+    found = _files(spark, path).mapInArrow(run, "file string, rows long, least string, most string")
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("least", "most")})
 
 
 def merged_fields(found: DataFrame, entity: str) -> DataFrame:
