@@ -172,12 +172,14 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER ((length(
 
 
 def row_width_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urls of pages as rows cut at slashes, of which most have five cells: the others, with what they lack or have over."""
-    url = F.col("url")
-    parts = F.split(url, "/", -1)
-    wide = F.size(parts)
-    return table(spark, sf_dir, "pages").where(url.isNotNull() & (wide != 5)).select(
-        "page_id", F.lit(5).alias("expected"), wide.alias("actual"), F.greatest(F.lit(0), 5 - wide).alias("missing"), F.array_join(F.slice(parts, F.lit(6), wide), "/").alias("extra_values"),
+    """Urls of pages written as lines cut at slashes and read as CSV, of which most have five cells: the others, with what they lack or have over."""
+    path = shared_path(spark, "urls") + ".csv"
+    header = "page_id/scheme/none/host/first/second"
+    lines = table(spark, sf_dir, "pages").where("url is not null").select(F.concat_ws("/", F.col("page_id").cast("string"), "url").alias(header))
+    lines.write.option("header", True).option("quote", "\x00").option("sep", "\x01").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    wrong = csv_source.read_csv(spark, path, "pages", mode="SPLIT", delimiter="/", header_mode="PRESENT").mismatches
+    return wrong.select(
+        F.split_part("line", F.lit("/"), F.lit(1)).cast("long").alias("page_id"), (F.col("expected") - 1).alias("expected"), (F.col("actual") - 1).alias("actual"), F.size("missing_columns").alias("missing"), F.array_join("extra_values", "/").alias("extra_values"),
     )
 
 

@@ -14,6 +14,7 @@ from tessera.plans.queries import infer_sql, table
 from tessera.sources import csv_source, declared, json_source
 from tessera.sources.detect import detect_format
 from tessera.sources.shared import shared_path
+from tessera.standards import METADATA_COLUMNS
 
 
 def written(lines: DataFrame, header: str) -> str:
@@ -289,6 +290,40 @@ FROM (VALUES (0, 'customer_id', 'INTEGER', 'NULLABLE'), (1, 'full_name', 'STRING
   (8, '_is_deleted', 'BOOLEAN', 'REQUIRED'), (9, '_deleted_timestamp', 'TIMESTAMP', 'REQUIRED'), (10, '_op_type', 'STRING', 'REQUIRED'), (11, '_op_ts', 'TIMESTAMP', 'REQUIRED')) AS v(ord, name, type, mode)"""
 
 
+def process_artifacts_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the files that a run makes of a CSV of orders under manual choices, and its audit row."""
+    audit = shared_path(spark, "audit")
+    request = Request(
+        written(_order_lines(spark, sf_dir), ORDER_HEADER), "orders", "sales", "dev", "raw", "gold", "Orders of the shop, one row each", csv={"header_mode": "PRESENT"}, user_id="tester", audit=audit,
+        partition_override={"column": "o_orderdate", "column_type": "DATE"}, cluster_override=["o_custkey", "o_orderstatus"], type_overrides={"o_custkey": "STRING"},
+    )
+    made = process(spark, request)["artifacts"]
+    files = spark.createDataFrame([(name, made[name]) for name in ("create_table.sql", "create_table_spark.sql", "schema.yaml")], "artifact string, text string")
+    run = spark.read.parquet(audit).select(F.lit("audit").alias("artifact"), F.concat_ws(" ", "user_id", "entity", "format", "policy", "decision", "status", F.col("version").cast("string")).alias("text"))
+    rows = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("read"))
+    return files.union(run).crossJoin(F.broadcast(rows))  # one row
+
+
+def _artifact_sql() -> str:
+    own = (("o_orderkey", "integer"), ("o_custkey", "string"), ("o_totalprice", "decimal"), ("o_orderdate", "date"), ("o_orderpriority", "string"), ("o_orderstatus", "string"))
+    said = [(n, "NUMERIC" if k == "decimal" else k.upper(), "NULLABLE", f"{n.replace('_', ' ').capitalize()} stored as {k} value. Nullable field.") for n, k in own] + list(METADATA_COLUMNS)
+    values = ", ".join(f"({i}, '{n}', '{k}', '{m}', '{d}')" for i, (n, k, m, d) in enumerate(said))
+    spark = "CASE kind WHEN 'INTEGER' THEN 'BIGINT' WHEN 'NUMERIC' THEN 'DECIMAL(38,9)' ELSE kind END"
+    required = "CASE mode WHEN 'REQUIRED' THEN ' NOT NULL' ELSE '' END"
+    lines = lambda text: f"string_agg({text}, ',' || chr(10) || '  ' ORDER BY ord)"
+    ddl = lines(f"'`' || name || '` ' || kind || {required} || ' OPTIONS(description=' || chr(34) || said || chr(34) || ')'")
+    own_ddl = lines(f"'`' || name || '` ' || {spark} || {required} || ' COMMENT ' || chr(39) || said || chr(39)")
+    return f"""WITH f(ord, name, kind, mode, said) AS (VALUES {values}), t AS (
+SELECT 'create_table.sql' AS artifact, 'CREATE SCHEMA IF NOT EXISTS `sales_dev_raw`' || chr(10) || 'OPTIONS(location=''US'');' || chr(10) || chr(10) || 'CREATE TABLE IF NOT EXISTS `sales_dev_raw.sales_orders_gold` (' || chr(10) || '  '
+  || {ddl} || chr(10) || ')' || chr(10) || 'PARTITION BY `o_orderdate`' || chr(10) || 'CLUSTER BY `o_custkey`, `o_orderstatus`' || chr(10)
+  || 'OPTIONS(' || chr(10) || '  description="Orders of the shop, one row each"' || chr(10) || ');' || chr(10) AS text FROM f
+UNION ALL SELECT 'create_table_spark.sql', 'CREATE TABLE IF NOT EXISTS `sales_dev_raw`.`sales_orders_gold` (' || chr(10) || '  ' || {own_ddl} || chr(10) || ') USING parquet' || chr(10)
+  || 'PARTITIONED BY (`o_orderdate`)' || chr(10) || 'CLUSTERED BY (`o_custkey`, `o_orderstatus`) SORTED BY (`o_custkey`, `o_orderstatus`) INTO 64 BUCKETS' || chr(10) || 'COMMENT ' || chr(39) || 'Orders of the shop, one row each' || chr(39) || ';' || chr(10) FROM f
+UNION ALL SELECT 'schema.yaml', string_agg('- name: ' || name || chr(10) || '  type: ' || kind || chr(10) || '  mode: ' || mode || chr(10) || '  description: ' || CASE WHEN contains(said, ': ') THEN chr(39) || said || chr(39) ELSE said END || chr(10), '' ORDER BY ord) FROM f
+UNION ALL SELECT 'audit', 'tester orders csv WARN CREATE SUCCESS 1')
+SELECT *, (SELECT count(*) FROM orders) AS read FROM t"""
+
+
 def rename_map_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw and final names of the columns of a CSV of orders, with the values they hold."""
     read = csv_source.read_csv(spark, written(_order_lines(spark, sf_dir), "order,orderDate,Total Price,total-price,from,2nd Status"), "orders", header_mode="PRESENT")
@@ -318,6 +353,7 @@ QUERIES = {
     "infer_times_and_dates": inferred(TIMES),
     "infer_shapes_and_ranges": inferred(SHAPES),
     "process_customer_csv": process_customer_csv,
+    "process_artifacts_orders": process_artifacts_orders,
     "rename_map_orders": rename_map_orders,
 }
 
@@ -339,5 +375,6 @@ ORACLES = {
     "infer_times_and_dates": inferred_sql(TIMES),
     "infer_shapes_and_ranges": inferred_sql(SHAPES),
     "process_customer_csv": PROCESS_SQL,
+    "process_artifacts_orders": _artifact_sql(),
     "rename_map_orders": RENAME_SQL,
 }
