@@ -70,7 +70,7 @@ def read_fields(spark: SparkSession, request: Request) -> tuple[str, DataFrame,
     kind = detect_format(spark, request.path)
     if kind == "csv":
         table = csv_source.read_csv(spark, request.path, request.entity, sample=request.sample, **request.csv)
-        bad = [] if request.confirm_malformed else [r.asDict() for r in table.mismatches.orderBy("row_number").limit(1).collect()]
+        bad = [] if request.confirm_malformed or not table.uneven else [r.asDict() for r in table.mismatches.orderBy("row_number").limit(1).collect()]
         if bad:
             return kind, None, None, bad
         return kind, csv_source.csv_fields(table, request.entity, request.confirm_malformed, request.type_overrides), None, []

@@ -1,7 +1,7 @@
 """CSV as lines: cleaning, sniffing, checks of width and quotes, and rows of text.
 
 Only the first lines come to the driver, to find delimiter and header; all else is expressions
-over the distributed lines. ``sample`` limits reading to the first lines, as a quick look does.
+over the distributed lines, in two passes: one checks, one reads. ``sample`` limits reading to the first lines, as a quick look does.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import predicates as P
 from tessera.operators.fields import inferred_fields
+from tessera.sources.shared import shared_path
 from tessera.standards import OVERRIDE_TYPES
 
 DELIMITERS, FALLBACK = ",;\t|", ";,\t|"
@@ -28,6 +29,7 @@ class CsvTable:
     mismatches: DataFrame
     delimiter: str | None
     warning: str | None = None
+    uneven: int = 0  # lines that are not as wide as the header
 
 
 def clean_lines(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
@@ -92,21 +94,35 @@ def with_place(lines: DataFrame) -> DataFrame:
     return lines.withColumn("place", F.monotonically_increasing_id())
 
 
-def without_headers(placed: DataFrame, header: str) -> DataFrame:
+def checked(placed: DataFrame, delimiter: str | None, names: int) -> DataFrame:
+    """A row for each file and partition: how many lines, the first, the first with odd quotes, and how many are not ``names`` cells wide.
+
+    One pass over the lines does all checks; its few rows are kept in the shared folder for numbers and headers.
+    """
+    wrong = (width(F.col("line"), delimiter) != names) if delimiter else F.lit(False)
+    rows = placed.groupBy("file", F.shiftright("place", 33).alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("start", "place", "line")).alias("first"), F.min(F.when(unbalanced_quotes(F.col("line")), F.struct("place", "line"))).alias("odd"), F.count_if(wrong).alias("uneven"),
+    )
+    path = shared_path(placed.sparkSession, "csv-checks")
+    rows.write.parquet(path)
+    return placed.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _small(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def without_headers(placed: DataFrame, checks: DataFrame, header: str) -> DataFrame:
     """``placed`` without the first line of each file, where that is the header; other lines like it are data."""
-    first = F.min(F.struct("start", "place", "line")).alias("first")
-    # One row a file.
-    tops = placed.groupBy("file").agg(first).where(F.col("first.line") == header).select("file", F.col("first.place").alias("place"))
-    return placed.join(tops, ["file", "place"], "left_anti")
+    tops = checks.groupBy("file").agg(F.min("first").alias("first")).where(F.col("first.line") == header).select("file", F.col("first.place").alias("place"))
+    return placed.join(_small(tops), ["file", "place"], "left_anti")
 
 
-def numbered(placed: DataFrame) -> DataFrame:
-    """``placed`` with ``row_number`` from 1 over all lines; a small table holds how many lines each partition has."""
-    part = F.shiftright("place", 33)
-    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+def numbered(placed: DataFrame, checks: DataFrame) -> DataFrame:
+    """``placed`` with ``row_number`` from 1 over all lines: places within partitions, and how many lines are in those before."""
+    counts = checks.groupBy("part").agg(F.sum("n").alias("n"))
     before = counts.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
-    # One row a partition.
-    joined = placed.withColumn("part", part).join(F.broadcast(before), "part")
+    joined = placed.withColumn("part", F.shiftright("place", 33)).join(_small(before), "part")  # one row a partition
     return joined.withColumn("row_number", F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("part", "before")
 
 
@@ -125,9 +141,6 @@ def read_csv(spark: SparkSession, path: str, entity: str, mode: str = "AUTO", de
     lines = clean_lines(spark, path, sample)
     if remove_quotes:
         lines = lines.withColumn("line", F.regexp_replace("line", '^\\s*"(.*)"\\s*$', "$1"))
-    odd = lines.where(unbalanced_quotes(F.col("line"))).first()
-    if odd:
-        raise ValueError(f"unbalanced quotes: {odd.line[:200]}")
     head = [r.line for r in lines.take(HEAD)]
     if not head:
         raise ValueError(f"{path} has no lines")
@@ -142,19 +155,23 @@ def read_csv(spark: SparkSession, path: str, entity: str, mode: str = "AUTO", de
     unique = [f"{n}#{i}" if names.index(n) != i else n for i, n in enumerate(names)]
     warning = "POTENTIAL_MALFORMED_HEADER" if len(names) == 1 and re.search(r"[,;\t| ]", names[0]) else None
     placed = with_place(lines)
-    body = without_headers(placed, head[0])
+    checks = checked(placed, sep, len(names))
+    found = checks.agg(F.min("odd").alias("odd"), F.sum("uneven").alias("uneven")).first()
+    if found.odd:
+        raise ValueError(f"unbalanced quotes: {found.odd.line[:200]}")
+    body = without_headers(placed, checks, head[0])
     if sep is None:
         return CsvTable(unique, body.select(F.col("line").alias(unique[0])), body.limit(0), None, warning)
     rows = body.select(F.from_csv("line", ", ".join(f"`{n}` STRING" for n in unique), {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}).alias("r")).select("r.*")
     odd_width = width(F.col("line"), sep) != len(names)
     parts = cells_of(F.col("line"), sep)
-    wrong = numbered(placed).where(odd_width & (F.col("row_number") > 1)).select(
+    wrong = numbered(placed, checks).where(odd_width & (F.col("row_number") > 1)).select(
         "row_number", "line", F.lit(len(names)).alias("expected"), F.size(parts).alias("actual"),
         F.slice(F.array(*map(F.lit, names)), F.size(parts) + 1, F.lit(len(names))).alias("missing_columns"),
         F.slice(parts, len(names) + 1, F.greatest(F.size(parts), F.lit(1))).alias("extra_values"),
         F.map_from_arrays(F.array(*map(F.lit, unique)), F.transform(F.sequence(F.lit(1), F.lit(len(names))), lambda i: F.coalesce(F.try_element_at(parts, i), F.lit("<MISSING>")))).alias("mapped_preview"),
     )
-    return CsvTable(unique, rows, wrong, sep, warning)
+    return CsvTable(unique, rows, wrong, sep, warning, found.uneven)
 
 
 def csv_fields(table: CsvTable, entity: str, confirmed: bool = False, overrides: dict[str, str] | None = None) -> DataFrame:
@@ -163,7 +180,7 @@ def csv_fields(table: CsvTable, entity: str, confirmed: bool = False, overrides:
         if kind.upper() not in OVERRIDE_TYPES:
             raise ValueError(f"{name}: {kind} cannot be set")
     fields = inferred_fields(entity, table.rows)
-    bad = table.mismatches.orderBy("row_number").first() if confirmed else None
+    bad = table.mismatches.orderBy("row_number").first() if confirmed and table.uneven else None
     if bad and bad.missing_columns:
         missing = F.col("name").isin(*bad.missing_columns)
         fields = fields.withColumns({"data_type": F.when(missing, "STRING").otherwise(F.col("data_type")), "nullable": F.col("nullable") & ~missing})
