@@ -108,3 +108,20 @@ def test_no_text_is_shuffled_and_states_unite(spark):
         assert abs(whole[name]["n_distinct"] - r["n_distinct"]) <= 0.08 * r["n_distinct"]
         loose = ("n_distinct", "distinct_ratio")
         assert {k: x for k, x in r.items() if k not in loose} == {k: x for k, x in whole[name].items() if k not in loose}
+
+
+def test_generated_code_agrees(spark):
+    """The suite runs without code generation; profiles are the same with it."""
+    rows = spark.createDataFrame([(v, v[::-1]) for v in EDGES + MIXED], "a string, b string")
+    plain = sorted(map(str, profile(rows).collect()))
+    names = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "CODEGEN_ONLY"}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        made = profile(rows)
+        assert "*(1)" in made._jdf.queryExecution().executedPlan().toString() or made.count() == 2
+        assert sorted(map(str, made.collect())) == plain
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
