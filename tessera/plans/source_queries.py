@@ -203,6 +203,27 @@ JSON_BLANK_SQL = """WITH c AS (SELECT 'id' AS name, CAST(event_id AS VARCHAR) AS
 SELECT name, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT v) AS BIGINT) AS d, min(v) AS least FROM c GROUP BY name"""
 
 
+def json_mixed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields and leaves of keys that hold records, lists and scalars by turns, of keys with points, and of keys that differ in case only."""
+    kind = F.col("o_orderstatus")
+    number = F.col("o_orderkey").cast("string")
+    mixed = F.when(kind == "F", F.concat(F.lit('{"k": "'), number, F.lit('"}'))).when(kind == "O", F.lit('["x"]')).otherwise(number)
+    maybe = F.when(kind == "F", F.concat(F.lit('{"in": ['), number, F.lit('.50]}'))).otherwise("null")
+    parts = (F.lit('{"Id": '), number, F.lit(', "id": "b", "mixed": '), mixed, F.lit(', "maybe": '), maybe, F.lit(', "each": [{"k": 1}, "y"], "a.b": {"c.d": true}, "none": [], "sub": {"x": [[{"y": '), number, F.lit("}], []]}}"))
+    df = _json(spark, table(spark, sf_dir, "orders").select(F.concat(*parts).alias("value")))
+    leaves = json_source.leaf_cells(df).groupBy(F.col("name").alias("path")).agg(F.count(F.lit(1)).alias("leaves"), F.count_distinct("v").alias("texts"), F.min("v").alias("least"))
+    return json_source.json_fields("orders", df).select("path", "depth", "data_type", "is_array").join(leaves, "path", "left")
+
+
+JSON_MIXED_SQL = """WITH o AS (SELECT o_orderstatus AS s, CAST(o_orderkey AS VARCHAR) AS k FROM orders), leaf AS (SELECT 'Id' AS path, k AS v FROM o UNION ALL SELECT 'id_2', 'b' FROM o
+  UNION ALL SELECT 'mixed', CASE s WHEN 'F' THEN '{"k":"' || k || '"}' WHEN 'O' THEN '["x"]' ELSE k END FROM o UNION ALL SELECT 'maybe.in', k || '.50' FROM o WHERE s = 'F'
+  UNION ALL SELECT 'each', unnest(['{"k":"1"}', 'y']) FROM o UNION ALL SELECT 'a.b.c.d', 'true' FROM o UNION ALL SELECT 'sub.x.y', k FROM o),
+kinds(path, depth, data_type, is_array) AS (VALUES ('Id', 1, 'INTEGER', false), ('id_2', 1, 'STRING', false), ('mixed', 1, 'STRING', false), ('maybe', 1, 'RECORD', false), ('maybe.in', 2, 'DECIMAL', true),
+  ('each', 1, 'STRING', true), ('a.b', 1, 'RECORD', false), ('a.b.c.d', 2, 'BOOLEAN', false), ('none', 1, 'STRING', true), ('sub', 1, 'RECORD', false), ('sub.x', 2, 'RECORD', true), ('sub.x.y', 3, 'INTEGER', false))
+SELECT kinds.path, CAST(depth AS INTEGER) AS depth, data_type, is_array, leaves, texts, least FROM kinds
+LEFT JOIN (SELECT path, CAST(count(*) AS BIGINT) AS leaves, CAST(count(DISTINCT v) AS BIGINT) AS texts, min(v) AS least FROM leaf GROUP BY path) l ON l.path = kinds.path"""
+
+
 def parquet_footers_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of files whose writers declare different types, from their footers: numbers widen, others become text, what some lack may be null."""
     rows, path = table(spark, sf_dir, "orders"), shared_path(spark, "footers") + ".parquet"
@@ -347,6 +368,7 @@ QUERIES = {
     "json_record_fields": json_record_fields,
     "json_repeated_keys": json_repeated_keys,
     "json_blank_keys": json_blank_keys,
+    "json_mixed_shapes": json_mixed_shapes,
     "layout_events": layout_events,
     "parquet_footers_orders": parquet_footers_orders,
     "infer_flags_and_numbers": inferred(FLAGS),
@@ -369,6 +391,7 @@ ORACLES = {
     "json_record_fields": JSON_FIELDS_SQL,
     "json_repeated_keys": JSON_REPEATED_SQL,
     "json_blank_keys": JSON_BLANK_SQL,
+    "json_mixed_shapes": JSON_MIXED_SQL,
     "layout_events": LAYOUT_SQL,
     "parquet_footers_orders": FOOTER_SQL,
     "infer_flags_and_numbers": inferred_sql(FLAGS),

@@ -137,6 +137,28 @@ def test_json(spark, tmp_path):
     assert many.count() == 2
 
 
+def test_json_shapes_over_all_records(spark, tmp_path):
+    text = (
+        '{"n": 1.50, "s": "x -5, \\" 6", "m": {"a": [1]}, "l": [[-2e3], []], "o": {}, "e": []}\n{"n": -0, "m": [true], "l": [[7]], "k": 1, "K": {"t": null}}\n'
+        '{"n": 01}\n[1]\n5\n{"n": 2, "n": 3}\n'
+    )
+    df = json_source.read_json(spark, str(put(tmp_path, "a.jsonl", text)))
+    assert df.schema.simpleString() == "struct<K:struct<t:string>,e:array<string>,k_2:string,l:array<array<string>>,m:string,n:string,n_2:string,o:struct<>,s:string>"
+    got = sorted((r.n, r.n_2, r.s, r.m, r.l, r.k_2) for r in df.collect())
+    assert got == [("-0", None, None, "[true]", [["7"]], "1"), ("1.50", None, 'x -5, " 6', '{"a":["1"]}', [["-2e3"], []], None), ("2", "3", None, None, None, None)]
+    with pytest.raises(ValueError, match="no fields"):
+        json_source.read_json(spark, str(put(tmp_path, "b.json", "[1, 2]")))
+
+
+def test_json_leaves_of_lists_in_lists(spark, tmp_path):
+    text = '{"a": [[{"b": [1, 2]}, {"b": null}], null, [{"b": [3]}, null]], "c": [[4], null, [[5]]]}\n{"a": null}\n{"a": [{"b": 6}]}\n{"d": [{"e": null}, {"e": [{"f": 7}]}]}\n'
+    found = lambda t: sorted((r.name, r.v) for r in json_source.leaf_cells(json_source.read_json(spark, str(put(tmp_path, "a.jsonl", t)))).where("v IS NOT NULL").collect())
+    lines = text.splitlines(True)
+    assert found(lines[0]) == [("a.b", "1"), ("a.b", "2"), ("a.b", "3"), ("c", "4"), ("c", '["5"]')]
+    assert found(lines[3]) == [("d.e.f", "7")]
+    assert found(text)[:3] == [("a", '[{"b":["1","2"]},{"b":null}]'), ("a", '[{"b":["3"]},null]'), ("a", '{"b":"6"}')]  # lists and records under one name are text
+
+
 def test_parquet(spark, tmp_path):
     schema = pa.schema([("id", pa.int64()), ("amt", pa.decimal128(12, 2)), ("big", pa.decimal128(38, 12)), ("f", pa.float32()), ("b", pa.bool_()), ("raw", pa.binary()), ("ts", pa.timestamp("us", "UTC")), ("d", pa.date32()),
                         ("st", pa.struct([("x", pa.int32()), ("y", pa.string())])), ("arr", pa.list_(pa.int32())), ("recs", pa.list_(pa.struct([("k", pa.string())]))), ("m", pa.map_(pa.string(), pa.int32()))])
