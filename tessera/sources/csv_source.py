@@ -61,6 +61,8 @@ def has_header(head: list[str], delimiter: str | None, mode: str = "AUTO") -> bo
     first = next(csv.reader(head[:1], delimiter=delimiter)) if delimiter else head[:1]
     if mode == "PRESENT":
         return True
+    if mode not in ("AUTO", "ABSENT"):
+        raise ValueError(f"unknown header mode {mode}")
     if mode == "ABSENT":
         return looks_like_header(first)
     try:
@@ -140,7 +142,8 @@ def read_csv(spark: SparkSession, path: str, entity: str, mode: str = "AUTO", de
     """Rows of text of a CSV file. ``mode``: AUTO, SPLIT (with ``delimiter``) or SINGLE (a line is one cell)."""
     lines = clean_lines(spark, path, sample)
     if remove_quotes:
-        lines = lines.withColumn("line", F.regexp_replace("line", '^\\s*"(.*)"\\s*$', "$1"))
+        wrapped = F.regexp_extract("line", '^\\s*"(.*)"\\s*$', 1)
+        lines = lines.withColumn("line", F.when(F.col("line").rlike('^\\s*".*"\\s*$'), F.replace(wrapped, F.lit('""'), F.lit('"'))).otherwise(F.trim("line")))
     head = [r.line for r in lines.take(HEAD)]
     if not head:
         raise ValueError(f"{path} has no lines")

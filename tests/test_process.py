@@ -59,6 +59,10 @@ def test_csv_structure(spark, tmp_path):
         csv_source.read_csv(spark, str(put(tmp_path, "d.csv", "1,2,3\n4,5,6\n")), "e", header_mode="ABSENT")
     wrapped = csv_source.read_csv(spark, str(put(tmp_path, "e.csv", '"a,b"\n"1,2"\n')), "e", remove_quotes=True, header_mode="PRESENT")
     assert wrapped.names == ["a", "b"] and wrapped.rows.first().asDict() == {"a": "1", "b": "2"}
+    doubled = csv_source.read_csv(spark, str(put(tmp_path, "f.csv", '"a,b"\n"1,""x, y"""\n')), "e", remove_quotes=True, header_mode="PRESENT")
+    assert doubled.rows.first().asDict() == {"a": "1", "b": "x, y"}
+    with pytest.raises(ValueError, match="header mode"):
+        csv_source.read_csv(spark, short, "e", header_mode="MAYBE")
     with pytest.raises(ValueError, match="cannot be set"):
         csv_source.csv_fields(table, "e", overrides={"a": "GEOGRAPHY"})
     assert {r["name"]: r.data_type for r in csv_source.csv_fields(table, "e", overrides={"A": "STRING"}).collect()}["a"] == "STRING"

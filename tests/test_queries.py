@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import nested_queries, queries, rule_queries, source_queries
+from tessera.plans import nested_queries, queries, rule_queries, run_queries, source_queries
 
-PARTS = (queries, source_queries, rule_queries, nested_queries)
+PARTS = (queries, source_queries, rule_queries, nested_queries, run_queries)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
 
