@@ -4,12 +4,12 @@ Rules are ``(verdict, host + path)``. A rule fits its host and all subdomains wh
 path starts with the rule's path; the longest fitting rule decides (of equal length: allow).
 
 Pages that no rule fits take the decision of their alias group. Groups are the connected
-components of redirect and canonical-link edges: canonical links and meta refreshes in the html, a redirect
-log where there is one, and each url's own canonical form (https, without tracking parameters), to which
-sites redirect. One explicitly allowed member makes the group allowed; else one blocked member makes it
+components of redirect and canonical-link edges: canonical links and meta refreshes in the html, and a redirect
+log where there is one. An edge's ends are canonical forms (https, without tracking parameters), to which
+sites redirect, so a link to one form of a url meets all its others. One explicitly allowed member makes the group allowed; else one blocked member makes it
 blocked; else, and for pages with no alias, the verdict is allow.
 
-Urls are nodes without their fragment, with scheme and host in lower case.
+Urls are nodes without their fragment, with scheme and host in lower case; a form has its url's host and path, so the same rule.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
 has no alias; null or empty html has no link, html of any length is read whole; repeated rows are judged row by
@@ -92,7 +92,7 @@ def _absolute(base: Column, link: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(a, b)``: each page's node, and the targets of its canonical links and meta refreshes, and its canonical form."""
+    """``(a, b)``: the forms of each page's node, and of the targets of its canonical links and meta refreshes."""
     text = F.col(html)
 
     def targets(word: str, tag: str, attribute: str) -> Column:
@@ -101,7 +101,7 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 
     here = pages.where(F.col(url).contains("://")).select(node_of(F.col(url)).alias("a"), F.concat(targets("canonical", _CANONICAL, _HREF), targets("http-equiv", _REFRESH, _REFRESH_URL)).alias("links"))
     linked = here.select("a", F.explode("links").alias("link")).where("link != ''").select("a", node_of(_absolute(F.col("a"), F.col("link"))).alias("b"))
-    return linked.unionByName(here.select("a", canonical_form(F.col("a")).alias("b"))).where("a != b")
+    return linked.select(*(canonical_form(F.col(c)).alias(c) for c in ("a", "b"))).where("a != b")
 
 
 def judge_urls(
@@ -114,8 +114,8 @@ def judge_urls(
     """
     edges = alias_edges(pages, url, html)
     if redirects is not None:
-        clean = [node_of(F.col(c)).alias(c) for c in ("a", "b")]
-        edges = edges.unionByName(redirects.select(*clean))
+        clean = [canonical_form(node_of(F.col(c))).alias(c) for c in ("a", "b")]
+        edges = edges.unionByName(redirects.select(*clean).where("a != b"))
     members = connected_components(edges)
     own = rule_for(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]
     groups = stage(
@@ -126,7 +126,7 @@ def judge_urls(
     )
     alias = stage(members.join(groups, "component").select("node", "component", "group_verdict"), "url-alias")
     found = pages.select(
-        F.col(key), node_of(F.col(url)).alias("node"),
+        F.col(key), canonical_form(node_of(F.col(url))).alias("node"),
         host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"),
     ).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
     return found.join(alias, "node", "left").select(
@@ -162,7 +162,7 @@ def _node_sql(u: str) -> str:
 _FORM_SQL = """regexp_replace(CASE WHEN contains(node, 'utm_') THEN regexp_replace(replace(regexp_replace(regexp_replace(node, '([?&])utm_[^&]*', '\\1', 'g'), '&+', '&', 'g'), '?&', '?'), '[?&]$', '') ELSE node END, '^http://', 'https://')"""
 
 ORACLE_SQL = rf"""
-WITH RECURSIVE p AS (SELECT page_id, {_node_sql('url')} AS node, html, {_SQL_PARTS.format(u='url')} FROM pages),
+WITH RECURSIVE p AS (SELECT *, {_FORM_SQL} AS form FROM (SELECT page_id, {_node_sql('url')} AS node, html, {_SQL_PARTS.format(u='url')} FROM pages)),
 tags AS (
   SELECT node AS a, unnest(list_concat(
     list_transform(regexp_extract_all(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), lambda t: regexp_extract(t, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is')),
@@ -176,7 +176,7 @@ links AS (
     WHEN ends_with(regexp_extract(a, '^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1, 's'), '/') THEN regexp_extract(a, '^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1, 's') || link
     ELSE regexp_extract(a, '^(.*?://[^/?#]*)', 1, 's') || '/' || link END, '#.*$', '', 's') AS b
   FROM tags WHERE link != ''),
-edges AS (SELECT a, {_node_sql('b')} AS b FROM links UNION SELECT node, {_FORM_SQL} FROM p WHERE node LIKE '%://%'),
+edges AS (SELECT {_FORM_SQL.replace('node', 'a')} AS a, {_FORM_SQL.replace('node', 'b')} AS b FROM (SELECT a, {_node_sql('b')} AS b FROM links)),
 sym AS (SELECT a, b FROM edges WHERE a != b UNION SELECT b, a FROM edges WHERE a != b),
 reach AS (SELECT a AS node, a AS other FROM sym UNION SELECT r.node, s.b FROM reach r JOIN sym s ON r.other = s.a),
 alias AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
@@ -187,5 +187,5 @@ groups AS (
   FROM nodes n LEFT JOIN node_fit f USING (node) GROUP BY 1),
 fit AS ({_fit('(SELECT DISTINCT host, path FROM p)', 's.host, s.path')})
 SELECT p.page_id, p.host, p.path, fit.rule AS rule, coalesce(fit.verdict, g.group_verdict, 'allow') AS verdict, a.component AS alias_group
-FROM p LEFT JOIN fit ON fit.host = p.host AND fit.path = p.path LEFT JOIN alias a ON a.node = p.node LEFT JOIN groups g ON g.component = a.component
+FROM p LEFT JOIN fit ON fit.host = p.host AND fit.path = p.path LEFT JOIN alias a ON a.node = p.form LEFT JOIN groups g ON g.component = a.component
 """

@@ -66,7 +66,28 @@ def test_mixed_case_canonical_links_match_sql(spark):
     assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "allow"}
 
 
-def test_query_has_alias_groups(spark):
-    """The given pages hold no link, but forms of the same url: their groups are not empty."""
-    got = url_filter.op1_url_redirects(spark, "/root/testdata/sf0.01")
-    assert got.where("alias_group is not null").count() > 50
+def test_forms_meet_links_only(spark):
+    rows = [
+        (1, "http://x.com/a?utm_source=mail", link("http://bad.net/1"), "", ""), (2, "https://x.com/a", "", "", ""), (3, "http://x.com/a", "", "", ""), (4, "http://x.com/b", "", "", ""), (5, "https://x.com/b", "", "", ""),
+        (6, "http://y.com/c", link("http://x.com/a?utm_medium=1"), "", ""),
+    ]
+    got = {r.page_id: (r.verdict, r.alias_group) for r in url_filter.judge_urls(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {got[i] for i in (1, 2, 3, 6)} == {("block", "https://bad.net/1")}
+    assert got[4] == got[5] == ("allow", None)  # forms of one url alone change nothing
+
+
+def test_registered_query_with_links_and_a_log(spark, tmp_path):
+    """The given pages hold no link: the registered function over a table that does, and the operator with a log of redirects between given pages."""
+    pages = [(1, "http://x.com/", link("http://bad.net/1")), (2, "https://x.com/?utm_a=1", None), (3, "http://z.com/", link("http://x.com")), (4, "http://bad.net/1", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in url_filter.op1_url_redirects(spark, str(tmp_path)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block"}  # http://x.com and http://x.com/ are two nodes
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("url like '%://%'").select("page_id", "url", "html")
+    plain = url_filter.judge_urls(given)
+    blocked = plain.where("verdict = 'block'").join(given, "page_id").select("url").orderBy("page_id").limit(1)
+    free = plain.where("rule is null").join(given, "page_id").select("page_id", "url").orderBy("page_id").limit(20)
+    log = free.select(F.col("url").alias("a")).crossJoin(blocked.select(F.col("url").alias("b")))
+    judged = {r.page_id: r.verdict for r in url_filter.judge_urls(given, redirects=log).collect()}
+    before = {r.page_id: r.verdict for r in plain.collect()}
+    moved = {i for i in judged if judged[i] != before[i]}
+    assert {r.page_id for r in free.collect()} <= moved and {judged[i] for i in moved} == {"block"}
