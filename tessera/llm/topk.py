@@ -31,6 +31,7 @@ from tessera.llm.common import broadcast_if_small, stage, table, unstage
 
 CANDIDATES, QUERIES_A_BLOCK, LEAD = 4096, 512, 24
 ROTATED, STEPS = 16, 4  # numbers of components with a rotation; levels of length in each doubling
+BLOCKS_A_SLOT = 4096  # candidate blocks of one level that are met under one key
 
 
 def quantised(vectors: DataFrame, is_query: Column, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -85,8 +86,21 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def narrowed(m: np.ndarray) -> np.ndarray:
+    """The same integers in the narrowest of 2, 4 and 8 bytes that holds them all."""
+    least, most = int(m.min()), int(m.max())
+    kind = next((k for k in (np.int16, np.int32) if np.iinfo(k).min <= least and most <= np.iinfo(k).max), np.int64)
+    return np.ascontiguousarray(m, kind)
+
+
+def _unpacked(ids: bytes, vectors: bytes, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors of a block; how wide its integers are follows from their bytes."""
+    names = np.frombuffer(ids, np.int64)
+    return names, np.frombuffer(vectors, f"i{len(vectors) // (len(names) * d)}").reshape(-1, d).astype(np.int64)
+
+
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows packed into blocks of about ``size``, of descending length: ``(name, n, longest, ids, vectors)``."""
+    """Rows packed into blocks of about ``size``, of descending length: ``(name, longest, d, ids, vectors)``, with integers as narrow as each block allows."""
     n = rows.count()
     spread = max(1, -(-n // size))
     dealt = rows.repartitionByRange(spread, "d", F.desc("norm"), "id").sortWithinPartitions("d", F.desc("norm"), "id")
@@ -100,7 +114,7 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
                 own = np.ascontiguousarray(m[at : at + size])
                 longest = float(np.sqrt((own[0].astype(np.float64) ** 2).sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([longest]), pa.array([own.shape[1]], pa.int32()), pa.array([i[at : at + size].tobytes()], pa.binary()), pa.array([own.tobytes()], pa.binary())],
+                    [pa.array([longest]), pa.array([own.shape[1]], pa.int32()), pa.array([i[at : at + size].tobytes()], pa.binary()), pa.array([narrowed(own).tobytes()], pa.binary())],
                     names=["longest", "d", "ids", "vectors"],
                 )
 
@@ -174,8 +188,7 @@ def _search(pairs: DataFrame, turns: dict, k: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 d = row["d"]
-                q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-                q, c = (np.frombuffer(row[x], np.int64).reshape(-1, d) for x in ("q_vectors", "c_vectors"))
+                (q_ids, q), (c_ids, c) = (_unpacked(row[f"{x}_ids"], row[f"{x}_vectors"], d) for x in "qc")
                 floor = None
                 if row["floors"]:
                     at = dict(zip((f["id"] for f in row["floors"]), (f["floor"] for f in row["floors"]), strict=True))
@@ -210,16 +223,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, ke
     # At most the queries of a block.
     floors = floors.groupBy("qb").agg(F.collect_list(F.struct(F.col("query_id").alias("id"), "floor")).alias("floors"), F.min("floor").alias("lowest"), F.count(F.lit(1)).alias("known"))
     floors = stage(floors, "topk-floors")
-    # Blocks meet by level of length, of which there are a few hundred, from the least that could still matter on.
+    # Blocks meet by level of length, of which there are a few hundred, from the least that could still matter on. Where
+    # vectors are of one length, that level's blocks are dealt to slots, each of which meets the query blocks.
     level = lambda x: F.floor(F.log2(F.greatest(x, F.lit(1.0))) * STEPS).cast("int")
     sizes = q.select("qb", "d", "q_longest", (F.length("q_ids") / 8).cast("long").alias("held")).join(floors.select("qb", "lowest", "known"), "qb", "left")
     every = F.col("known").isNull() | (F.col("known") < F.col("held")) | (F.col("lowest") <= 0) | (F.col("q_longest") <= 0)
     sizes = sizes.withColumn("every", every).withColumn("from", F.when(every, 0).otherwise(F.greatest(F.lit(0), level(F.col("lowest") / F.col("q_longest")) - 1)))
     ends = c.agg(F.max(level(F.col("c_longest")))).first()[0] or 0
-    asking = sizes.where(F.col("from") <= ends).select("*", F.explode(F.sequence("from", F.lit(ends))).alias("level"))
     met = F.col("every") | (F.col("q_longest") * F.col("c_longest") * (1 + 1e-9) + 1e-6 >= F.col("lowest"))
     others = c.join(broadcast_if_small(heads), ["d", "cb"], "left_anti").select("cb", "d", "c_longest", level(F.col("c_longest")).alias("level"))
-    pairs = stage(asking.join(others, ["d", "level"]).where(met).select("qb", "cb"), "topk-pairs")
+    slots = max(1, -(-c.count() // BLOCKS_A_SLOT))
+    others = others.withColumn("slot", F.pmod(F.xxhash64("cb"), F.lit(slots)).cast("int"))
+    asking = sizes.where(F.col("from") <= ends).select("*", F.explode(F.sequence("from", F.lit(ends))).alias("level")).select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    pairs = stage(asking.join(others, ["d", "level", "slot"]).where(met).select("qb", "cb"), "topk-pairs")
     asked_blocks = q.select("qb", "q_ids", "q_vectors").join(floors.select("qb", "floors"), "qb", "left")
     rest = _search(pairs.join(asked_blocks, "qb").join(c, "cb"), turns, k)
     out = first.union(rest).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)

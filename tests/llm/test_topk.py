@@ -61,3 +61,21 @@ def test_sql_states_the_same():
     rows = vectors(410)
     con.executemany("insert into embeddings values (?, ?)", rows)
     assert sorted(con.execute(topk.ORACLE_SQL).fetchall()) == brute(rows)
+
+
+def test_one_length_is_dealt_to_slots(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCKS_A_SLOT", 3)
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(600, 8))
+    m /= np.sqrt((m**2).sum(axis=1))[:, None]
+    rows = [(int(i), list(map(float, v))) for i, v in enumerate(m.astype(np.float32))]
+    got = topk.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0, candidates=32, queries=4)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_blocks_keep_integers_narrow():
+    for top, width in ((2**15 - 1, 2), (2**15, 4), (2**31 - 1, 4), (2**31, 8), (2**63 - 1, 8)):
+        for m in (np.array([[top, -1], [0, 3]], np.int64), np.array([[-top - 1, 5], [0, 3]], np.int64)):
+            small = topk.narrowed(m)
+            ids, back = topk._unpacked(np.arange(2, dtype=np.int64).tobytes(), small.tobytes(), 2)
+            assert small.dtype.itemsize == width and back.dtype == np.int64 and (back == m).all() and list(ids) == [0, 1]
