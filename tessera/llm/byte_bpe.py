@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import pieces, table, values
+from tessera.llm.common import hold, pieces, table, values
 
 MAX_STATES = 100_000
 MAX_FITS = 250_000
@@ -225,6 +225,7 @@ def codec(raw: bytes, pattern: str) -> Codec:
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(raw, pattern)
+    hold("byte_bpe", _codecs.clear)
     return _codecs[key]
 
 
@@ -289,7 +290,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
     def run(batches):
         own = codec(raw.value, pattern)
-        for batch in pieces(batches):
+        for batch in pieces(batches, keep="byte_bpe"):
             made = [digests(own, t or "") for t in values(batch.column(1))]
             cols = list(zip(*made, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays(

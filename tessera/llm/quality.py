@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces, release, stage, table, values
+from tessera.llm.common import hold, let_go, pieces, release, stage, table, values
 
 BITS = 18
 MAX_ROWS = 12_000
@@ -85,14 +85,14 @@ def ftrl(texts: list[str], labels: list[int], epochs: int = EPOCHS, alpha=0.2, b
     for text, y in zip(texts, labels, strict=True):
         parts = list(features(text or ""))
         index, count = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
-        value = count / max(1, count.sum()) ** 0.5
-        rows.append((np.append(index.astype(np.int32), size), np.append(value, 1.0).astype(np.float32), y))
+        rows.append((np.append(index.astype(np.int32), size), count.astype(np.min_scalar_type(count.max(initial=0))), max(1, count.sum()) ** 0.5, y))
 
     def solve(zi, ni):
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
 
     for _ in range(epochs):
-        for index, value, y in rows:
+        for index, count, norm, y in rows:
+            value = np.append(count / norm, 1.0).astype(np.float32)
             zi, ni = z[index], n[index]
             w = solve(zi, ni)
             g = (logistic(float(w @ value)) - y) * value
@@ -119,6 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, label
     def fit(pdf):
         import pandas as pd
 
+        let_go()
         pdf = pdf.iloc[np.argsort([xxhash.xxh64_intdigest(k) for k in pdf.k], kind="stable")]
         weights, bias = ftrl(list(pdf.t), list(pdf.y))
         release()
@@ -135,19 +136,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(column):
+        hold("quality", _words.clear)
         return np.array([logistic(raw_score(*shared.value, t)) for t in values(column)])
 
     if passing:
         at = docs.columns.index(text)
 
         def run(batches):
-            for batch in pieces(batches):
+            for batch in pieces(batches, keep="quality"):
                 yield batch.filter(pa.array(scores(batch.column(at)) >= 0.5))
 
         return docs.mapInArrow(run, docs.schema)
 
     def run(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, keep="quality"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)), pa.float64())], names=[key, "score"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")

@@ -80,3 +80,11 @@ def test_frames(spark, library):
     back = byte_bpe.decode_documents(byte_bpe.encode_documents(docs)).collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), t or "") for i, t, _ in rows)
     assert byte_bpe.round_trip(docs.limit(0)).collect() == []
+
+
+def test_other_operators_drop_the_tables(own):
+    from tessera.llm.common import pieces
+
+    byte_bpe.codec(RAW, public_tokenizers.PATTERN)
+    assert list(pieces([], keep="byte_bpe")) == [] and byte_bpe._codecs
+    assert list(pieces([])) == [] and not byte_bpe._codecs
