@@ -8,7 +8,8 @@ a table of bounded size. Each move also lists the tokens that may end with the b
 fits the token that ended where it starts. Fitting is decided by undoing the merges of both. A
 walk is open for one token's length at most, so tokens before the walks' common past are certain
 and are emitted; a piece costs time in proportion to its length. Pieces of text that come again
-are looked up in a second bounded table.
+are looked up in a bounded table of two halves: the older one goes when the newer one is full, and
+what is found in it moves over, so that frequent pieces stay.
 
 Defined results: null text counts as empty and gives no ids; repeated rows each get a row; an
 empty table gives an empty result; columns besides the key and the text are ignored.
@@ -30,7 +31,9 @@ from tessera.llm.common import hold, pieces, table, values
 
 MAX_STATES = 100_000
 MAX_FITS = 250_000
-MAX_PIECES = 120_000
+MAX_PIECES = 240_000
+MAX_HEADS = 50_000
+HEAD = 6  # bytes after which the way of a piece is kept for others that begin alike
 LONG_PIECE = 48
 SETTLE = 4096  # bytes after which a long piece emits what is certain
 STREAM = 200_000  # pieces of a text that are held at once
@@ -41,6 +44,33 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
 
 
+class _State(dict):
+    """byte -> (state of all walks that it leaves open, what may end with it); made when first reached."""
+
+    __slots__ = ("owner", "walks")
+
+    def __init__(self, owner: Transducer, walks: tuple):
+        self.owner, self.walks = owner, walks
+
+    def __missing__(self, byte: int) -> tuple[_State, tuple]:
+        got = self[byte] = self.owner.move(self.walks, byte)
+        return got
+
+
+class _Fits(dict):
+    """token before -> whether merging leaves it and the own token as they are; decided when first asked."""
+
+    __slots__ = ("owner", "token")
+
+    def __init__(self, owner: Transducer, token: int):
+        self.owner, self.token = owner, token
+
+    def __missing__(self, before: int) -> bool:
+        self.owner.make_room()
+        got = self[before] = self.owner.may_follow(before, self.token)
+        return got
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -59,14 +89,23 @@ class Transducer:
             self.at_node[node] = rank
         self.inner = {key >> 8 for key in self.child}
         self.longest = max(map(len, ranks), default=0)
-        self.fits: dict[tuple, bool] = {}
+        self.fits: dict[int, _Fits] = {}
+        self.n_fits = 0
         self.last_merge: dict[int, tuple[int, int] | None] = {}
         self.forget()
 
     def forget(self) -> None:
         """Start the table of states again; they are made anew when reached."""
-        self.states, self.number = [(0,)], {(0,): 0}
-        self.moves: dict[int, tuple[int, tuple]] = {}
+        self.states = {(0,): _State(self, (0,))}
+        self.heads: dict[bytes, tuple[_State, tuple, tuple]] = {}
+
+    def make_room(self) -> None:
+        """Empty the table of fits, which the states refer to, before it holds too many."""
+        self.n_fits += 1
+        if self.n_fits > MAX_FITS:
+            for known in self.fits.values():
+                known.clear()
+            self.n_fits = 1
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the last merge of a token joins; null for one byte or what merging never makes."""
@@ -91,11 +130,6 @@ class Transducer:
         Undoes the merges on both sides of the border, the latest first; the border falls if the
         two tokens then at it would have been joined before the merge that was undone.
         """
-        got = self.fits.get((before, token))
-        if got is not None:
-            return got
-        if len(self.fits) > MAX_FITS:
-            self.fits.clear()
         got = self.stands_alone(token)
         if got and before >= 0:
             left, right, until_left, until_right = before, token, 1 << 60, 1 << 60
@@ -112,13 +146,12 @@ class Transducer:
                     until_left, left = left, lefts[1]
                 else:
                     until_right, right = right, rights[0]
-        self.fits[before, token] = got
         return got
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple]:
-        """The state of all walks that a byte leaves open, and (token, length) of what may end with it."""
+    def move(self, open_walks: tuple, byte: int) -> tuple[_State, tuple]:
+        """The state of all walks that a byte leaves open, and (token, length, fits) of what may end with it."""
         walks, ends = [], []
-        for node in self.states[state]:
+        for node in open_walks:
             to = self.child.get(node << 8 | byte)
             if to is None:
                 continue
@@ -126,14 +159,15 @@ class Transducer:
                 walks.append(to)
             token = self.at_node.get(to)
             if token is not None and self.stands_alone(token):
-                ends.append((token, len(self.token_of[token])))
+                known = self.fits.get(token)
+                if known is None:
+                    known = self.fits[token] = _Fits(self, token)
+                ends.append((token, len(self.token_of[token]), known))
         made = (*walks, 0)
-        number = self.number.get(made)
-        if number is None:
-            number = self.number[made] = len(self.states)
-            self.states.append(made)
-        self.moves[state << 8 | byte] = got = (number, tuple(ends))
-        return got
+        state = self.states.get(made)
+        if state is None:
+            state = self.states[made] = _State(self, made)
+        return state, tuple(ends)
 
     def settle(self, last: list, sizes: list, out: list, window: int) -> None:
         """Emit the tokens that all open walks agree on, and drop them."""
@@ -151,28 +185,40 @@ class Transducer:
         del last[:root], sizes[:root]
         sizes[0] = 0
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        if len(self.states) > MAX_STATES:
-            self.forget()
-        state, moves, fits = 0, self.moves, self.fits
-        # For each place, the token that ends the prefix up to it, and its length.
-        last, sizes, out = [-1], [0], []
+    def walk(self, piece: bytes, state: _State, last: list, sizes: list, out: list) -> _State:
+        """Read bytes on; ``last`` and ``sizes`` have for each place the token that ends the prefix up to it, and its length."""
+        n = len(last) - 1
         for byte in piece:
-            got = moves.get(state << 8 | byte)
-            state, ends = got if got is not None else self.move(state, byte)
-            n = len(last)
-            for token, size in ends:
-                before = last[n - size]
-                fit = fits.get((before, token))
-                if fit or (fit is None and self.may_follow(before, token)):
+            state, ends = state[byte]
+            n += 1
+            for token, size, fits in ends:
+                if fits[last[n - size]]:
                     break
             last.append(token)
             sizes.append(size)
             if n > SETTLE:
                 self.settle(last, sizes, out, self.longest)
+                n = len(last) - 1
+        return state
+
+    def encode_piece(self, piece: bytes) -> list[int]:
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        if len(self.states) > MAX_STATES:
+            self.forget()
+        out, head = [], piece[:HEAD]
+        known = self.heads.get(head)
+        if known is not None:
+            state, last, sizes = known[0], [*known[1]], [*known[2]]
+        else:
+            last, sizes = [-1], [0]
+            state = self.walk(head, self.states[(0,)], last, sizes, out)
+            if len(self.heads) >= MAX_HEADS:
+                self.heads.clear()
+            self.heads[head] = state, tuple(last), tuple(sizes)
+        if len(piece) > HEAD:
+            self.walk(piece[HEAD:], state, last, sizes, out)
         tail, at = [], len(last) - 1
         while at > 0:
             tail.append(last[at])
@@ -187,15 +233,21 @@ class Codec:
         self.transducer = Transducer(read_ranks(raw))
         self.pattern = regex.compile(pattern)
         self.pieces: dict[str, str] = {}
-        self.token_of = {str(rank): token for rank, token in self.transducer.token_of.items()}
+        self.older: dict[str, str] = {}
+        self.name = {rank: str(rank) for rank in self.transducer.token_of}
+        self.token_of = {self.name[rank]: token for rank, token in self.transducer.token_of.items()}
 
     def piece(self, piece: str) -> str:
-        raw = piece.encode("utf-8", "surrogatepass")
-        got = ",".join(map(str, self.transducer.encode_piece(raw)))
-        if len(raw) <= LONG_PIECE:
-            if len(self.pieces) >= MAX_PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = got
+        got = self.older.get(piece)
+        if got is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            got = ",".join(map(self.name.__getitem__, self.transducer.encode_piece(raw)))
+            if len(raw) > LONG_PIECE:
+                return got
+        if len(self.pieces) >= MAX_PIECES:
+            self.older = self.pieces.copy()
+            self.pieces.clear()
+        self.pieces[piece] = got
         return got
 
     def encode(self, text: str):

@@ -82,6 +82,20 @@ def test_frames(spark, library):
     assert byte_bpe.round_trip(docs.limit(0)).collect() == []
 
 
+def test_frequent_pieces_stay_and_heads_are_bounded(library, monkeypatch):
+    made = byte_bpe.Codec(RAW, public_tokenizers.PATTERN)
+    monkeypatch.setattr(byte_bpe, "MAX_PIECES", 12)
+    monkeypatch.setattr(byte_bpe, "MAX_HEADS", 2)
+    monkeypatch.setattr(byte_bpe, "MAX_FITS", 40)
+    encoded, encode = [], made.transducer.encode_piece
+    monkeypatch.setattr(made.transducer, "encode_piece", lambda raw: encoded.append(raw) or encode(raw))
+    for i in range(40):
+        text = f" zqxvoften zqxvo{i:03d}x zqxvrare{chr(97 + i % 26)}q"
+        assert [int(x) for part in made.encode(text) for x in part.split(",")] == library.encode_ordinary(text)
+    assert encoded.count(b" zqxvoften") == 1 and len(made.pieces) <= 12 and len(made.transducer.heads) <= 2
+    assert made.transducer.n_fits <= 40
+
+
 def test_other_operators_drop_the_tables(own):
     from tessera.llm.common import pieces
 
