@@ -61,3 +61,26 @@ def test_stage_matches_brute_force(spark):
     rows = corpus(51)
     got = sorted((r.doc_id, r.text.split()) for r in corpus_pipeline.repeated_passages(spark, frame(spark, rows), "").collect())
     assert got == brute(rows, 51)
+
+
+@pytest.mark.parametrize("more", [{}, {"most": 2}])
+def test_stretches_of_a_short_period_are_one_row(spark, monkeypatch, more):
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        words = ["u%d" % rng.randrange(10_000) for _ in range(30)]
+        for period in (["on", "and"], ["a"], ["one", "two", "three", "four", "five"], ["one", "two"]):
+            words += (period * 200)[: 150 + i] + ["v%d" % rng.randrange(10_000) for _ in range(20)]
+        rows.append((i, " ".join(words)))
+    made, stage = [], sd.stage
+
+    def counted(df, tag):
+        out = stage(df, tag)
+        if tag == "lpf-whole":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(sd, "stage", counted)
+    got = sorted((r.doc_id, r.text.split()) for r in sd.remove(frame(spark, rows), words=9, **more).collect())
+    assert got == brute(rows, 9)
+    assert made[0] <= 40 * 4 * 3  # a few rows a stretch, not one a period
