@@ -124,3 +124,11 @@ def test_ids_of_any_type(spark):
     rows = spark.createDataFrame([("doc-b", same + "one"), ("doc-a", "two " + same), (None, same + "three")], "doc_id string, text string")
     kept = {r.doc_id: r.text for r in sd.remove(rows, length=40, gram=13).collect()}
     assert same in kept["doc-a"] and same not in kept["doc-b"] and same not in kept[None]
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_ranges_of_a_row_are_apart(spark, keep):
+    rows = corpus(40)
+    listed = [r.spans for r in sd.repeats(frame(spark, rows), length=40, gram=13, keep=keep).collect()]
+    assert any(len(spans) > 1 for spans in listed)
+    assert all(a["to"] < b["from"] for spans in listed for a, b in zip(spans, spans[1:], strict=False))
