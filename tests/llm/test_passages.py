@@ -84,3 +84,17 @@ def test_stretches_of_a_short_period_are_one_row(spark, monkeypatch, more):
     got = sorted((r.doc_id, r.text.split()) for r in sd.remove(frame(spark, rows), words=9, **more).collect())
     assert got == brute(rows, 9)
     assert made[0] <= 40 * 4 * 3  # a few rows a stretch, not one a period
+
+
+def test_no_task_runs_two_python_operators(spark, monkeypatch):
+    read, anchors = [], sd._anchors
+
+    def noted(rows, *more):
+        read.append(rows._jdf.queryExecution().executedPlan().toString())
+        return anchors(rows, *more)
+
+    monkeypatch.setattr(sd, "_anchors", noted)
+    rows = corpus(9)
+    got = sorted((r.doc_id, r.text.split()) for r in sd.remove(frame(spark, rows), words=9, most=2).collect())
+    assert got == brute(rows, 9)
+    assert len(read) > 1 and not any("MapInArrow" in plan for plan in read)
