@@ -132,3 +132,28 @@ def test_ranges_of_a_row_are_apart(spark, keep):
     listed = [r.spans for r in sd.repeats(frame(spark, rows), length=40, gram=13, keep=keep).collect()]
     assert any(len(spans) > 1 for spans in listed)
     assert all(a["to"] < b["from"] for spans in listed for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_query_tells_what_is_left(spark, tmp_path):
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghé", k=rng.randint(6, 9))) for _ in range(n)) + " "
+    passage, shorter = say(70), say(40)
+    assert len(shorter.encode()) < sd.LENGTH < len(passage.encode())
+    alone = [(i, say(120)) for i in range(4)] + [(i, say(9) + shorter) for i in (5, 6)] + [(7, None), (8, "")]
+    planted = [(10 + i, say(30) + passage + say(30)) for i in range(3)]
+    run = "".join(map(chr, range(0xC0, 0xFF))) * 4
+    split = [(20, "À" + run + "à"), (21, "Ā" + run + "á")]  # they share a byte of the characters beside it
+    rows = alone + planted + split
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = sd.op9_suffix_lpf(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert sorted((str(r[0]), *r[1:5]) for r in got.values()) == brute(rows, sd.LENGTH)
+    assert all(got[i].text == text and got[i].n_removed == 0 for i, text in alone)
+    assert any(got[i].n_bytes > len(text or "") for i, text in alone)
+    for i, text in planted:
+        left = got[i].text
+        assert passage.strip() not in left and len(left.encode()) == got[i].n_bytes - got[i].n_removed
+        assert hashlib.sha256(left.encode()).hexdigest() == got[i].kept_sha256
+    assert {i: got[i].text for i, _ in split} == {20: "Àà", 21: "Āá"}
+    assert {i: r.text for i, r in got.items()} == {r.doc_id: r.text for r in sd.remove(frame(spark, rows), keep="none").collect()}
