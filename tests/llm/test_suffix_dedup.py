@@ -157,3 +157,10 @@ def test_query_tells_what_is_left(spark, tmp_path):
         assert hashlib.sha256(left.encode()).hexdigest() == got[i].kept_sha256
     assert {i: got[i].text for i, _ in split} == {20: "Àà", 21: "Āá"}
     assert {i: r.text for i, r in got.items()} == {r.doc_id: r.text for r in sd.remove(frame(spark, rows), keep="none").collect()}
+
+
+def test_query_keeps_bytes_that_are_no_utf8(spark, tmp_path):
+    rows = frame(spark, [(1, "FF61FE"), (2, "62")]).selectExpr("doc_id", "cast(unhex(text) as string) as text")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sd.op9_suffix_lpf(spark, str(tmp_path)).selectExpr("doc_id", "n_bytes", "hex(cast(text as binary))", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == [(1, 3, "FF61FE", hashlib.sha256(b"\xffa\xfe").hexdigest()), (2, 1, "62", hashlib.sha256(b"b").hexdigest())]
