@@ -45,11 +45,8 @@ def security_summary(classified: DataFrame) -> DataFrame:
     )
 
 
-def violations(fields: DataFrame, tables: DataFrame | None = None) -> DataFrame:
-    """``(entity, rule, column, detail)``: every broken rule. ``tables`` has ``(entity, description)``.
-
-    Rules are numbered in the order in which strict mode looks at them.
-    """
+def column_violations(fields: DataFrame) -> DataFrame:
+    """``(entity, rule, column, detail)``: every broken rule of a column, however many its table has."""
     top = fields.where("depth = 1")
     name, text = F.col("name"), F.trim(F.lower("description"))
     decimal = F.col("data_type") == "DECIMAL"
@@ -67,10 +64,18 @@ def violations(fields: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     found = top.select("entity", F.col("name").alias("column"), F.explode(F.array_compact(each)).alias("x")).select("entity", "x.rule", "column", "x.detail")
     same = top.groupBy("entity", F.lower("name").alias("column")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = found.unionByName(same.select("entity", F.lit("V9_DUPLICATE").alias("rule"), "column", F.col("n").cast("string").alias("detail")))
+    deep = fields.where((F.col("data_type") == "RECORD") & (F.col("depth") > S.MAX_DEPTH))
+    return found.unionByName(deep.select("entity", F.lit("V3_DEPTH").alias("rule"), F.col("path").alias("column"), F.col("depth").cast("string").alias("detail")))
+
+
+def violations(fields: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """``(entity, rule, column, detail)``: every broken rule of columns and of tables. ``tables`` has ``(entity, description)``.
+
+    Rules are numbered in the order in which strict mode looks at them.
+    """
+    top, found = fields.where("depth = 1"), column_violations(fields)
     size = top.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > S.MAX_COLUMNS)
     found = found.unionByName(size.select("entity", F.lit("V4_COLUMN_COUNT").alias("rule"), F.lit(None).cast("string").alias("column"), F.col("n").cast("string").alias("detail")))
-    deep = fields.where((F.col("data_type") == "RECORD") & (F.col("depth") > S.MAX_DEPTH))
-    found = found.unionByName(deep.select("entity", F.lit("V3_DEPTH").alias("rule"), F.col("path").alias("column"), F.col("depth").cast("string").alias("detail")))
     if tables is not None:
         empty = tables.select("entity").join(top.select("entity").distinct(), "entity", "left_anti")
         found = found.unionByName(empty.select("entity", F.lit("V4_COLUMN_COUNT").alias("rule"), F.lit(None).cast("string").alias("column"), F.lit("0").alias("detail")))

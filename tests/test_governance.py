@@ -85,6 +85,15 @@ def test_violations(spark):
         governance.check(rows)
 
 
+def test_wide_table_breaks_no_rule_of_columns(spark):
+    many = spark.range(10_001).select(F.lit("e").alias("entity"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("name"), F.lit("a fine description").alias("description"), F.lit("STRING").alias("data_type"))
+    rows = many.select("*", F.col("name").alias("path"), F.lit(1).alias("depth"), F.col("data_type").alias("bq_type"), *(F.lit(None).cast("int").alias(c) for c in ("precision", "scale")), F.lit(None).cast("string").alias("range_element"))
+    assert [tuple(r) for r in governance.violations(rows).collect()] == [("e", "V4_COLUMN_COUNT", None, "10001")]
+    assert governance.column_violations(rows).count() == 0
+    with pytest.raises(governance.SchemaInvalid, match="V4_COLUMN_COUNT"):
+        governance.check(rows)
+
+
 def columns(**kinds):
     return [{"name": n, "type": k, "mode": "NULLABLE", "description": "d"} for n, k in kinds.items()]
 

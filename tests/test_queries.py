@@ -38,3 +38,13 @@ def test_query(spark, con, name):
     assert {c: kinds.get(t, t) for c, t in got.dtypes if t in kinds} == {c: stated[c] for c, t in got.dtypes if t in kinds}
     mine = sorted(tuple(map(plain, (r[c] for c in cols))) for r in got.collect())
     assert mine == sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in rows)
+
+
+def test_validate_violations_of_wide_brands(spark, tmp_path):
+    """More than 10,000 parts of a brand break a rule of tables, which the SQL of this query does not ask for."""
+    con = duckdb.connect()
+    con.execute(f"copy (select * replace (p_partkey + 200 * i as p_partkey, 'Brand#1' as p_brand) from '{SF}/part.parquet', range(51) r(i)) to '{tmp_path}/part.parquet' (format parquet)")
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
+    want = con.execute(f'select entity, rule, "column", detail from ({ORACLES["validate_violations"]})').fetchall()
+    got = QUERIES["validate_violations"](spark, str(tmp_path)).select("entity", "rule", "column", "detail").collect()
+    assert sorted(tuple(map(plain, r)) for r in got) == sorted(tuple(map(plain, r)) for r in want)
