@@ -57,7 +57,7 @@ def _merged() -> list[Column]:
     return [merge(name).alias(name) for name, merge in _MERGED.items()]
 
 
-def _once(rows: DataFrame, **made: Column) -> DataFrame:
+def once(rows: DataFrame, **made: Column) -> DataFrame:
     """``rows`` with more columns, each worked out once: a generator keeps the optimiser from copying what they are into every use."""
     return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
 
@@ -66,7 +66,7 @@ def _marked(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Each cell as fixed-width numbers: a hash of its text, a mask of what it could be, lengths and digits."""
     v = F.col("v")
     rows = cells.select(*keys, v.isNull().alias("missing"), (v.isNull() | v.isin(*P.NULL_TEXTS)).alias("dropped"), F.length("v").alias("long"), "v")
-    rows = _once(_once(rows, s=P.strip(v)), bits=F.when(~F.col("dropped"), P.mask(F.col("s"))))
+    rows = once(once(rows, s=P.strip(v)), bits=F.when(~F.col("dropped"), P.mask(F.col("s"))))
     decimal = F.col("bits").bitwiseAND(P.BITS["decimal"]) != 0
     unsigned = F.length("s") - F.col("s").rlike("^[+-]").cast("int")
     point = F.locate(".", F.col("s"))

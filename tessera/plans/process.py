@@ -19,6 +19,7 @@ from tessera.operators.registry import Registry
 from tessera.plans import render, render_rows
 from tessera.sources import csv_source, declared, json_source
 from tessera.sources.detect import detect_format
+from tessera.sources.shared import kept
 from tessera.standards import AVRO_PARTITION_NOTE, DECLARED_CLUSTER_NOTE, METADATA_NAMES, NO_CLUSTERING
 
 LOG = logging.getLogger("tessera")
@@ -75,7 +76,7 @@ def read_fields(spark: SparkSession, request: Request) -> tuple[str, DataFrame,
             return kind, None, None, bad
         return kind, csv_source.csv_fields(table, request.entity, request.confirm_malformed, request.type_overrides), None, []
     if kind == "json":
-        return kind, json_source.json_fields(request.entity, json_source.read_json(spark, request.path, request.sample, request.entity)), None, []
+        return kind, kept(json_source.json_fields(request.entity, json_source.read_json(spark, request.path, request.sample, request.entity)), "json-fields"), None, []
     if kind == "parquet":
         return kind, declared.parquet_fields(spark, request.path, request.entity), None, []
     found, said = declared.avro_fields(spark, request.path, request.entity)

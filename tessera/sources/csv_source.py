@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import predicates as P
 from tessera.operators.fields import inferred_fields
-from tessera.sources.shared import shared_path
+from tessera.operators.profile import once
+from tessera.sources.shared import kept
 from tessera.standards import OVERRIDE_TYPES
 
 DELIMITERS, FALLBACK = ",;\t|", ";,\t|"
@@ -34,14 +35,15 @@ class CsvTable:
 
 def clean_lines(spark: SparkSession, path: str, sample: int | None = None) -> DataFrame:
     """``(line, file, start)`` without byte order mark, blank lines and lines that start with # or --; start is that of the block of its file."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    lines = keep_lines(lines, "line")
+    value = F.col("value")
+    lines = once(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")), line=F.when(value.startswith("\ufeff"), F.substring(value, 2, 1 << 30)).otherwise(value))
+    lines = keep_lines(lines.select("line", "file", "start"), "line")
     return lines.limit(sample) if sample else lines
 
 
 def keep_lines(lines: DataFrame, line: str) -> DataFrame:
-    text = P.strip(F.col(line))
-    return lines.where((text != "") & ~text.startswith("#") & ~text.startswith("--"))
+    text = F.col("__text")
+    return once(lines, __text=P.strip(F.col(line))).where((text != "") & ~text.startswith("#") & ~text.startswith("--")).drop("__text")
 
 
 def sniff(head: list[str]) -> str:
@@ -74,12 +76,12 @@ def has_header(head: list[str], delimiter: str | None, mode: str = "AUTO") -> bo
 
 def unbalanced_quotes(line: Column) -> Column:
     """Whether a line has an odd number of quotes, doubled ones aside."""
-    return F.length(F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), '[^"]', "")) % 2 == 1
+    return line.contains('"') & (F.length(F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), '[^"]', "")) % 2 == 1)
 
 
 def width(line: Column, delimiter: str) -> Column:
     """The number of cells: delimiters outside quotes, and one."""
-    bare = F.regexp_replace(line, '"[^"]*"', "")
+    bare = F.when(line.contains('"'), F.regexp_replace(line, '"[^"]*"', "")).otherwise(line)
     return (1 + (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / len(delimiter)).cast("int")
 
 
@@ -96,27 +98,26 @@ def with_place(lines: DataFrame) -> DataFrame:
     return lines.withColumn("place", F.monotonically_increasing_id())
 
 
-def checked(placed: DataFrame, delimiter: str | None, names: int) -> DataFrame:
-    """A row for each file and partition: how many lines, the first, the first with odd quotes, and how many are not ``names`` cells wide.
+def checked(placed: DataFrame, delimiter: str | None, header: str, names: int) -> DataFrame:
+    """A row for each block of a file: how many lines, the places of the first, of the first like ``header`` and of the first with odd quotes, and how many are not ``names`` cells wide.
 
-    One pass over the lines does all checks; its few rows are kept in the shared folder for numbers and headers.
+    One pass over the lines does all checks, in fixed-width numbers, so that no line is sorted; its few rows are kept in the shared folder for numbers and headers.
     """
-    wrong = (width(F.col("line"), delimiter) != names) if delimiter else F.lit(False)
-    rows = placed.groupBy("file", F.shiftright("place", 33).alias("part")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("start", "place", "line")).alias("first"), F.min(F.when(unbalanced_quotes(F.col("line")), F.struct("place", "line"))).alias("odd"), F.count_if(wrong).alias("uneven"),
+    line, place = F.col("line"), F.col("place")
+    wrong = (width(line, delimiter) != names) if delimiter else F.lit(False)
+    rows = placed.groupBy("file", "start", F.shiftright("place", 33).alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.min(F.when(line == header, place)).alias("header"), F.min(F.when(unbalanced_quotes(line), place)).alias("odd"), F.count_if(wrong).alias("uneven"),
     )
-    path = shared_path(placed.sparkSession, "csv-checks")
-    rows.write.parquet(path)
-    return placed.sparkSession.read.schema(rows.schema).parquet(path)
+    return kept(rows, "csv-checks")
 
 
 def _small(rows: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def without_headers(placed: DataFrame, checks: DataFrame, header: str) -> DataFrame:
+def without_headers(placed: DataFrame, checks: DataFrame) -> DataFrame:
     """``placed`` without the first line of each file, where that is the header; other lines like it are data."""
-    tops = checks.groupBy("file").agg(F.min("first").alias("first")).where(F.col("first.line") == header).select("file", F.col("first.place").alias("place"))
+    tops = checks.groupBy("file").agg(F.min(F.struct("start", "first", "header")).alias("top")).where("top.first = top.header").select("file", F.col("top.first").alias("place"))
     return placed.join(_small(tops), ["file", "place"], "left_anti")
 
 
@@ -158,11 +159,11 @@ def read_csv(spark: SparkSession, path: str, entity: str, mode: str = "AUTO", de
     unique = [f"{n}#{i}" if names.index(n) != i else n for i, n in enumerate(names)]
     warning = "POTENTIAL_MALFORMED_HEADER" if len(names) == 1 and re.search(r"[,;\t| ]", names[0]) else None
     placed = with_place(lines)
-    checks = checked(placed, sep, len(names))
+    checks = checked(placed, sep, head[0], len(names))
     found = checks.agg(F.min("odd").alias("odd"), F.sum("uneven").alias("uneven")).first()
-    if found.odd:
-        raise ValueError(f"unbalanced quotes: {found.odd.line[:200]}")
-    body = without_headers(placed, checks, head[0])
+    if found.odd is not None:
+        raise ValueError(f"unbalanced quotes: {placed.where(F.col('place') == found.odd).first().line[:200]}")
+    body = without_headers(placed, checks)
     if sep is None:
         return CsvTable(unique, body.select(F.col("line").alias(unique[0])), body.limit(0), None, warning)
     rows = body.select(F.from_csv("line", ", ".join(f"`{n}` STRING" for n in unique), {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}).alias("r")).select("r.*")
@@ -178,11 +179,11 @@ def read_csv(spark: SparkSession, path: str, entity: str, mode: str = "AUTO", de
 
 
 def csv_fields(table: CsvTable, entity: str, confirmed: bool = False, overrides: dict[str, str] | None = None) -> DataFrame:
-    """Inferred fields; a confirmed malformed table has the columns that its first bad row lacks as STRING."""
+    """Inferred fields, of one pass over the table; a confirmed malformed one has the columns that its first bad row lacks as STRING."""
     for name, kind in (overrides or {}).items():
         if kind.upper() not in OVERRIDE_TYPES:
             raise ValueError(f"{name}: {kind} cannot be set")
-    fields = inferred_fields(entity, table.rows)
+    fields = kept(inferred_fields(entity, table.rows), "csv-fields")
     bad = table.mismatches.orderBy("row_number").first() if confirmed and table.uneven else None
     if bad and bad.missing_columns:
         missing = F.col("name").isin(*bad.missing_columns)

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -18,3 +18,10 @@ def shared_path(spark: SparkSession, tag: str) -> str:
         named = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame, tag: str) -> DataFrame:
+    """Few rows, made once and kept in the shared folder, so that no later step reads again what they come from."""
+    path = shared_path(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -68,6 +68,39 @@ def test_csv_structure(spark, tmp_path):
     assert {r["name"]: r.data_type for r in csv_source.csv_fields(table, "e", overrides={"A": "STRING"}).collect()}["a"] == "STRING"
 
 
+def test_a_run_reads_each_line_twice(spark, tmp_path, monkeypatch):
+    """Once to check it and once for the profile; the first lines are looked at before."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(line):
+        seen.add(1)
+        return line
+
+    counted, clean = F.udf(count, "string").asNondeterministic(), csv_source.clean_lines
+    monkeypatch.setattr(csv_source, "clean_lines", lambda *a: clean(*a).withColumn("line", counted("line")))
+    path = put(tmp_path, "many.csv", "id,day,note\n" + "".join(f"{i},2024-01-{i % 28 + 1:02},text {i}\n" for i in range(2000)))
+    out = process(spark, request(path, csv={"header_mode": "PRESENT"}, preview=True))
+    assert (out["status"], out["partitioning"]["column"], [c["column"] for c in out["clustering"]]) == ("PREVIEW", "day", ["id", "note"])
+    assert 2 * 2001 <= seen.value <= 3 * 2001
+
+
+def test_csv_headers_of_files_in_blocks(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    for name, mark in (("a", "\ufeff"), ("b", "")):
+        put(tmp_path / "many", f"{name}.csv", mark + "\n# note\na,b\n" + "".join("a,b\n" if i % 7 == 0 else f'{name}{i},"{i},"""\n' for i in range(60)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100)
+    try:
+        table = csv_source.read_csv(spark, str(tmp_path / "many"), "e", header_mode="PRESENT")
+        assert table.rows.rdd.getNumPartitions() > 4 and table.uneven == 0
+        assert sorted(tuple(r) for r in table.rows.collect()) == sorted(("a", "b") if i % 7 == 0 else (f"{n}{i}", f'{i},"') for n in "ab" for i in range(60))
+        put(tmp_path / "many", "c.csv", "a,b\n" + "1,2\n" * 60 + '3,"x\n' + "4,5\n" * 60)
+        with pytest.raises(ValueError, match='unbalanced quotes: 3,"x$'):
+            csv_source.read_csv(spark, str(tmp_path / "many"), "e", header_mode="PRESENT")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 def test_csv_lines_like_the_header_are_data(spark, tmp_path):
     path = put(tmp_path, "h.csv", '# first\na,b,c\n1,2,3\na,b,c\n"x,1",2\n\n1,"q ""z"" y",3,4,5\n')
     table = csv_source.read_csv(spark, str(path), "e", header_mode="PRESENT")
